@@ -27,16 +27,15 @@ def cut_documents(docs: DataFrame, window: int, end_id: int, tokenizer: str) ->
     def cut(batches):
         import pyarrow as pa
 
-        from docloom.llm.word_bpe import WordBpe, piece_sums
+        from docloom.llm.word_bpe import piece_sums, word_bpe
 
-        bpe = WordBpe(tokenizer)
+        bpe, end = word_bpe(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
             out = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = bpe.encode(text or "")
-                ids.append(end_id)
-                for start, length, crc in piece_sums(np.array(ids, dtype="<u4"), window):
-                    for column, x in zip(out, (doc_id, start, length, crc, len(ids))):
+                ids = bpe.encode(text or "") + end
+                for start, length, crc in piece_sums(ids, window):
+                    for column, x in zip(out, (doc_id, start, length, crc, len(ids) // 4)):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
-
-import numpy as np
+import zlib
+from functools import cache
 
 #: Fixed values of the tokenizer file: its split pattern and its special tokens.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -19,8 +20,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Memory(dict):
+    """Remembers what make(key) gave."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        found = self[key] = self.make(key)
+        return found
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordBpe:
-    """encode(text) gives what the tokenizer gives without special tokens added.
+    """encode(text) gives what the tokenizer gives without special tokens added, as little-endian 32-bit ids.
 
     White space always ends a word in this vocabulary, so the ids of a text are the ids of its words.
     Words are kept up to a bound and forgotten together beyond it. Texts with special tokens or with
@@ -28,7 +45,7 @@ class WordBpe:
     to the tokenizer itself.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 600_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -37,44 +54,38 @@ class WordBpe:
         self.whole = re.compile("[\x1c-\x1f\x85]|" + "|".join(map(re.escape, SPECIAL)))
         self.letters = _byte_letters()
         self.most_words = most_words
-        self.words: dict[str, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.words, self.parts = _Memory(self._word), _Memory(self._part)
 
-    def _word(self, word: str) -> list[int]:
+    def _whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _part(self, part: str) -> bytes:
+        spelled = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
+        return _packed([t.id for t in self.tokenizer.model.tokenize(spelled)])
+
+    def _word(self, word: str) -> bytes:
         if not word.isascii() and max(word) >= "ɐ":
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
+            return self._whole(word)
         plain = word.lower() if word.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", word))
-        out: list[int] = []
-        for part in self.pattern.findall(plain):
-            ids = self.parts.get(part)
-            if ids is None:
-                spelled = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
-                ids = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
-            out += ids
-        return out
-
-    def encode(self, text: str) -> list[int]:
+        return b"".join(map(self.parts.__getitem__, self.pattern.findall(plain)))
+
+    def encode(self, text: str) -> bytes:
         if self.whole.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return self._whole(text)
         if len(self.words) > self.most_words:
             self.words.clear()
             self.parts.clear()
-        words = self.words
-        out: list[int] = []
-        for word in text.split():
-            try:
-                out += words[word]
-            except KeyError:
-                ids = words[word] = self._word(word)
-                out += ids
-        return out
-
-
-def piece_sums(ids: np.ndarray, window: int):
-    """(start, length, crc32 of the ids as little-endian unsigned 32-bit) of each cut of at most window ids."""
-    import zlib
-
-    body = ids.astype("<u4", copy=False)
-    for start in range(0, len(body), window):
-        cut = body[start : start + window]
-        yield start, len(cut), zlib.crc32(cut.tobytes())
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+@cache
+def word_bpe(path: str) -> WordBpe:
+    """One for each Python worker, so that its words last from task to task."""
+    return WordBpe(path)
+
+
+def piece_sums(ids: bytes, window: int):
+    """(start, length, crc32) of each cut of at most window ids."""
+    for start in range(0, len(ids), 4 * window):
+        cut = ids[start : start + 4 * window]
+        yield start // 4, len(cut) // 4, zlib.crc32(cut)

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["packing", "sharding", "media"]
+MODULES = ["packing", "sharding", "embedding_dedup", "media"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -56,8 +56,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _INSIDE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, and how many each text has."""
+def word_hashes(texts: list[str], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """64-bit hashes of the words of all texts, and how many each text has.
+
+    prefixes: for each number of bytes, also the hashes of the words' beginnings; 0 for words no longer.
+    """
     bodies = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     raw = np.frombuffer(b"\n".join([*bodies, b""]), np.uint8)
     up, down = powers(len(raw))
@@ -68,7 +71,8 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
     hashes = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
     stops = np.cumsum([len(b) + 1 for b in bodies])
-    return hashes, np.diff(np.searchsorted(begin, stops), prepend=0)
+    starts = [np.where(end - begin > n, mix((sums[np.minimum(begin + n, len(raw))] - sums[begin]) * down[begin] + np.uint64(n << 32)), np.uint64(0)) for n in prefixes]
+    return hashes, np.diff(np.searchsorted(begin, stops), prepend=0), starts
 
 
 def labelled_kmers(hashes: np.ndarray, counts: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +134,7 @@ def _sketch(sketches: int):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in in_portions([len(t) for t in texts], 1_500_000):
-                hashes, counts = word_hashes(texts[a:b])
+                hashes, counts, _ = word_hashes(texts[a:b])
                 keys = order_sketches(*labelled_kmers(hashes, counts), sketches)
                 body = [x.tobytes() if n else None for x, n in zip(keys, counts)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("digest").slice(a, b - a), pa.array(body, pa.binary())], names=["doc_id", "digest", "sketch"])
@@ -159,7 +163,7 @@ def _words(batches):
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         for a, b in in_portions([len(t) for t in texts], 1_500_000):
-            hashes, counts = word_hashes(texts[a:b])
+            hashes, counts, _ = word_hashes(texts[a:b])
             short = (hashes >> np.uint64(32)).astype("<u4")
             parts = np.split(short, np.cumsum(counts)[:-1])
             bags = [histograms(p).astype("<u4").tobytes() for p in parts]

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["packing", "sharding", "embedding_dedup", "order_minhash", "media"]
+MODULES = ["packing", "sharding", "embedding_dedup", "quality", "order_minhash", "toxicity", "media"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -327,7 +327,8 @@ def near_documents(docs: DataFrame, similarity: float = SIMILARITY, sketches: in
     members = materialize(buckets.join(shared, "bucket"), "members")
     pairs = materialize(members.where("rep <> low").select(F.col("low").alias("u"), F.col("rep").alias("v")).distinct(), "pairs")
     ids = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id")
-    words = narrow.join(ids, "doc_id", "left_semi").mapInArrow(_words, "rep long, words binary, bag binary")
+    # one plan at every size: the ids grow with the corpus, so they are never broadcast
+    words = narrow.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_words, "rep long, words binary, bag binary")
     words = materialize(words.groupBy("rep").agg(F.min("words").alias("words"), F.min("bag").alias("bag")), "words")
 
     def linked(found: DataFrame) -> DataFrame:

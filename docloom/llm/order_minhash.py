@@ -6,9 +6,10 @@ and keeps them in text order, so it depends on the order of what documents share
 similarity. Documents that agree in a sketch are candidates; a pair is linked if the words' edit
 distance, by alignment in a band, is at most a fifth of the longer document.
 
-Equal texts are one class from the start. Within a bucket every class is aligned with the smallest;
-after components are known, only classes of one bucket that are still in different components are
-compared with each other, block against block. So a large group costs one alignment a member, and no
+Equal texts are one class from the start. Within a bucket every class is a candidate of the smallest.
+Each class is first aligned with the one of these with which it shares most sketches, then with the
+others that this has not connected; at last, classes of one bucket that are still in different
+components are compared with each other, block against block. So a large group costs one alignment a member, and no
 candidate pair goes unanswered: it is linked, rejected, or already connected.
 """
 
@@ -325,7 +326,8 @@ def near_documents(docs: DataFrame, similarity: float = SIMILARITY, sketches: in
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = materialize(shared, "shared")
     members = materialize(buckets.join(shared, "bucket"), "members")
-    pairs = materialize(members.where("rep <> low").select(F.col("low").alias("u"), F.col("rep").alias("v")).distinct(), "pairs")
+    pairs = members.where("rep <> low").groupBy(F.col("low").alias("u"), F.col("rep").alias("v")).agg(F.count(F.lit(1)).alias("agree"))
+    pairs = materialize(pairs, "pairs")
     ids = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id")
     # one plan at every size: the ids grow with the corpus, so they are never broadcast
     words = narrow.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_words, "rep long, words binary, bag binary")
@@ -336,7 +338,14 @@ def near_documents(docs: DataFrame, similarity: float = SIMILARITY, sketches: in
         right = words.select(F.col("rep").alias("v"), F.col("words").alias("words_v"))
         return materialize(found.join(left, "u").join(right, "v").select("u", "v", "words_u", "words_v").mapInArrow(_verify(similarity), "u long, v long"), "edges")
 
-    first = materialize(connected_components(linked(pairs)), "components")
+    best = materialize(pairs.groupBy("v").agg(F.max_by("u", F.struct("agree", -F.col("u"))).alias("u")).select("u", "v"), "best")
+    first = materialize(connected_components(linked(best)), "components")
+    # what the likeliest partner has not connected
+    own = first.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+    other = first.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+    open_ = pairs.select("u", "v").join(own, "u", "left").join(other, "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+    more = linked(open_.join(best, ["u", "v"], "left_anti"))
+    first = materialize(connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "components")
     rest = members.where("members > 2 and rep <> low").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     rest = materialize(rest, "rest")
     mixed = rest.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a < _b").select("bucket", F.ceil(F.col("_n") / block).cast("int").alias("parts"))

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["packing", "language_id", "sharding", "embedding_dedup", "quality", "order_minhash", "toxicity", "media"]
+MODULES = ["packing", "language_id", "sharding", "embedding_dedup", "quality", "order_minhash", "toxicity", "sentencepiece_nbest", "media"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLES, in order.
-MODULES: list[str] = []
+MODULES = ["docloom.plans.retrieval"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -7,8 +7,10 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.session import shipped
+
 #: Modules with QUERIES and ORACLES, in order.
-MODULES = ["docloom.plans.retrieval"]
+MODULES = [f"docloom.plans.{name}" for name in ("retrieval", "texts", "relational", "windows")]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name in MODULES:
-        out |= import_module(name).QUERIES
+        out |= {k: shipped(f) for k, f in import_module(name).QUERIES.items()}
     return out
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 #: Token patterns. A number with separators and a percent sign, or letters joined by - and _.
 LEXICAL = r"\d+(?:[.,]\d+)*%?|[\p{L}\p{Nl}\p{No}]+(?:[-_][\p{L}\p{Nl}\p{No}]+)*"
@@ -147,38 +149,36 @@ def json_span(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\{.*\}", 0)
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    """NFKC; Spark has no such function, so Arrow batches go to Python."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def _by_batch(column: Column, one) -> Column:
+    """A Python function of strings over Arrow batches, for what Spark has no function for. Made where used: workers import this module too."""
+    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else one(x)), "string", PandasUDFType.SCALAR)(column)
 
 
-@F.pandas_udf("string")
-def nfc(s: pd.Series) -> pd.Series:
+def nfkc(text: Column) -> Column:
+    return _by_batch(text, lambda x: unicodedata.normalize("NFKC", x))
+
+
+def nfc(text: Column) -> Column:
     """NFC, with lone surrogates replaced."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x.encode("utf-8", "replace").decode("utf-8", "replace")))
+    return _by_batch(text, lambda x: unicodedata.normalize("NFC", x.encode("utf-8", "replace").decode("utf-8", "replace")))
 
 
-@F.pandas_udf("string")
-def fold(s: pd.Series) -> pd.Series:
+def folded(x: str) -> str:
     """Lower case without accents or strokes, blanks collapsed."""
+    x = unicodedata.normalize("NFKD", x.lower().replace("đ", "d"))
+    return " ".join("".join(c for c in x if not unicodedata.combining(c)).split())
 
-    def one(x):
-        x = unicodedata.normalize("NFKD", x.lower().replace("đ", "d"))
-        return " ".join("".join(c for c in x if not unicodedata.combining(c)).split())
 
-    return s.map(lambda x: None if x is None else one(x))
+def fold(text: Column) -> Column:
+    return _by_batch(text, folded)
 
 
-@F.pandas_udf("string")
-def redact_new_numbers(query: pd.Series, text: pd.Series) -> pd.Series:
+def redact_new_numbers(query: Column, text: Column) -> Column:
     """Numbers of text that query does not hold become [number]."""
-    import re
-
     pattern = re.compile(NUMBER)
 
     def one(q, t):
         known = set(pattern.findall(q or ""))
-        return pattern.sub(lambda m: m[0] if m[0] in known else "[number]", t)
+        return None if t is None else pattern.sub(lambda m: m[0] if m[0] in known else "[number]", t)
 
-    return pd.Series([None if t is None else one(q, t) for q, t in zip(query, text)])
+    return F.pandas_udf(lambda q, t: pd.Series([one(*x) for x in zip(q, t)]), "string", PandasUDFType.SCALAR)(query, text)

@@ -8,7 +8,6 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 #: Token patterns. A number with separators and a percent sign, or letters joined by - and _.
 LEXICAL = r"\d+(?:[.,]\d+)*%?|[\p{L}\p{Nl}\p{No}]+(?:[-_][\p{L}\p{Nl}\p{No}]+)*"
@@ -151,7 +150,11 @@ def json_span(text: Column) -> Column:
 
 def _by_batch(column: Column, one) -> Column:
     """A Python function of strings over Arrow batches, for what Spark has no function for. Made where used: workers import this module too."""
-    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else one(x)), "string", PandasUDFType.SCALAR)(column)
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else one(x))
+
+    return F.pandas_udf(run, "string")(column)
 
 
 def nfkc(text: Column) -> Column:
@@ -181,4 +184,7 @@ def redact_new_numbers(query: Column, text: Column) -> Column:
         known = set(pattern.findall(q or ""))
         return None if t is None else pattern.sub(lambda m: m[0] if m[0] in known else "[number]", t)
 
-    return F.pandas_udf(lambda q, t: pd.Series([one(*x) for x in zip(q, t)]), "string", PandasUDFType.SCALAR)(query, text)
+    def run(q: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([one(*x) for x in zip(q, t)])
+
+    return F.pandas_udf(run, "string")(query, text)

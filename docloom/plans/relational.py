@@ -161,7 +161,7 @@ def mode_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return REC.dominant_offset(_fragments(spark, sf_dir), "logical_index", "candidates")
 
 
-MODE_SQL = f"WITH {_FRAGMENTS} SELECT c - i AS offset, count(*) AS votes FROM f WHERE c IS NOT NULL GROUP BY 1 HAVING count(*) >= 3 ORDER BY votes DESC, offset LIMIT 1"
+MODE_SQL = f"WITH {_FRAGMENTS} SELECT c - i AS \"offset\", count(*) AS votes FROM f WHERE c IS NOT NULL GROUP BY 1 HAVING count(*) >= 3 ORDER BY votes DESC, 1 LIMIT 1"
 
 
 def printed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

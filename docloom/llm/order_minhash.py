@@ -25,7 +25,7 @@ from docloom.llm.media import in_portions
 K = 5
 SIMILARITY = 0.8
 SKETCHES = 48
-BINS = 128
+BINS = 256
 
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -153,8 +153,10 @@ def _buckets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("rep").to_numpy(), n))], names=["bucket", "rep"])
 
 
-def histograms(words: np.ndarray) -> np.ndarray:
-    return np.bincount(words & (BINS - 1), minlength=BINS)
+def bag_of(words: np.ndarray) -> bytes:
+    """Counts of words in BINS bins; all at the limit if one exceeds it, so that they rule nothing out."""
+    counts = np.bincount(words & (BINS - 1), minlength=BINS)
+    return (counts if counts.max() < 65535 else np.full(BINS, 65535)).astype("<u2").tobytes()
 
 
 def _words(batches):
@@ -167,7 +169,7 @@ def _words(batches):
             hashes, counts, _ = word_hashes(texts[a:b])
             short = (hashes >> np.uint64(32)).astype("<u4")
             parts = np.split(short, np.cumsum(counts)[:-1])
-            bags = [histograms(p).astype("<u4").tobytes() for p in parts]
+            bags = [bag_of(p) for p in parts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(bags, pa.binary())], names=["rep", "words", "bag"])
 
 
@@ -265,10 +267,9 @@ def _verify(similarity: float):
 def _across(similarity: float):
     """Sorted rows of bucket parts to pairs of different components that lengths and bags do not rule out."""
 
-    def group(i, j, rep, component, part, bags, out):
+    def group(i, j, rep, component, part, size, bags, out):
         if len(rep) < 2:
             return
-        size = bags.sum(1)
         may = component[:, None] != component[None, :]
         may &= np.triu(np.ones(may.shape, bool), 1) if i == j else (part == i)[:, None] & (part == j)[None, :]
         a, b = np.nonzero(may)
@@ -278,16 +279,16 @@ def _across(similarity: float):
             most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
             ok = np.abs(size[x] - size[y]) <= most
             x, y, longer, most = x[ok], y[ok], longer[ok], most[ok]
-            ok = longer - np.minimum(bags[x], bags[y]).sum(1) <= most
+            ok = longer - np.minimum(bags[x], bags[y]).sum(1, dtype=np.int64) <= most
             out.append((np.minimum(rep[x[ok]], rep[y[ok]]), np.maximum(rep[x[ok]], rep[y[ok]])))
 
     def run(batches):
         import pyarrow as pa
 
         held = None
-        names = ("bucket", "i", "j", "rep", "component", "part")
+        names = ("bucket", "i", "j", "rep", "component", "part", "size")
         for batch in batches:
-            bags = np.frombuffer(b"".join(batch.column("bag").to_pylist()), "<u4").reshape(-1, BINS).astype(np.int64)
+            bags = np.frombuffer(b"".join(batch.column("bag").to_pylist()), "<u2").reshape(-1, BINS)
             now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names] + [bags]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
@@ -351,8 +352,8 @@ def near_documents(docs: DataFrame, similarity: float = SIMILARITY, sketches: in
     mixed = rest.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a < _b").select("bucket", F.ceil(F.col("_n") / block).cast("int").alias("parts"))
     mixed = materialize(mixed, "mixed")
     put = rest.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    put = put.join(words.select("rep", "bag"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    put = put.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "component", "part", "bag")
+    put = put.join(words.select("rep", (F.octet_length("words") / 4).cast("long").alias("size"), "bag"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    put = put.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "component", "part", "size", "bag")
     key = ["bucket", "i", "j"]
     across = put.repartition(*key).sortWithinPartitions(*key).mapInArrow(_across(similarity), "u long, v long").distinct()
     late = linked(materialize(across, "across").join(pairs, ["u", "v"], "left_anti"))

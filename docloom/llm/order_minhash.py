@@ -265,14 +265,18 @@ def _verify(similarity: float):
 
 
 def _across(similarity: float):
-    """Sorted rows of bucket parts to pairs of different components that lengths and bags do not rule out."""
+    """Sorted rows of bucket parts to pairs of different components that lengths and bags do not rule out.
 
-    def group(i, j, rep, component, part, size, bags, out):
+    A pair comes out of the first bucket in which it meets only.
+    """
+
+    def group(bucket, i, j, rep, component, part, size, bags, sketch, out):
         if len(rep) < 2:
             return
         may = component[:, None] != component[None, :]
         may &= np.triu(np.ones(may.shape, bool), 1) if i == j else (part == i)[:, None] & (part == j)[None, :]
         a, b = np.nonzero(may)
+        earlier = int((sketch[0] == bucket).argmax())
         for k in range(0, len(a), 100_000):
             x, y = a[k : k + 100_000], b[k : k + 100_000]
             longer = np.maximum(size[x], size[y])
@@ -280,6 +284,7 @@ def _across(similarity: float):
             ok = np.abs(size[x] - size[y]) <= most
             x, y, longer, most = x[ok], y[ok], longer[ok], most[ok]
             ok = longer - np.minimum(bags[x], bags[y]).sum(1, dtype=np.int64) <= most
+            ok[ok] = (sketch[x[ok], :earlier] != sketch[y[ok], :earlier]).all(1)
             out.append((np.minimum(rep[x[ok]], rep[y[ok]]), np.maximum(rep[x[ok]], rep[y[ok]])))
 
     def run(batches):
@@ -289,19 +294,20 @@ def _across(similarity: float):
         names = ("bucket", "i", "j", "rep", "component", "part", "size")
         for batch in batches:
             bags = np.frombuffer(b"".join(batch.column("bag").to_pylist()), "<u2").reshape(-1, BINS)
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names] + [bags]
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.int64).reshape(len(bags), -1)
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names] + [bags, sketch]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in now[:3]])) + 1
             starts, out = [0, *change.tolist()], []
             for a, b in zip(starts, starts[1:]):
-                group(now[1][a], now[2][a], *(c[a:b] for c in now[3:]), out)
+                group(now[0][a], now[1][a], now[2][a], *(c[a:b] for c in now[3:]), out)
             held = [c[starts[-1] :] for c in now]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["u", "v"])
         if held is not None and len(held[0]):
             out = []
-            group(held[1][0], held[2][0], *held[3:], out)
+            group(held[0][0], held[1][0], held[2][0], *held[3:], out)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["u", "v"])
 
@@ -352,8 +358,8 @@ def near_documents(docs: DataFrame, similarity: float = SIMILARITY, sketches: in
     mixed = rest.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a < _b").select("bucket", F.ceil(F.col("_n") / block).cast("int").alias("parts"))
     mixed = materialize(mixed, "mixed")
     put = rest.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    put = put.join(words.select("rep", (F.octet_length("words") / 4).cast("long").alias("size"), "bag"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    put = put.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "component", "part", "size", "bag")
+    put = put.join(words.select("rep", (F.octet_length("words") / 4).cast("long").alias("size"), "bag"), "rep").join(classes.select("rep", "sketch"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    put = put.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "component", "part", "size", "bag", "sketch")
     key = ["bucket", "i", "j"]
     across = put.repartition(*key).sortWithinPartitions(*key).mapInArrow(_across(similarity), "u long, v long").distinct()
     late = linked(materialize(across, "across").join(pairs, ["u", "v"], "left_anti"))

@@ -21,10 +21,15 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once. Spark would compute it anew for each mention; a lambda's argument it does not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lexical_tokens(text: Column, bigrams: bool = False) -> Column:
-    """Lower-cased tokens, with a::b pairs of neighbours after them if asked. Pairs are zipped slices: indexing in a lambda would inline the regex."""
+    """Lower-cased tokens, with a::b pairs of neighbours after them if asked."""
     tokens = all_matches(F.lower(F.coalesce(text, F.lit(""))), LEXICAL)
-    return F.concat(tokens, neighbours(tokens)) if bigrams else tokens
+    return let(tokens, lambda t: F.concat(t, neighbours(t))) if bigrams else tokens
 
 
 def neighbours(tokens: Column, joiner: str = "::") -> Column:
@@ -39,8 +44,7 @@ def word_set(text: Column) -> Column:
 
 def set_similarity(a: Column, b: Column) -> Column:
     """The larger of Jaccard and containment of two arrays of distinct values; with an empty one, whether both are."""
-    shared = F.size(F.array_intersect(a, b)).cast("double")
-    ratio = F.greatest(shared / (F.size(a) + F.size(b) - shared), shared / F.least(F.size(a), F.size(b)))
+    ratio = let(F.size(F.array_intersect(a, b)).cast("double"), lambda n: F.greatest(n / (F.size(a) + F.size(b) - n), n / F.least(F.size(a), F.size(b))))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(ratio)
 
 
@@ -107,14 +111,13 @@ def markdown_to_text(text: Column) -> Column:
         (r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^[ \t]*[-*+][ \t]+", ""), (r"[*_`]{1,3}", ""), (r"\n{3,}", "\n\n"),
     ):
         text = F.regexp_replace(text, pattern, put)
-    return F.trim(text)
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def edge_lines(text: Column, n: int = 4, least: int = 4) -> Column:
     """Distinct first and last n lines that are long enough and no number."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim)
-    size = F.size(lines)
-    ends = F.concat(F.slice(lines, 1, n), F.slice(lines, F.greatest(F.lit(1), size - n + 1), n))
+    ends = let(lines, lambda x: F.concat(F.slice(x, 1, n), F.slice(x, F.greatest(F.lit(1), F.size(x) - n + 1), n)))
     return F.array_distinct(F.filter(ends, lambda x: (F.length(x) >= least) & ~x.rlike("^[0-9]+$")))
 
 
@@ -122,8 +125,7 @@ def clean_page(text: Column, drop: Column) -> Column:
     """Blanks collapsed; repeated margin lines and numbers alone near an edge dropped; at most one blank line in a row."""
     text = F.regexp_replace(F.regexp_replace(text, " ", " "), r"[ \t]+", " ")
     lines = F.transform(F.split(text, "\n"), F.trim)
-    size = F.size(lines)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(drop, x) & ~(x.rlike("^[0-9]{1,3}$") & ((i < 5) | (i >= size - 5))))
+    kept = let(lines, lambda all_: F.filter(all_, lambda x, i: ~F.array_contains(drop, x) & ~(x.rlike("^[0-9]{1,3}$") & ((i < 5) | (i >= F.size(all_) - 5)))))
     return F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
+from docloom.storage import materialize
 
 K1, B = 1.2, 0.75
 
@@ -26,8 +27,9 @@ def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", only: Dat
 
 
 def document_lengths(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokens and pairs of each document, without exploding them."""
-    return docs.select(doc, F.size(T.lexical_tokens(F.col(text), bigrams=True)).cast("long").alias("dl"))
+    """Tokens and pairs of each document: n tokens have n - 1 pairs, which need not be made."""
+    n = F.size(T.lexical_tokens(F.col(text))).cast("long")
+    return docs.select(doc, n.alias("_n")).select(doc, F.greatest(2 * F.col("_n") - 1, F.lit(0)).alias("dl"))
 
 
 def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
@@ -37,10 +39,11 @@ def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, query: str, k: int, doc: str = "doc_id", text: str = "text", query_text: str = "text", exclude_self: bool = False) -> DataFrame:
     """(query, rank, doc, score): documents with a term of the query, by score and then id.
 
-    Of the corpus only postings of the queries' terms are kept; document frequencies come from these.
+    Of the corpus only postings of the queries' terms are kept. They are stored once, for document
+    frequencies and scores both come from them and texts should be read for them once.
     """
     asked = query_terms(queries, query, query_text)
-    found = postings(docs, doc, text, asked.select("term").distinct())
+    found = materialize(postings(docs, doc, text, asked.select("term").distinct()), "postings")
     lengths = document_lengths(docs, doc, text)
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -114,8 +117,7 @@ def sigmoid(x: Column) -> Column:
 
 def recall_of(wanted: Column, found: Column, empty: float = 1.0) -> Column:
     """The share of wanted values that are found; `empty` if none is wanted."""
-    n = F.size(wanted)
-    return F.when(n == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(wanted, found)) / n)
+    return T.let(wanted, lambda w: F.when(F.size(w) == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(w, found)) / F.size(w)))
 
 
 #: Weights of the rerankers, as the compared system publishes them.

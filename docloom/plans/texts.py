@@ -36,8 +36,8 @@ STATS_SQL = f"SELECT term, count(DISTINCT doc_id) AS df, CAST(count(*) AS BIGINT
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question against every question: Jaccard or containment, whichever is larger."""
     words = table(spark, sf_dir, "benchmark").select("item_id", T.word_set(F.col("text")).alias("w"))
-    pairs = words.alias("a").join(words.alias("b"), F.col("a.item_id") < F.col("b.item_id"))
-    return pairs.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.round(T.set_similarity(F.col("a.w"), F.col("b.w")), 6).alias("similarity"))
+    pairs = words.alias("l").join(words.alias("r"), F.col("l.item_id") < F.col("r.item_id"))
+    return pairs.select(F.col("l.item_id").alias("a"), F.col("r.item_id").alias("b"), F.round(T.set_similarity(F.col("l.w"), F.col("r.w")), 6).alias("similarity"))
 
 
 SIMILARITY_SQL = rf"""WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{W}')) AS w FROM benchmark),

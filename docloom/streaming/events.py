@@ -5,17 +5,12 @@ The sink is a table in shared storage; on a cluster, set spark.checkpoint.dir.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docloom-")
-    return f"{base.rstrip('/')}/docloom/stream-{uuid.uuid4().hex}"
+from docloom.storage import new_path
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
@@ -33,7 +28,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream once into Parquet. In complete mode the last batch is the result."""
-    spark, out = stream.sparkSession, _folder(stream.sparkSession)
+    spark, out = stream.sparkSession, new_path(stream.sparkSession, "stream")
     if mode == "complete":
         query = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows"))
     else:

@@ -15,24 +15,28 @@ from docloom.llm.order_minhash import near_documents
 from docloom.llm.packing import cut_documents, pack_pieces
 from docloom.llm.quality import grade_documents, train_quality
 from docloom.llm.toxicity import score_toxicity, train_toxicity
+from docloom.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which grade 1 or better is likelier than not. Learned from the labelled documents of the corpus."""
+    ship(spark)
     model = train_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return grade_documents(docs, model, wanted=1).where("selected").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below 0.5. Learned from the labelled documents of the corpus."""
+    ship(spark)
     model = train_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).where("toxicity < 0.5").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id, once."""
+    ship(spark)
     kept = near_documents(docs).where("kept").select("doc_id")
     with_id = docs.where("doc_id is not null").join(kept.where("doc_id is not null").distinct(), "doc_id", "left_semi")
     once = with_id.dropDuplicates(["doc_id"])
@@ -41,6 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the kept documents in sequences of at most 4096 tokens."""
+    ship(spark)
     pieces = cut_documents(docs, 4096, 2, f"{TOKENIZER_DIR}/word_bpe_49k.json")
     return pack_pieces(pieces, 4096).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 

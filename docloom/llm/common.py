@@ -1,16 +1,16 @@
-"""What the training-data operators share: tables, shared storage, hashing, components."""
+"""What the training-data operators share: tables, hashing, ranks, components."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.storage import materialize
+
 #: Where the public tokenizers are unless a caller gives another folder.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -20,38 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only a session without that setting (a local test) gets a folder of this machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm_dir.get() if jvm_dir.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialize(df: DataFrame, name: str, row_id: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back, so that a lost executor recomputes nothing before it.
-
-    row_id adds a column of unique longs; being stored, they stay the same in every later job.
-    The files go when the session ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
-    if row_id:
-        df = df.withColumn(row_id, F.monotonically_increasing_id())
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def doc_fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus: a split that any engine can repeat."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")

@@ -7,13 +7,15 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.session import shipped
+
 MODULES = ["packing", "language_id", "sharding", "embedding_dedup", "quality", "order_minhash", "license_scan", "toxicity", "sentencepiece_nbest", "media"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {}
     for name in MODULES:
-        out |= import_module(f"docloom.llm.{name}").QUERIES
+        out |= {k: shipped(f) for k, f in import_module(f"docloom.llm.{name}").QUERIES.items()}
     return out
 
 

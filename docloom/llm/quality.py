@@ -20,6 +20,8 @@ from docloom.llm.media import in_portions
 
 #: Hash buckets of trigrams, and of marks of structure.
 TRIGRAMS, MARKS = 2048, 16
+#: Marks are frequencies up to 1; at this scale the ridge penalty does not hold them back.
+MARK_SCALE = 5.0
 #: Labelled documents that the model is fitted on at most.
 MOST_LABELLED = 3000
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
@@ -34,11 +36,11 @@ def trigram_buckets(raw: np.ndarray) -> np.ndarray:
 
 
 def marks(text: str) -> np.ndarray:
-    """Frequencies of marks of structure, 0 to 1."""
+    """Scaled frequencies of marks of structure."""
     out = np.zeros(MARKS)
     words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
     if not words:
-        out[0] = 1
+        out[0] = MARK_SCALE
         return out
     n = len(words)
     distinct = len(set(words))
@@ -57,7 +59,7 @@ def marks(text: str) -> np.ndarray:
     out[11] = n < 20
     out[12] = len(lines) / n
     out[13] = max(map(len, words)) > 60
-    return out
+    return MARK_SCALE * out
 
 
 def features(texts: list[str]) -> np.ndarray:

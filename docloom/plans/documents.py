@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.config import RetrievalConfig
 from docloom.functions import numbers as N
 from docloom.functions import text as T
+from docloom.functions.register import register
 from docloom.operators import chunking as C
 from docloom.operators import conversation as V
 from docloom.operators import coverage as COV
 from docloom.operators import retrieval as R
+from docloom.operators.factory import create_retriever
 from docloom.plans.control import _YEARLY, _evidence, _yearly
 from docloom.sources.tables import table
 
@@ -141,5 +144,21 @@ SUBSET_SQL = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddin
     d AS (SELECT q.vec_id AS query, e.vec_id, round(list_dot_product(e.v, q.v), 6) AS score FROM e, e q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)
     SELECT * FROM (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM d) WHERE rank <= 5"""
 
-QUERIES = {f.__name__: f for f in (layout_blocks, layout_chunks, multi_granularity, cascade_regions, metric_identity, follow_up_rewrite, same_row_comparison, report_lines, hash_embeddings, answer_batch, dense_on_subset)}
+def udtf_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunker as a table function in SQL."""
+    register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("docloom_documents")
+    return spark.sql("SELECT doc_id, seq, md5(w.text) AS text_md5 FROM docloom_documents d, LATERAL text_windows(d.text, 1000, 100) w")
+
+
+def hybrid_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The configured retriever over documents that have a vector; documents ask with their own text and vector."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(vectors.select("doc_id"), "doc_id", "left_semi")
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), F.left("text", F.lit(200)).alias("text"))
+    retrieve = create_retriever(docs, vectors, RetrievalConfig(mode="constraint_rerank", k=5), ["the", "and"])
+    return retrieve(asked, vectors.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query"))
+
+
+QUERIES = {f.__name__: f for f in (udtf_windows, hybrid_factory, layout_blocks, layout_chunks, multi_granularity, cascade_regions, metric_identity, follow_up_rewrite, same_row_comparison, report_lines, hash_embeddings, answer_batch, dense_on_subset)}
 ORACLES = {"layout_blocks": LAYOUT_SQL, "cascade_regions": CASCADE_SQL, "metric_identity": IDENTITY_SQL, "follow_up_rewrite": REWRITE_SQL, "same_row_comparison": COMPARISON_SQL, "report_lines": REPORT_SQL, "dense_on_subset": SUBSET_SQL}

@@ -151,3 +151,30 @@ def test_manifest(spark, tmp_path):
     REC.append_log(rows, str(tmp_path / "log"))
     REC.append_log(rows, str(tmp_path / "log"))
     assert REC.read_jsonl(spark, str(tmp_path / "log"), "id int, text string").count() == 4
+
+
+def test_config(spark, tmp_path):
+    from docloom.config import RetrievalConfig, load_config, preflight
+
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps({"mode": "bm25", "k": 3, "candidates": 5}))
+    assert load_config(str(path)) == RetrievalConfig(mode="bm25", k=3, candidates=5)
+    for bad in ({"mode": "bm25", "k": 3}, {"mode": "x", "k": 3, "candidates": 5}, {"mode": "bm25", "k": 9, "candidates": 5}, {"mode": "bm25", "k": 3, "candidates": 5, "z": 1}):
+        path.write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            load_config(str(path))
+    chunks = spark.createDataFrame([(1,), (2,)], "id int")
+    vectors = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec int, e array<double>")
+    preflight(spark, chunks, vectors, "id", "vec", "e", 1)
+    with pytest.raises(ValueError):
+        preflight(spark, chunks, vectors.where("vec = 1"), "id", "vec", "e", 1)
+
+
+def test_sql_functions(spark):
+    from docloom.functions.register import register
+
+    register(spark)
+    rows = spark.sql("SELECT w.seq, w.text FROM (SELECT 'aa bb cc dd' AS t) d, LATERAL text_windows(d.t, 6, 1) w").collect()
+    assert [r.text for r in rows] == [x for x in C.cut("aa bb cc dd", 6, 1)]
+    assert spark.sql("SELECT m.text FROM LATERAL markup_rows('| a | b |\n| 1 | 2 |') m").first()[0] == "a: 1 | b: 2"
+    assert spark.sql("SELECT fold_text('Ärger')").first()[0] == "arger"

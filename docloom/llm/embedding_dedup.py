@@ -85,10 +85,8 @@ def _spread(kind: str, tables: int, bits: int, seed: int):
                 sig[rows] = signatures(unit(np.frombuffer(b"".join(bodies[i] for i in rows), kind).reshape(len(rows), -1)), tables, bits, seed)
             dims = size // np.dtype(kind).itemsize
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(bodies), t, np.int32)), pa.array(dims.astype(np.int32)), pa.array(sig[:, t]), batch.column("rep"), batch.column("copies"), batch.column("body")],
-                    names=["t", "dims", "sig", "rep", "copies", "body"],
-                )
+                columns = [pa.array(np.full(len(bodies), t, np.int32)), pa.array(dims.astype(np.int32)), pa.array(sig[:, t]), batch.column("digest")]
+                yield pa.RecordBatch.from_arrays(columns, names=["t", "dims", "sig", "digest"])
 
     return run
 
@@ -172,12 +170,14 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "e
     usable = rows.where("digest is not null and vec_id is not null")
     classes = materialize(usable.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("body").alias("body")), "classes")
     n = classes.count()
-    bits = min(40, max(8, math.ceil(math.log2(max(n, 2) / 32))))
+    # so many signs that few vectors meet by chance: only those that meet another have to travel
+    bits = min(48, math.ceil(math.log2(max(n, 2))) + 4)
     tables = tables_for(threshold, bits, recall)
-    spread = classes.select("rep", "copies", "body").mapInArrow(_spread(kind, tables, bits, seed), "t int, dims int, sig long, rep long, copies long, body binary")
+    spread = classes.select("digest", "body").mapInArrow(_spread(kind, tables, bits, seed), "t int, dims int, sig long, digest binary")
     placed = materialize(spread, "buckets")
     sizes = placed.groupBy("t", "dims", "sig").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("parts", F.ceil(F.col("_n") / block).cast("int")).drop("_n")
-    put = placed.join(sizes, ["t", "dims", "sig"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    met = placed.join(materialize(sizes, "sizes"), ["t", "dims", "sig"]).join(classes, "digest")
+    put = met.withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     put = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     put = put.select("t", "dims", "sig", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "copies", "part", "body")
     key = ["t", "dims", "sig", "i", "j"]

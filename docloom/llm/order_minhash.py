@@ -255,11 +255,13 @@ def _verify(similarity: float):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            a = [np.frombuffer(x, "<u4") for x in batch.column("words_u").to_pylist()]
-            b = [np.frombuffer(x, "<u4") for x in batch.column("words_v").to_pylist()]
-            ok = pa.array(near(list(zip(a, b)), similarity))
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(ok), batch.column("v").filter(ok)], names=["u", "v"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
+                # views of the batch's own memory: words are long, so they are not copied
+                a, b = ([np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(c)] for c in ("words_u", "words_v"))
+                ok = pa.array(near(list(zip(a, b)), similarity))
+                yield pa.RecordBatch.from_arrays([batch.column("u").filter(ok), batch.column("v").filter(ok)], names=["u", "v"])
 
     return run
 

@@ -259,9 +259,9 @@ def score_udf_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normal forms that need Python: NFKC, NFC, accent folding and number redaction."""
-    docs = table(spark, sf_dir, "documents").where("lang <> 'en'").select("doc_id", F.left("text", F.lit(200)).alias("t"))
-    return docs.select("doc_id", F.md5(T.nfkc(F.col("t"))).alias("nfkc"), F.md5(T.nfc(F.col("t"))).alias("nfc"), T.fold(F.col("t")).alias("folded"), T.redact_new_numbers(F.lit("in 2020"), F.concat(F.lit("2020 and 37: "), F.left("t", F.lit(20)))).alias("redacted"))
+    """Normal forms that need Python, of every whole text: NFKC, NFC, accent folding and number redaction."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
+    return docs.select("doc_id", F.md5(T.nfkc(F.col("t"))).alias("nfkc"), F.md5(T.nfc(F.col("t"))).alias("nfc"), T.fold(F.col("t")).alias("folded"), T.redact_new_numbers(F.lit("in 2020"), F.concat(F.lit("2020 and 37: "), F.col("t"))).alias("redacted"))
 
 
 QUERIES = {f.__name__: f for f in (route_features, route_score, llm_route_validate, fact_coverage, sufficiency, followup_query, intent_first_match, financial_rank, growth_calc, plan_variance, pp_difference, cagr, tool_calculator, canonical_citation, numeric_support, adaptive_two_round, score_udf_stub, fold_search)}

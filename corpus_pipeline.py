@@ -35,12 +35,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id, once."""
+    """One document of each group of near copies: that of the smallest doc_id, once.
+
+    Rows count by a stored id of their own, so one doc_id may have several texts. Of the rows of a group
+    without a doc_id one stays too, beside the one with the smallest. Null texts are copies only if
+    their doc_id is the same.
+    """
     ship(spark)
-    kept = near_documents(docs).where("kept").select("doc_id")
-    with_id = docs.where("doc_id is not null").join(kept.where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    once = with_id.dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    rows = materialize(docs.select(*COLUMNS), "near-copies", "_row")
+    groups = near_documents(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "group_id")
+    own = rows.select("_row", "doc_id", F.col("text").isNull().alias("_null"))
+    same_id = F.col("_null") & F.col("doc_id").isNotNull()
+    found = own.join(groups, "_row").groupBy(F.when(~same_id, F.col("group_id")).alias("_group"), F.when(same_id, F.col("doc_id")).alias("_id"), F.col("doc_id").isNull().alias("_none"))
+    kept = materialize(found.agg(F.min(F.struct("doc_id", "_row")).alias("_first")).select("_first._row"), "kept-rows")
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,8 +62,8 @@ OTHERS = (
     "Licensed under section 3 of the act.", "He was licensed as a pilot.", "Licensed premises close at ten.", "Copyright law applies.", "The publisher holds the copyright of this work.", "Use of this code is forbidden without a licence.",
 )
 
-#: A paragraph that holds none of these is no notice; every notice above holds one.
-CUE = r"(?i)licen[cs]|copyright|\b(released|published|distributed|available) under\b|public domain|hereby granted|redistribution and use|under (mit|isc|apache|[al]?gpl|mpl|cc|the unlicense)|terms of |redistribute it|distribute this software|use this code under"
+#: A paragraph that holds none of these is no notice; every notice above holds one. Names of families count alone; MIT and ISC in capitals only, as `mit` is a German word.
+CUE = r"(?i)licen[csçz]|lizen[sz]|copyright|\b(released|published|distributed|available) under\b|public domain|hereby granted|redistribution and use|under (mit|isc|apache|[al]?gpl|mpl|cc|the unlicense)|terms of |redistribute it|distribute this software|use this code under|\b(?-i:MIT|ISC)\b|\bapache[ -]?v?[0-9]|\b[al]?gpl(v?[0-9]|\b)|\bgnu\b|\bbsd\b|\bmplv?[0-9]|\bmpl\b|mozilla public|\bcc0\b|\bcc[ -]by\b|creative commons"
 TOKEN = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
 #: Least probability of a family, and least share of a notice that a paragraph must hold.
 LEAST, CONFIRMED = 0.5, 0.6

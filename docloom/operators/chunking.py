@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+import html
+import re
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,14 @@ from pyspark.sql.window import Window
 
 from docloom.functions import text as T
 
+BREAK = re.compile(r"[ \n]")
+TAG = re.compile(r"<[^>]*>")
+TABLE = re.compile(r"(?is)<table\b[^>]*>(.*?)(?=<table\b|</table|\Z)")
+ROW = re.compile(r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr|\Z)")
+CELL = re.compile(r"(?is)<t[dh]\b[^>]*>(.*?)(?=<t[dh]\b|</t[dh]\b|\Z)")
+#: The line between the header and the rows of a pipe table.
+PIPE_RULE = re.compile(r"[\s|:-]*")
+
 
 def repeated_margins(pages: DataFrame, key: str, text: str, least: int = 8, share: float = 0.01) -> DataFrame:
     """(line, pages): lines at the edges of at least max(least, share of all) pages."""
@@ -33,21 +43,27 @@ def fixed_windows(pages: DataFrame, key: str, text: str, size: int, overlap: int
     return pages.select(key, text, F.posexplode(starts).alias("seq", "_start")).select(key, "seq", F.substring(F.col(text), F.col("_start") + 1, F.lit(size)).alias("text"))
 
 
-def cut(text: str, size: int, overlap: int) -> Iterator[str]:
-    """Windows that end at a line or word if one ends in their last 30 %; the next begins `overlap` before that end."""
-    start = 0
-    while start < len(text):
-        end = min(len(text), start + size)
-        if end < len(text):
-            least = start + int(size * 0.7)
-            at = max(text.rfind("\n", least, end), text.rfind(" ", least, end))
-            end = at if at > start else end
-        piece = text[start:end].strip()
-        if piece:
-            yield piece
-        if end >= len(text):
-            return
-        start = max(end - overlap, start + 1)
+def window_spans(length: int, breaks: Sequence[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of windows over a text of that length. breaks: sorted places of its spaces and newlines.
+
+    A window stops at its last break if that lies beyond 70 % of it; the next one takes `overlap` back.
+    """
+    start = stop = 0
+    while stop < length:
+        stop = min(start + size, length)
+        if stop < length:
+            nearest = bisect_left(breaks, stop) - 1
+            if nearest >= 0 and breaks[nearest] >= max(start + 1, start + int(size * 0.7)):
+                stop = breaks[nearest]
+        yield start, stop
+        start = max(start + 1, stop - overlap)
+
+
+def cut(text: str, size: int, overlap: int) -> list[str]:
+    """The windows of a text, without white space at their ends and without empty ones."""
+    breaks = [m.start() for m in BREAK.finditer(text)]
+    windows = (text[a:b].strip() for a, b in window_spans(len(text), breaks, size, overlap))
+    return [w for w in windows if w]
 
 
 def overlap_windows(pages: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
@@ -66,51 +82,34 @@ def overlap_windows(pages: DataFrame, key: str, text: str, size: int, overlap: i
     return pages.select(key, text).mapInArrow(run, f"{key} {dict(pages.dtypes)[key]}, seq int, text string")
 
 
-class _Tables(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.tables, self.row, self.cell = [], None, None
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self.tables.append([])
-        elif tag == "tr" and self.tables:
-            self.row = []
-            self.tables[-1].append(self.row)
-        elif tag in ("td", "th") and self.row is not None:
-            self.cell = []
-            self.row.append(self.cell)
+def _plain(markup: str) -> str:
+    return " ".join(html.unescape(TAG.sub("", markup)).split())
 
-    def handle_endtag(self, tag):
-        if tag in ("td", "th"):
-            self.cell = None
-        elif tag == "tr":
-            self.row = None
 
-    def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
+def _pipe_rows(markup: str) -> list[list[str]]:
+    lines = (x.strip() for x in markup.splitlines() if not PIPE_RULE.fullmatch(x))
+    return [[c.strip() for c in x.strip("|").split("|")] for x in lines if x.count("|") >= 2]
 
 
 def tables_of(markup: str) -> list[list[list[str]]]:
-    """Cells of HTML tables, or of a pipe table if there is no HTML one."""
-    parser = _Tables()
-    parser.feed(markup)
-    found = [[[" ".join("".join(c).split()) for c in r] for r in t] for t in parser.tables]
-    if not found:
-        lines = [x.strip().strip("|").split("|") for x in markup.splitlines() if x.count("|") >= 2]
-        rows = [[c.strip() for c in r] for r in lines if not all(set(c.strip()) <= set(":- ") for c in r)]
-        found = [rows] if rows else []
-    return [[r for r in t if any(r)] for t in found]
+    """Cells of HTML tables, or of a pipe table if there is no HTML one; rows without text are left out.
+
+    A table, row or cell lasts until its end tag, the next one of its kind, or what it lies in ends.
+    """
+    grids = [[[_plain(c) for c in CELL.findall(r)] for r in ROW.findall(t)] for t in TABLE.findall(markup)]
+    return [[r for r in g if any(r)] for g in grids or [x for x in [_pipe_rows(markup)] if x]]
 
 
 def row_texts(rows: list[list[str]]) -> list[str]:
     """`header: value | ...` of each row below the first; the header alone if there is no other row."""
-    if len(rows) == 1:
-        return [" | ".join(c for c in rows[0] if c)]
-    head = rows[0] if rows else []
-    name = lambda i: head[i] if i < len(head) and head[i] else f"column {i + 1}"
-    return [" | ".join(f"{name(i)}: {c}" for i, c in enumerate(r) if c) for r in rows[1:]]
+    if not rows:
+        return []
+    head, *body = rows
+    if not body:
+        return [" | ".join(filter(None, head))]
+    width = max(map(len, rows))
+    labels = [h or f"column {i}" for i, h in enumerate(head + [""] * (width - len(head)), 1)]
+    return [" | ".join(f"{label}: {cell}" for label, cell in zip(labels, r) if cell) for r in body]
 
 
 def table_rows(pages: DataFrame, key: str, markup: str) -> DataFrame:

@@ -1,20 +1,24 @@
 """Near-duplicate documents by Order MinHash (Marcais et al., 2019) and banded alignment.
 
-Each document is its lower-cased words; its k-mers are runs of five words, labelled by which
-occurrence in the document they are. A sketch takes, under one hash, the two smallest labelled k-mers
-and keeps them in text order, so it depends on the order of what documents share and follows edit
-similarity. Documents that agree in a sketch are candidates; a pair is linked if the words' edit
-distance, by alignment in a band, is at most a fifth of the longer document.
-
-Short documents share few k-mers however near they are, so they also have a key for each text that is left when
-as many words are deleted as the similarity allows. Texts within that distance agree in one of
-these, so pairs of at most 14 words, at 0.8, are never missed.
+Each document is its lower-cased words; its k-mers are runs of words, labelled by which occurrence in
+the document they are. A sketch takes, under one hash, the smallest labelled k-mers and keeps them in
+text order, so it depends on the order of what documents share and follows edit similarity.
+Documents that agree in a sketch are candidates; a pair is linked if the words' edit distance, by
+alignment in a band, is at most a fifth of the longer document.
+
+Most sketches are of five-word k-mers. Edits that are scattered leave few of these, so each document
+also has sketches of word pairs, of more of them where it is long. The shortest documents share few
+k-mers however near they are: they have a key for each text that is left when as many words are
+deleted as the similarity allows. Texts within that distance agree in one of these, so pairs of at
+most 14 words, at 0.8, are never missed.
 
 Equal texts are one class from the start. Within a bucket every class is a candidate of the smallest.
 Each class is first aligned with the one of these with which it shares most sketches, then with the
-others that this has not connected; at last, classes of one bucket that are still in different
-components are compared with each other, block against block. So a large group costs one alignment a member, and no
-candidate pair goes unanswered: it is linked, rejected, or already connected.
+others that this has not connected. At last, classes of one bucket that are still in different
+components are compared with each other in tasks, block against block: the words that one lacks of the
+other bound their distance from below, what is left is aligned, and what a link connects is not
+aligned again. Tasks emit the links of a forest, never pairs. So no candidate pair goes unanswered: it
+is linked, rejected, or already connected.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import math
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import connected_components, materialize, table
@@ -32,8 +36,11 @@ from docloom.llm.media import in_portions
 
 K = 5
 SIMILARITY = 0.8
-SKETCHES = 48
-BINS = 256
+#: Documents of at most so many words count as short.
+SHORT = 250
+#: (words of a k-mer, k-mers of a sketch, sketches): of every document, of short ones, of long ones.
+EVERY, OF_SHORT, OF_LONG = (K, 2, 40), (2, 3, 40), (2, 4, 40)
+SKETCHES = EVERY[2] + OF_SHORT[2] + OF_LONG[2]
 #: Most deletion variants of a text; longer texts have none.
 MOST_VARIANTS = 128
 
@@ -112,14 +119,13 @@ def labelled_kmers(hashes: np.ndarray, counts: np.ndarray, k: int = K) -> tuple[
     return mix(value + occurrence.astype(np.uint64) * _MIX_A), np.bincount(document, minlength=len(counts))
 
 
-def order_sketches(kmers: np.ndarray, counts: np.ndarray, sketches: int = SKETCHES, seed: int = 11) -> np.ndarray:
-    """Documents by sketches: a 64-bit key of the two smallest k-mers in text order; rows without k-mers are 0."""
+def order_sketches(kmers: np.ndarray, counts: np.ndarray, sketches: int, size: int = 2, seed: int = 11) -> np.ndarray:
+    """Documents by sketches: a 64-bit key of the `size` smallest k-mers in text order, of all if there are fewer; rows without k-mers are 0."""
     out = np.zeros((len(counts), sketches), np.uint64)
     has = np.flatnonzero(counts > 0)
     if not len(has):
         return out
     starts = (np.cumsum(counts) - counts)[has]
-    single = counts[has] == 1
     low = np.uint64((1 << 24) - 1)
     place = np.arange(len(kmers), dtype=np.uint64)
     if len(kmers) > 1 << 24:  # one very long document alone: places need more bits
@@ -129,15 +135,35 @@ def order_sketches(kmers: np.ndarray, counts: np.ndarray, sketches: int = SKETCH
     for s in range(sketches):
         rank = ((kmers + odd[s, 1]) * odd[s, 0]) & ~low
         rank |= place
-        a = np.minimum.reduceat(rank, starts) & low
-        rank[a.astype(np.int64)] = top
-        b = np.minimum.reduceat(rank, starts)
-        b = np.where(single, a, b & low)
-        x, y = kmers[np.minimum(a, b).astype(np.int64)], kmers[np.maximum(a, b).astype(np.int64)]
-        out[has, s] = mix(x * _BASE + y + np.uint64(s)) | np.uint64(1)
+        chosen: list[np.ndarray] = []
+        for j in range(size):
+            at = (np.minimum.reduceat(rank, starts) & low).astype(np.int64)
+            if j:
+                at = np.where(counts[has] > j, at, chosen[0])
+            chosen.append(at)
+            if j + 1 < size:
+                rank[at] = top
+        value = np.full(len(has), np.uint64(s + seed))
+        for at in np.sort(np.stack(chosen), axis=0):
+            value = mix(value * _BASE + kmers[at])
+        out[has, s] = value | np.uint64(1)
     return out
 
 
+def document_sketches(hashes: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """All sketches of documents one after another, in the columns of EVERY, OF_SHORT and OF_LONG; 0 where a document has none.
+
+    Documents near the limit have both kinds, so that two within the similarity always have one in common.
+    """
+    out = [order_sketches(*labelled_kmers(hashes, counts, EVERY[0]), EVERY[2], EVERY[1])]
+    for (k, size, sketches), chosen, seed in ((OF_SHORT, counts * similarity <= SHORT, 12), (OF_LONG, counts > SHORT, 13)):
+        part = np.zeros((len(counts), sketches), np.uint64)
+        of = np.repeat(chosen, counts)
+        part[chosen] = order_sketches(*labelled_kmers(hashes[of], counts[chosen], k), sketches, size, seed)
+        out.append(part)
+    return np.concatenate(out, axis=1)
+
+
 @cache
 def variant_places(similarity: float) -> list[list[np.ndarray]]:
     """For texts of 0, 1, 2 ... words: the places that stay when as many are deleted as similarity allows, an array for each number of deletions."""
@@ -173,18 +199,18 @@ def deletion_variants(hashes: np.ndarray, counts: np.ndarray, similarity: float)
     return out
 
 
-def _sketch(sketches: int, similarity: float):
+def _sketch(similarity: float):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
             for a, b in in_portions([len(t) for t in texts], 1_500_000):
                 hashes, counts, _ = word_hashes(texts[a:b])
-                keys = order_sketches(*labelled_kmers(hashes, counts), sketches)
-                body = [x.tobytes() if n else None for x, n in zip(keys, counts)]
+                body = [x.tobytes() if n else None for x, n in zip(document_sketches(hashes, counts, similarity), counts)]
                 variants = [None if x is None else x.tobytes() for x in deletion_variants(hashes, counts, similarity)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("digest").slice(a, b - a), pa.array(body, pa.binary()), pa.array(variants, pa.binary())], names=["doc_id", "digest", "sketch", "variants"])
+                columns = [batch.column("digest").slice(a, b - a), pa.array(counts.astype(np.int32)), pa.array(body, pa.binary()), pa.array(variants, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "size", "sketch", "variants"])
 
     return run
 
@@ -197,28 +223,20 @@ def _buckets(batches):
         for column in ("sketch", "variants"):
             bodies = [x or b"" for x in batch.column(column).to_pylist()]
             keys = np.frombuffer(b"".join(bodies), np.int64)
-            n = np.array([len(x) // 8 for x in bodies], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("rep").to_numpy(), n))], names=["bucket", "rep"])
-
-
-def bag_of(words: np.ndarray) -> bytes:
-    """Counts of words in BINS bins; all at the limit if one exceeds it, so that they rule nothing out."""
-    counts = np.bincount(words & (BINS - 1), minlength=BINS)
-    return (counts if counts.max() < 65535 else np.full(BINS, 65535)).astype("<u2").tobytes()
+            nodes = np.repeat(batch.column("node").to_numpy(), [len(x) // 8 for x in bodies])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keys != 0]), pa.array(nodes[keys != 0])], names=["bucket", "node"])
 
 
 def _words(batches):
-    """32-bit hashes of the words of each document, and their counts by BINS bins."""
+    """32-bit hashes of the words of each class."""
     import pyarrow as pa
 
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
+        texts = batch.column("text").to_pylist()
         for a, b in in_portions([len(t) for t in texts], 1_500_000):
             hashes, counts, _ = word_hashes(texts[a:b])
-            short = (hashes >> np.uint64(32)).astype("<u4")
-            parts = np.split(short, np.cumsum(counts)[:-1])
-            bags = [bag_of(p) for p in parts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(bags, pa.binary())], names=["rep", "words", "bag"])
+            parts = np.split((hashes >> np.uint64(32)).astype("<u4"), np.cumsum(counts)[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([p.tobytes() for p in parts], pa.binary())], names=["node", "words"])
 
 
 def distance_in_band(a: list[np.ndarray], b: list[np.ndarray], band: int) -> np.ndarray:
@@ -314,85 +332,130 @@ def _verify(similarity: float):
     return run
 
 
-def _across(similarity: float):
-    """Sorted rows of bucket parts to pairs of different components that lengths and bags do not rule out.
+def word_bits(words: list[np.ndarray]) -> np.ndarray:
+    """Documents by 64-bit parts of a set of hashed occurrence-labelled words, wide enough that most words have a bit of their own."""
+    counts = np.array([len(w) for w in words])
+    labelled, _ = labelled_kmers(np.concatenate(words).astype(np.uint64), counts, 1)
+    wide = min(1 << 15, max(1 << 9, 1 << (8 * int(counts.max(initial=1)) - 1).bit_length()))
+    out = np.zeros((len(words), wide // 8), np.uint8)
+    stops = np.cumsum(counts)
+    for i, (a, b) in enumerate(zip(stops - counts, stops)):
+        row = np.zeros(wide, bool)
+        row[(labelled[a:b] % np.uint64(wide)).astype(np.int64)] = True
+        out[i] = np.packbits(row)
+    return out.view(np.uint64)
+
+
+def _open_pairs(part: np.ndarray, i: int, j: int, most_at_once: int = 1 << 20):
+    """Pairs of places in a group: of one part all, of two parts those across."""
+    left = np.flatnonzero(part == i)
+    right = left if i == j else np.flatnonzero(part == j)
+    rows = max(1, most_at_once // max(1, len(right)))
+    for k in range(0, len(left), rows):
+        x, y = np.repeat(left[k : k + rows], len(right)), np.tile(right, len(left[k : k + rows]))
+        yield (x[x < y], y[x < y]) if i == j else (x, y)
 
-    A pair comes out of the first sketch's bucket in which it meets only; out of those of deletion variants if it shares no sketch.
+
+def links_within(bucket: int, i: int, j: int, node: np.ndarray, component: np.ndarray, part: np.ndarray, words: list[np.ndarray], sketch: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of a forest that connects what near pairs of one bucket part (or two) connect.
+
+    A pair is answered in the first sketch's bucket in which it meets only; in those of deletion variants if it shares no sketch.
     """
+    size = np.array([len(w) for w in words])
+    bits, label = None, np.unique(component, return_inverse=True)[1]
+    earlier = int((sketch[0] == bucket).argmax()) if bucket & 1 else sketch.shape[1]
+    out: list[tuple[int, int]] = []
+    for x, y in _open_pairs(part, i, j):
+        most = ((1 - similarity) * np.maximum(size[x], size[y]) + 1e-9).astype(np.int64)
+        ok = (label[x] != label[y]) & (np.abs(size[x] - size[y]) <= most)
+        x, y, most = x[ok], y[ok], most[ok]
+        if not len(x):
+            continue
+        bits = word_bits(words) if bits is None else bits
+        step = max(1, (1 << 21) // bits.shape[1])
+        for k in range(0, len(x), step):
+            a, b, limit = x[k : k + step], y[k : k + step], most[k : k + step]
+            own, other = bits[a], bits[b]
+            ok = np.bitwise_count(own & ~other).sum(1, dtype=np.int64) <= limit
+            ok &= np.bitwise_count(other & ~own).sum(1, dtype=np.int64) <= limit
+            a, b = a[ok], b[ok]
+            met = ((sketch[a, :earlier] == sketch[b, :earlier]) & (sketch[a, :earlier] != 0)).any(1)
+            a, b = a[~met], b[~met]
+            while len(a):
+                now = label[a] != label[b]  # links found so far may have connected them
+                a, b = a[now], b[now]
+                found = near([(words[p], words[q]) for p, q in zip(a[:1024], b[:1024])], similarity)
+                for p, q in zip(a[:1024][found], b[:1024][found]):
+                    if label[p] != label[q]:
+                        label[label == label[q]] = label[p]
+                        out.append((int(node[p]), int(node[q])))
+                a, b = a[1024:], b[1024:]
+    return out
+
 
-    def group(bucket, i, j, rep, component, part, size, bags, sketch, out):
-        if len(rep) < 2:
-            return
-        may = component[:, None] != component[None, :]
-        may &= np.triu(np.ones(may.shape, bool), 1) if i == j else (part == i)[:, None] & (part == j)[None, :]
-        a, b = np.nonzero(may)
-        earlier = int((sketch[0] == bucket).argmax()) if bucket & 1 else sketch.shape[1]
-        for k in range(0, len(a), 100_000):
-            x, y = a[k : k + 100_000], b[k : k + 100_000]
-            longer = np.maximum(size[x], size[y])
-            most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
-            ok = np.abs(size[x] - size[y]) <= most
-            x, y, longer, most = x[ok], y[ok], longer[ok], most[ok]
-            ok = longer - np.minimum(bags[x], bags[y]).sum(1, dtype=np.int64) <= most
-            ok[ok] = (sketch[x[ok], :earlier] != sketch[y[ok], :earlier]).all(1)
-            out.append((np.minimum(rep[x[ok]], rep[y[ok]]), np.maximum(rep[x[ok]], rep[y[ok]])))
+def _within_buckets(similarity: float):
+    """Sorted rows of bucket parts to the links found in them."""
 
     def run(batches):
         import pyarrow as pa
 
+        names = ("bucket", "i", "j", "node", "component", "part")
+
+        def answer(rows):
+            if len(rows[0]) < 2:
+                return []
+            words = [np.frombuffer(w, "<u4") for w in rows[6]]
+            sketch = np.frombuffer(b"".join(rows[7]), np.int64).reshape(len(words), -1)
+            return links_within(int(rows[0][0]), int(rows[1][0]), int(rows[2][0]), *rows[3:6], words, sketch, similarity)
+
         held = None
-        names = ("bucket", "i", "j", "rep", "component", "part", "size")
         for batch in batches:
-            bags = np.frombuffer(b"".join(batch.column("bag").to_pylist()), "<u2").reshape(-1, BINS)
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.int64).reshape(len(bags), -1)
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names] + [bags, sketch]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names] + [np.array([*batch.column(c).to_pylist(), None], dtype=object)[:-1] for c in ("words", "sketch")]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in now[:3]])) + 1
-            starts, out = [0, *change.tolist()], []
-            for a, b in zip(starts, starts[1:]):
-                group(now[0][a], now[1][a], now[2][a], *(c[a:b] for c in now[3:]), out)
+            starts = [0, *change.tolist()]
+            found = [e for a, b in zip(starts, starts[1:]) for e in answer([c[a:b] for c in now])]
             held = [c[starts[-1] :] for c in now]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["u", "v"])
-        if held is not None and len(held[0]):
-            out = []
-            group(held[0][0], held[1][0], held[2][0], *held[3:], out)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["u", "v"])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["u", "v"])
+        found = answer(held) if held is not None else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["u", "v"])
 
     return run
 
 
-def near_documents(docs: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES, block: int = 512) -> DataFrame:
-    """(doc_id, class_id, group_id, kept) of every row.
+def text_digest(text: Column) -> Column:
+    """128 bits that equal texts share; null for null."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
 
-    class_id is the smallest doc_id of the same text, group_id the smallest that links reach, and one
-    document of each group, with that id, is kept. Null texts are alone; equal empty texts are one
-    class; texts without words link only with equal texts; rows without an id are kept and have
-    null ids. Classes of one smallest id count as one document. Only doc_id and text are looked at;
-    an empty table stays empty. Words end at white space and ASCII punctuation.
+def near_texts(texts: DataFrame, similarity: float = SIMILARITY, block: int = 2048, block_words: int = 2_000_000) -> DataFrame:
+    """(digest, component) of every distinct text in the column text; near texts have one component, a long.
+
+    digest is text_digest; null texts are left out. Words end at white space and ASCII punctuation.
+    Texts without words are near nothing. A part of a bucket that is compared with another in one
+    task has about `block` texts and `block_words` words at most.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digest = F.when(F.col("doc_id").isNotNull(), F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
-    rows = narrow.withColumn("digest", digest).mapInArrow(_sketch(sketches, similarity), "doc_id long, digest binary, sketch binary, variants binary")
-    rows = materialize(rows, "sketches")
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"), F.min("variants").alias("variants"))
-    classes = materialize(classes, "classes")
-    buckets = classes.where("sketch is not null").select("rep", "sketch", "variants").mapInArrow(_buckets, "bucket long, rep long")
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = materialize(shared, "shared")
-    members = materialize(buckets.join(shared, "bucket"), "members")
-    pairs = members.where("rep <> low").groupBy(F.col("low").alias("u"), F.col("rep").alias("v")).agg(F.count(F.lit(1)).alias("agree"))
+    narrow = texts.select(F.col("text").cast("string").alias("text")).where("text is not null").withColumn("digest", text_digest(F.col("text")))
+    sketched = narrow.mapInArrow(_sketch(similarity), "digest binary, size int, sketch binary, variants binary")
+    classes = sketched.groupBy("digest").agg(*(F.min(c).alias(c) for c in ("size", "sketch", "variants")))
+    classes = materialize(classes, "classes", "node")
+    buckets = classes.where("sketch is not null").select("node", "sketch", "variants").mapInArrow(_buckets, "bucket long, node long")
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = materialize(buckets.join(materialize(shared, "shared"), "bucket"), "members")
+    pairs = members.where("node <> low").groupBy(F.col("low").alias("u"), F.col("node").alias("v")).agg(F.count(F.lit(1)).alias("agree"))
     pairs = materialize(pairs, "pairs")
-    ids = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id")
-    # one plan at every size: the ids grow with the corpus, so they are never broadcast
-    words = narrow.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_words, "rep long, words binary, bag binary")
-    words = materialize(words.groupBy("rep").agg(F.min("words").alias("words"), F.min("bag").alias("bag")), "words")
+    ids = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    wanted = classes.select("digest", "node").join(ids, "node", "left_semi")
+    # copies go in the tasks that read them; one plan at every size: the wanted ones grow with the corpus, so they are never broadcast
+    words = narrow.groupBy("digest").agg(F.first("text").alias("text")).join(wanted.hint("merge"), "digest")
+    words = materialize(words.select("node", "text").mapInArrow(_words, "node long, words binary"), "words")
 
     def linked(found: DataFrame) -> DataFrame:
-        left = words.select(F.col("rep").alias("u"), F.col("words").alias("words_u"))
-        right = words.select(F.col("rep").alias("v"), F.col("words").alias("words_v"))
+        left = words.select(F.col("node").alias("u"), F.col("words").alias("words_u"))
+        right = words.select(F.col("node").alias("v"), F.col("words").alias("words_v"))
         return materialize(found.join(left, "u").join(right, "v").select("u", "v", "words_u", "words_v").mapInArrow(_verify(similarity), "u long, v long"), "edges")
 
     best = materialize(pairs.groupBy("v").agg(F.max_by("u", F.struct("agree", -F.col("u"))).alias("u")).select("u", "v"), "best")
@@ -403,21 +466,36 @@ def near_documents(docs: DataFrame, similarity: float = SIMILARITY, sketches: in
     open_ = pairs.select("u", "v").join(own, "u", "left").join(other, "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
     more = linked(open_.join(best, ["u", "v"], "left_anti"))
     first = materialize(connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "components")
-    rest = members.where("members > 2 and rep <> low").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    rest = materialize(rest, "rest")
-    mixed = rest.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a < _b").select("bucket", F.ceil(F.col("_n") / block).cast("int").alias("parts"))
-    mixed = materialize(mixed, "mixed")
-    put = rest.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    put = put.join(words.select("rep", (F.octet_length("words") / 4).cast("long").alias("size"), "bag"), "rep").join(classes.select("rep", "sketch"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    put = put.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "component", "part", "size", "bag", "sketch")
+    # pairs with the smallest of a bucket are answered
+    rest = members.where("members > 2 and node <> low").select("bucket", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = materialize(rest.join(classes.select("node", "size"), "node"), "rest")
+    mixed = rest.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_w")).where("_a < _b")
+    mixed = mixed.select("bucket", F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.col("_w") / block_words)).cast("int").alias("parts"))
+    put = rest.drop("size").join(materialize(mixed, "mixed"), "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    put = put.join(words, "node").join(classes.select("node", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    put = put.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "component", "part", "words", "sketch")
     key = ["bucket", "i", "j"]
-    across = put.repartition(*key).sortWithinPartitions(*key).mapInArrow(_across(similarity), "u long, v long").distinct()
-    late = linked(materialize(across, "across").join(pairs, ["u", "v"], "left_anti"))
-    edges = first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late)
-    components = connected_components(edges).withColumnRenamed("node", "rep")
-    known = classes.select("digest", "rep").join(components, "rep", "left").select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("group_id"))
-    out = rows.select("doc_id", "digest").join(known, "digest", "left")
-    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"))
+    late = materialize(put.repartition(*key).sortWithinPartitions(*key).mapInArrow(_within_buckets(similarity), "u long, v long"), "late")
+    components = connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late))
+    return classes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+
+
+def near_documents(docs: DataFrame, similarity: float = SIMILARITY, block: int = 2048) -> DataFrame:
+    """(doc_id, class_id, group_id, kept) of every row.
+
+    class_id is the smallest doc_id of the same text, group_id the smallest that links reach, and the
+    rows of that id in the group are kept. Null texts are alone; equal empty texts are one class; texts
+    without words link only with equal texts; rows without an id are kept, have null ids and connect
+    nothing. Repeated rows give rows each. An id may have several texts, each in a group of its own.
+    Only doc_id and text are looked at; an empty table stays empty. Long texts count whole.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = materialize(near_texts(rows.where("doc_id is not null"), similarity, block), "texts")
+    narrow = rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), text_digest(F.col("text"))).alias("digest"))
+    classes = narrow.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id")).join(texts, "digest")
+    classes = materialize(classes, "class-ids")
+    known = classes.join(classes.groupBy("component").agg(F.min("class_id").alias("group_id")), "component").select("digest", "class_id", "group_id")
+    out = narrow.join(known, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("group_id")))
 
 

@@ -1,7 +1,8 @@
 import random
 
 import numpy as np
-from docloom.llm.order_minhash import K, distance_in_band, labelled_kmers, near, near_documents, op6_order_minhash, order_sketches, word_hashes
+import pytest
+from docloom.llm.order_minhash import K, SHORT, distance_in_band, document_sketches, labelled_kmers, links_within, near, near_documents, op6_order_minhash, order_sketches, word_bits, word_hashes
 
 SF = "/root/testdata/sf0.001"
 
@@ -117,6 +118,69 @@ def test_equals_brute_force(spark):
         assert all(r.kept == (r.doc_id == r.group_id) for r in got)
 
 
+@pytest.mark.parametrize("share", [0.78, 0.82])
+def test_short_documents_of_one_passage(spark, share):
+    """Many documents of which nearly four fifths, or just over, are one passage."""
+    rng = random.Random(9)
+    passage = prose(rng, round(100 * share)).split()
+    texts = {}
+    for i in range(120):
+        own = prose(rng, 100 - len(passage)).split()
+        if i % 4 == 3:  # near another one
+            own = texts[i - 1].split()[: len(own) // 2] + own[len(own) // 2 :] if i % 8 == 7 else own
+        k = len(own) // 2
+        texts[i] = " ".join([*own[:k], *passage, *own[k:]])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = groups(texts)
+    assert len(set(want.values())) < 120 and (share < 0.8 or set(want.values()) == {0})
+    for block in (2048, 25):
+        assert {r.doc_id: r.group_id for r in near_documents(df, block=block).collect()} == want
+
+
+def test_bits_bound_the_distance():
+    rng = random.Random(12)
+    for _ in range(50):
+        many = [np.array([rng.randint(0, 9) for _ in range(rng.randint(0, 40))], "<u4") for _ in range(6)]
+        bits = word_bits(many)
+        for i in range(6):
+            for j in range(6):
+                assert np.bitwise_count(bits[i] & ~bits[j]).sum() <= edit(many[i].tolist(), many[j].tolist())
+
+
+def test_links_within_skip_what_is_connected():
+    a = np.arange(50, dtype="<u4")
+    words = [a, np.append(a, 99).astype("<u4"), np.append(a, 98).astype("<u4"), a + 500]
+    sketch = np.array([[1, 3], [1, 3], [1, 3], [1, 3]])
+    node, part = np.arange(4) + 10, np.zeros(4, np.int64)
+    got = links_within(1, 0, 0, node, node, part, words, sketch, 0.8)
+    assert len(got) == 2 and {x for e in got for x in e} == {10, 11, 12}
+    assert links_within(3, 0, 0, node, node, part, words, sketch, 0.8) == []  # they met in the first sketch
+    assert links_within(1, 0, 0, node, np.zeros(4), part, words, sketch, 0.8) == []
+
+
+@pytest.mark.parametrize("words_of", [15, 20, 30, 60, 200, SHORT + 10, 400])
+def test_recall_of_scattered_edits(words_of):
+    """Candidates of pairs at the least similarity, words changed at random."""
+    rng = np.random.default_rng(words_of)
+    n, edits = 300, int(0.2 * words_of + 1e-9)
+    a = rng.integers(1, 1 << 62, (n, words_of), dtype=np.uint64)
+    b = a.copy()
+    for row in b:
+        row[rng.choice(words_of, edits, replace=False)] = rng.integers(1, 1 << 62, edits, dtype=np.uint64)
+    s = document_sketches(np.concatenate([a, b]).ravel(), np.full(2 * n, words_of))
+    assert ((s[:n] == s[n:]) & (s[:n] != 0)).any(1).mean() >= 0.9
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(10)
+    w = prose(rng, 30_000).split()
+    other = list(w)
+    for k in range(0, 30_000, 30):
+        other[k] = "changed"
+    df = spark.createDataFrame([(4, " ".join(w)), (2, " ".join(other)), (3, prose(rng, 30_000)), (5, "x" * 1_000_000)], "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in near_documents(df).collect()} == {4: 2, 2: 2, 3: 3, 5: 5}
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "A b c.")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.group_id, r.kept) for r in near_documents(df).collect()), key=str)

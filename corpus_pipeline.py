@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import TOKENIZER_DIR, materialize, table
-from docloom.llm.order_minhash import near_documents
+from docloom.llm.order_minhash import near_texts, text_digest
 from docloom.llm.packing import cut_documents, pack_pieces
 from docloom.llm.quality import grade_documents, train_quality
 from docloom.llm.toxicity import score_toxicity, train_toxicity
@@ -35,20 +35,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id, once.
+    """One document of each group of near copies: that of the smallest doc_id; one without an id only where all are.
 
-    Rows count by a stored id of their own, so one doc_id may have several texts. Of the rows of a group
-    without a doc_id one stays too, beside the one with the smallest. Null texts are copies only if
-    their doc_id is the same.
+    Groups are of texts, so one doc_id may have several that stay. Rows that share id and text count
+    once, the smallest lang, source and n_chars staying. Null texts are copies only if their doc_id is
+    the same, and rows without id and text all stay. An empty text is a text; an empty table stays empty.
     """
     ship(spark)
-    rows = materialize(docs.select(*COLUMNS), "near-copies", "_row")
-    groups = near_documents(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "group_id")
-    own = rows.select("_row", "doc_id", F.col("text").isNull().alias("_null"))
-    same_id = F.col("_null") & F.col("doc_id").isNotNull()
-    found = own.join(groups, "_row").groupBy(F.when(~same_id, F.col("group_id")).alias("_group"), F.when(same_id, F.col("doc_id")).alias("_id"), F.col("doc_id").isNull().alias("_none"))
-    kept = materialize(found.agg(F.min(F.struct("doc_id", "_row")).alias("_first")).select("_first._row"), "kept-rows")
-    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    texts = docs.where("text is not null").withColumn("_digest", text_digest(F.col("text")))
+    ids = texts.groupBy("_digest").agg(F.min("doc_id").alias("doc_id"))
+    groups = near_texts(docs).withColumnRenamed("digest", "_digest").join(ids, "_digest")
+    kept = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_digest")).alias("_first")).select("_first._digest")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "lang", "source", "n_chars")
+    # one row of each text first, in the tasks that read them, so that many copies never meet in one
+    one = texts.groupBy("_digest").agg(F.min_by(F.struct(*COLUMNS), order).alias("_row"))
+    one = one.join(materialize(kept, "kept").hint("merge"), "_digest", "left_semi").select("_row.*")
+    without = docs.where("text is null")
+    same_id = without.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("lang", "source", "n_chars")).alias("_rest"))
+    same_id = same_id.select("doc_id", F.lit(None).cast("string").alias("text"), "_rest.*")
+    return one.union(same_id.select(*COLUMNS)).union(without.where("doc_id is null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

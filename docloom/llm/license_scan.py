@@ -209,11 +209,12 @@ def damaged(rows: list[tuple[str, str]], rng: random.Random, lost: float) -> lis
 def examples() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     """(training, calibration) rows of a class and a text."""
     rng = random.Random(5)
-    others = [(UNKNOWN, opening.format(name)) for name in OTHER_NAMES for opening in OPENINGS] + [(UNKNOWN, t) for t in (*OTHER_TEXTS, *OTHERS)]
+    others = [(UNKNOWN, opening.format(name)) for name in OTHER_NAMES for opening in OPENINGS] + [(UNKNOWN, t) for t in (*OTHER_TEXTS, *OTHERS, *map(str.upper, OTHERS))]
     bodies = [(f, t) for f, texts in TEXTS.items() for t in texts] + [(UNKNOWN, t) for t in OTHER_TEXTS]
     plain = sorted({w for _, t in [*bodies, *others] for w in t.split()})
     salad = [(UNKNOWN, " ".join(rng.choice(plain) for _ in range(rng.randint(10, 60)))) for _ in range(150)]  # words alone say little
-    train = [*notices(), *windows([x for x in bodies if x[0] != UNKNOWN], rng, 8), *others, *salad]
+    own = [x for x in bodies if x[0] != UNKNOWN]
+    train = [*notices(), *own * 3, *windows(own, rng, 8), *others, *salad]  # whole paragraphs weigh as their windows do
     new = [(f, o.format(n)) for f, names in NAMES.items() for n in names for o in OTHER_OPENINGS] + [(UNKNOWN, o.format(n)) for n in HELD_OUT_NAMES for o in (*OPENINGS, *OTHER_OPENINGS)]
     new += [(UNKNOWN, o.format(n)) for n in OTHER_NAMES for o in OTHER_OPENINGS]
     return train, [*damaged(new, rng, 0.1), *damaged(windows(bodies, rng, 6), rng, 0.25), *damaged([(UNKNOWN, t) for t in OTHERS] * 2, rng, 0.2)]

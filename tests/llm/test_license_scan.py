@@ -112,7 +112,7 @@ def test_query(spark):
             got.setdefault(r.doc_id, []).append((r.family, r.confirmed))
     planted = 0
     for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
-        want = [(SEEN[line], True) for line in d.text.split("\n") if line in SEEN]
+        want = [(SEEN[line], True) for unit in paragraphs(d.text) for line in SEEN if line in unit]
         planted += len(want)
         assert got.get(d.doc_id, []) == want
     assert planted > 10

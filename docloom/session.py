@@ -11,10 +11,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Python workers get batches of whole texts; Spark's own bound of 64 MB a batch is much beside what a worker has.
+BATCH_BYTES, BATCH_BYTES_KEY = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, whose Python workers import it; once for each application."""
+    """Send this package to the executors, whose Python workers import it; once for each application.
+
+    Sessions that bound the bytes of Arrow batches themselves keep their bound.
+    """
+    if spark.conf.get(BATCH_BYTES_KEY, None) in (None, "67108864b", "64m"):
+        spark.conf.set(BATCH_BYTES_KEY, BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return

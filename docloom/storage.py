@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only a session without that setting (a local test) gets a folder of this machine.
+    Only a local session without that setting (a test) gets a folder of this machine; elsewhere executors
+    would each write to a disk of their own, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         found = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -444,7 +444,7 @@ def near_texts(texts: DataFrame, similarity: float = SIMILARITY, block: int = 20
     classes = materialize(classes, "classes", "node")
     buckets = classes.where("sketch is not null").select("node", "sketch", "variants").mapInArrow(_buckets, "bucket long, node long")
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = materialize(buckets.join(materialize(shared, "shared"), "bucket"), "members")
+    members = materialize(buckets.join(shared, "bucket"), "members")
     pairs = members.where("node <> low").groupBy(F.col("low").alias("u"), F.col("node").alias("v")).agg(F.count(F.lit(1)).alias("agree"))
     pairs = materialize(pairs, "pairs")
     ids = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
@@ -456,27 +456,26 @@ def near_texts(texts: DataFrame, similarity: float = SIMILARITY, block: int = 20
     def linked(found: DataFrame) -> DataFrame:
         left = words.select(F.col("node").alias("u"), F.col("words").alias("words_u"))
         right = words.select(F.col("node").alias("v"), F.col("words").alias("words_v"))
-        return materialize(found.join(left, "u").join(right, "v").select("u", "v", "words_u", "words_v").mapInArrow(_verify(similarity), "u long, v long"), "edges")
+        return found.join(left, "u").join(right, "v").select("u", "v", "words_u", "words_v").mapInArrow(_verify(similarity), "u long, v long")
 
-    best = materialize(pairs.groupBy("v").agg(F.max_by("u", F.struct("agree", -F.col("u"))).alias("u")).select("u", "v"), "best")
-    first = materialize(connected_components(linked(best)), "components")
+    best = pairs.groupBy("v").agg(F.max_by("u", F.struct("agree", -F.col("u"))).alias("u")).select("u", "v")
+    first = connected_components(linked(best))
     # what the likeliest partner has not connected
     own = first.select(F.col("node").alias("u"), F.col("component").alias("cu"))
     other = first.select(F.col("node").alias("v"), F.col("component").alias("cv"))
     open_ = pairs.select("u", "v").join(own, "u", "left").join(other, "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
     more = linked(open_.join(best, ["u", "v"], "left_anti"))
-    first = materialize(connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "components")
-    # pairs with the smallest of a bucket are answered
+    # pairs with the smallest of a bucket are answered by these
     rest = members.where("members > 2 and node <> low").select("bucket", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rest = materialize(rest.join(classes.select("node", "size"), "node"), "rest")
     mixed = rest.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_w")).where("_a < _b")
     mixed = mixed.select("bucket", F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.col("_w") / block_words)).cast("int").alias("parts"))
-    put = rest.drop("size").join(materialize(mixed, "mixed"), "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    put = rest.drop("size").join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     put = put.join(words, "node").join(classes.select("node", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     put = put.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "component", "part", "words", "sketch")
     key = ["bucket", "i", "j"]
-    late = materialize(put.repartition(*key).sortWithinPartitions(*key).mapInArrow(_within_buckets(similarity), "u long, v long"), "late")
-    components = connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late))
+    late = put.repartition(*key).sortWithinPartitions(*key).mapInArrow(_within_buckets(similarity), "u long, v long")
+    components = connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more).union(late))
     return classes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
 
 
@@ -490,7 +489,7 @@ def near_documents(docs: DataFrame, similarity: float = SIMILARITY, block: int =
     Only doc_id and text are looked at; an empty table stays empty. Long texts count whole.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = materialize(near_texts(rows.where("doc_id is not null"), similarity, block), "texts")
+    texts = near_texts(rows.where("doc_id is not null"), similarity, block)
     narrow = rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), text_digest(F.col("text"))).alias("digest"))
     classes = narrow.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id")).join(texts, "digest")
     classes = materialize(classes, "class-ids")

@@ -26,9 +26,9 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def lexical_tokens(text: Column, bigrams: bool = False) -> Column:
-    """Lower-cased tokens, with a::b pairs of neighbours after them if asked."""
-    tokens = all_matches(F.lower(F.coalesce(text, F.lit(""))), LEXICAL)
+def lexical_tokens(text: Column, bigrams: bool = False, lower: bool = True) -> Column:
+    """Lower-cased tokens, with a::b pairs of neighbours after them if asked. lower: not if the text is in normal_form."""
+    tokens = all_matches(F.lower(F.coalesce(text, F.lit(""))) if lower else text, LEXICAL)
     return let(tokens, lambda t: F.concat(t, neighbours(t))) if bigrams else tokens
 
 
@@ -168,6 +168,15 @@ def nfc(text: Column) -> Column:
     return _by_batch(text, lambda x: unicodedata.normalize("NFC", x.encode("utf-8", "replace").decode("utf-8", "replace")))
 
 
+def normal_form(text: Column) -> Column:
+    """NFKC and case folding, as lexical search wants them; null counts as empty.
+
+    Spark has no NFKC, so texts beyond ASCII go to Python; those of ASCII alone need none and travel as nulls.
+    """
+    beyond = F.when(text.rlike(r"[^\x00-\x7f]"), text)
+    return F.replace(F.replace(F.lower(F.coalesce(nfkc(beyond), text, F.lit(""))), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
 def folded(x: str) -> str:
     """Lower case without accents or strokes, blanks collapsed."""
     x = unicodedata.normalize("NFKD", x.lower().replace("đ", "d"))

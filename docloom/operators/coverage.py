@@ -29,12 +29,12 @@ def fact_coverage(candidates: DataFrame, query: str, rank: str, page: str, text:
     return found.select(query, "fact", F.coalesce("pages", F.array().cast(dict(pages.dtypes)["pages"])).alias("pages"), F.col("pages").isNotNull().alias("covered"))
 
 
-def sufficiency(evidence: DataFrame, query: str, asked: str, text: str, score: str, terms: list[str]) -> DataFrame:
+def sufficiency(evidence: DataFrame, query: str, asked: str, text: str, score: str, terms: list[str], rank: str = "rank") -> DataFrame:
     """(query, sufficient, confidence, missing): years, terms, numbers and a score of 0.5 that the evidence must have.
 
     Numbers are asked for with `how many` or `how much`; two of them to compare, or with two years.
     """
-    combined = evidence.groupBy(query).agg(F.first(asked).alias("_q"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("rank"), F.col(text)))), lambda x: x[text]), "\n").alias("_t"), F.max(score).alias("_s"))
+    combined = evidence.groupBy(query).agg(F.max(asked).alias("_q"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank), F.col(text)))), lambda x: x[text]), "\n").alias("_t"), F.max(score).alias("_s"))
     low_q, low_t = F.lower("_q"), F.lower("_t")
     years, wanted, found = T.years(F.col("_q")), T.terms_in(low_q, terms), T.non_year_numbers(F.col("_t"))
     numeric = low_q.rlike("how (many|much)")

@@ -24,6 +24,23 @@ def first_rank(found: Column, gold: Column) -> Column:
     return F.array_min(ranks)
 
 
+def ranking_scores(found: DataFrame, gold: DataFrame, query: str, ks: tuple[int, ...] = (1, 5, 10), cited: int = 3) -> DataFrame:
+    """Scores of each query of gold: recall_k and hit_k, first (the rank of the first relevant row or null), and those of the first `cited` rows as citations.
+
+    found: (query, rank, relevant); gold: (query, gold_n), how many relevant rows there are. Gold is
+    counted and never listed, so it may be of any size. Recall is null without gold.
+    """
+    at = lambda k: F.count_if(F.col("relevant") & (F.col("rank") <= k))
+    counts = found.groupBy(query).agg(*(at(k).alias(f"_r{k}") for k in ks), F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"), F.count_if(F.col("rank") <= cited).alias("_cited"), at(cited).alias("_right"))
+    rows = gold.join(counts, query, "left")
+    share = lambda a, b: F.when(b > 0, F.coalesce(a, F.lit(0)) / b)
+    right, asked, n = F.coalesce("_right", F.lit(0)), F.coalesce("_cited", F.lit(0)), F.col("gold_n")
+    return rows.select(
+        query, *(F.round(share(F.col(f"_r{k}"), n), 6).alias(f"recall_{k}") for k in ks), *((F.coalesce(f"_r{k}", F.lit(0)) > 0).alias(f"hit_{k}") for k in ks), "first",
+        F.round(F.coalesce(share(right, asked), F.lit(0.0)), 6).alias("citation_precision"), F.round(share(right, n), 6).alias("citation_recall"), ((right == asked) & (right == n)).alias("citation_exact"),
+    )
+
+
 def token_f1(pairs: DataFrame, key: list[str], predicted: str, gold: str) -> DataFrame:
     """(key, f1) over words with their counts; two empty texts agree."""
     words = lambda c: pairs.select(*key, F.explode(T.all_matches(F.lower(F.coalesce(F.col(c), F.lit(""))), T.WORD)).alias("w")).groupBy(*key, "w").agg(F.count(F.lit(1)).alias("n"))

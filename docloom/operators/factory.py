@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.config import RetrievalConfig
+from docloom.functions import text as T
 from docloom.operators import retrieval as R
+from docloom.operators import selection as S
 
 Retriever = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -16,11 +18,14 @@ Retriever = Callable[[DataFrame, DataFrame], DataFrame]
 def create_retriever(docs: DataFrame, vectors: DataFrame, config: RetrievalConfig, terms: list[str] | None = None) -> Retriever:
     """retrieve(queries(query, text), query_vectors(query, embedding)) -> (query, rank, doc_id, score).
 
-    docs: doc_id, text; vectors: doc_id, embedding. Queries of blank text find nothing lexical.
+    docs: doc_id, text; vectors: doc_id, embedding. Queries of blank text find nothing lexical. The
+    inverted index is built once, for all that the retriever is asked.
     """
 
+    index = R.build_index(docs) if config.mode != "dense" else None
+
     def lexical(queries: DataFrame, k: int) -> DataFrame:
-        return R.bm25(docs, queries.where(F.trim("text") != ""), "query", k)
+        return R.search_index(index, queries.where(F.trim("text") != ""), "query", k, k1=config.k1, b=config.b)
 
     def dense(query_vectors: DataFrame, k: int) -> DataFrame:
         asked = query_vectors.select(F.col("query").alias("doc_id"), "embedding")
@@ -40,3 +45,9 @@ def create_retriever(docs: DataFrame, vectors: DataFrame, config: RetrievalConfi
         return R.top_k(pool.withColumn("score", F.round(score, 6)), config.k, ["query"], [F.desc("score"), F.asc("doc_id")]).select("query", "rank", "doc_id", "score")
 
     return retrieve
+
+
+def select_evidence(found: DataFrame, docs: DataFrame, config: RetrievalConfig) -> DataFrame:
+    """(query, position, doc_id) of what goes on to an answer: from least_score on, within max_rows and max_tokens."""
+    rows = found.where(F.col("score") >= config.least_score).join(docs.select("doc_id", T.token_estimate(F.col("text")).alias("_tokens")), "doc_id")
+    return S.token_budget(rows, ["query"], ["rank"], "doc_id", "_tokens", config.max_rows, config.max_tokens).select("query", "position", "doc_id")

@@ -56,6 +56,31 @@ def best_per_key(rows: DataFrame, by: list[str], order: list[Column]) -> DataFra
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def rank_hot_groups(rows: DataFrame, by: str, value: str, key: str, tiles: int) -> DataFrame:
+    """rows with rn, rk, dr and quartile by falling value, then key, within `by`: what the window functions give, though a group may hold most rows.
+
+    Rows are sorted within (group, value) only. What lies before a value comes from counts of distinct
+    values, whose own running sums are taken within ranges of 2**10 values and over the ranges.
+    """
+    sizes = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_range", F.floor(F.col(value) / 1024).cast("long"))
+    fall = lambda *cols: Window.partitionBy(*cols[:-1]).orderBy(F.desc_nulls_last(cols[-1])).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sizes.groupBy(by, "_range").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_values"))
+    above = fall(by, "_range")
+    ranges = ranges.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("_rows", "_values")))
+    inside = fall(by, "_range", value)
+    placed = sizes.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).withColumn("_d", F.count("_n").over(inside))
+    placed = placed.join(ranges, F.col(by).eqNullSafe(F.col("_by")) & F.col("_range").eqNullSafe(F.col("_r")))
+    total = sizes.groupBy(F.col(by).alias("_g")).agg(F.sum("_n").alias("_total"))
+    placed = placed.join(total, F.col(by).eqNullSafe(F.col("_g"))).select(F.col(by).alias("_by"), F.col(value).alias("_value"), (F.col("_rows_above") + F.col("_in")).alias("_before"), (F.col("_values_above") + F.col("_d") + 1).alias("dr"), "_total")
+    out = rows.withColumn("_at", F.row_number().over(Window.partitionBy(by, value).orderBy(key)))
+    out = out.join(placed, F.col(by).eqNullSafe(F.col("_by")) & F.col(value).eqNullSafe(F.col("_value")))
+    out = out.withColumn("rn", (F.col("_before") + F.col("_at")).cast("int")).withColumn("rk", (F.col("_before") + 1).cast("int")).withColumn("dr", F.col("dr").cast("int"))
+    wide, over = F.floor(F.col("_total") / tiles), F.col("_total") % tiles  # the first tiles have one more
+    long_part = over * (wide + 1)
+    tile = F.when(F.col("rn") <= long_part, F.ceil(F.col("rn") / (wide + 1))).otherwise(over + F.ceil((F.col("rn") - long_part) / F.greatest(wide, F.lit(1))))
+    return out.withColumn("quartile", tile.cast("int")).drop("_at", "_by", "_value", "_before", "_total")
+
+
 def round_robin(rows: DataFrame, by: list[str], key: str, rank: str, turn: str) -> DataFrame:
     """Rows of several rankings interleaved by rank, then turn; the first of each key stays. position counts from 1."""
     first = best_per_key(rows, [*by, key], [F.asc(rank), F.asc(turn)])

@@ -12,7 +12,7 @@ from docloom.functions import text as T
 from docloom.operators import coverage as COV
 from docloom.operators import retrieval as R
 from docloom.operators import routing as RT
-from docloom.plans.retrieval import _POOL, _nonyears, _pool, _years
+from docloom.plans.retrieval import _POOL, _nonyears, _pool, _years, index
 from docloom.sources.tables import table
 
 #: Words of the test corpus in the parts of a question lexicon.
@@ -144,7 +144,7 @@ def financial_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rank_sql() -> str:
     facts = " + ".join("(" + " AND ".join("(" + " OR ".join(f"contains(lower(t), '{x}')" for x in g) + ")" for g in groups) + ")::INT" for groups in FACTS.values())
-    return rf"""WITH {_POOL}, w AS (SELECT *, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_%]+')[:400] AS ta, list_distinct(regexp_extract_all(lower(q), '[\p{{L}}\p{{N}}_%]+')) AS qw, {facts} AS facts, (lang <> 'en')::INT AS mismatch FROM pool),
+    return rf"""WITH {_POOL}, w AS (SELECT *, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_%]+') AS ta, list_distinct(regexp_extract_all(lower(q), '[\p{{L}}\p{{N}}_%]+')) AS qw, {facts} AS facts, (lang <> 'en')::INT AS mismatch FROM pool),
     s AS (SELECT *, round(base + 0.32e0 * (facts / 3.0e0) + 0.18e0 * (len(list_intersect(list_filter(ta, lambda v, i: list_position(ta, v) = i)[:8], qw))::DOUBLE / greatest(1, len(qw))) + 0.08e0 * least(1e0, len({_nonyears('t')}) / 10.0e0) - 1.25e0 * mismatch, 6) AS rank_score FROM w)
     SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY mismatch, facts DESC, rank_score DESC, rank) AS INT) AS rank, doc_id, rank_score FROM s) WHERE rank <= 10"""
 
@@ -240,7 +240,7 @@ def adaptive_two_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = _evidence(spark, sf_dir)
     state = COV.sufficiency(evidence, "item_id", "asked", "text", "base", ["thing", "licen", "with"])
     again = state.where("not sufficient").select("item_id", COV.follow_up(F.col("missing"), F.lit("figures"), F.array().cast("array<string>")).alias("text"))
-    second = R.bm25(table(spark, sf_dir, "documents"), again, "item_id", 5).select("item_id", "doc_id", "score", F.lit(2).alias("round"))
+    second = R.search_index(index(spark, sf_dir), again, "item_id", 5).select("item_id", "doc_id", "score", F.lit(2).alias("round"))
     both = evidence.select("item_id", "doc_id", "score", F.lit(1).alias("round")).unionByName(second)
     best = both.groupBy("item_id", "doc_id").agg(F.max("score").alias("score"), F.min("round").alias("round"))
     return R.top_k(best, 5, ["item_id"], [F.desc("score"), F.asc("doc_id")]).select("item_id", "rank", "doc_id", "score", "round")

@@ -13,36 +13,34 @@ from docloom.plans.retrieval import DENSE_SQL, dense_topk
 from docloom.sources.tables import table
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query, found, gold): the dense ranking of each query, and the first two vectors of its label as gold."""
-    vectors = table(spark, sf_dir, "embeddings")
-    found = dense_topk(spark, sf_dir).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("found"))
-    # a bounded number of gold rows a label: the first 20 by id
-    w = Window.partitionBy("label").orderBy("vec_id")
-    gold = vectors.select("label", "vec_id").withColumn("_n", F.row_number().over(w)).where("_n <= 20").groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("gold"))
-    return found.join(vectors.select(F.col("vec_id").alias("query"), "label"), "query").join(gold, "label").select("query", "found", "gold")
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the dense ranking of each query; relevant are all other vectors of its label."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    asked = vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query"), F.col("label").alias("wanted"))
+    sizes = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("label", "wanted")
+    found = dense_topk(spark, sf_dir).join(vectors, "vec_id").join(asked, "query").select("query", "rank", (F.col("label") == F.col("wanted")).alias("relevant"))
+    return E.ranking_scores(found, asked.join(sizes, "wanted").select("query", (F.col("n") - 1).alias("gold_n")), "query")
 
 
-_RANKED = f"""d AS ({DENSE_SQL}), f AS (SELECT query, list(vec_id ORDER BY rank) AS found FROM d GROUP BY query),
-    g AS (SELECT label, list(vec_id ORDER BY vec_id) AS gold FROM (SELECT label, vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 20) GROUP BY label),
-    ranked AS (SELECT f.query, found, gold FROM f JOIN embeddings e ON e.vec_id = f.query JOIN g ON g.label = e.label)"""
+_SCORES = f"""d AS ({DENSE_SQL}), a AS (SELECT vec_id AS query, label, (SELECT count(*) FROM embeddings x WHERE x.label = e.label) - 1 AS gold FROM embeddings e WHERE vec_id % 20 = 0),
+    h AS (SELECT a.query, gold, rank, v.label = a.label AS ok FROM a LEFT JOIN d ON d.query = a.query LEFT JOIN embeddings v ON v.vec_id = d.vec_id),
+    ranked AS (SELECT query, any_value(gold) AS gold, count(*) FILTER (ok AND rank <= 1) AS r1, count(*) FILTER (ok AND rank <= 5) AS r5, count(*) FILTER (ok AND rank <= 10) AS r10, min(rank) FILTER (ok) AS first,
+      count(*) FILTER (rank <= 3) AS cited, count(*) FILTER (ok AND rank <= 3) AS good FROM h GROUP BY query)"""
 
 
 def hit_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ranked(spark, sf_dir)
-    found, gold = F.col("found"), F.col("gold")
-    return rows.select("query", *(F.round(E.recall_at(found, gold, k), 6).alias(f"recall_{k}") for k in (1, 5, 10)), *(E.hit_at(found, gold, k).alias(f"hit_{k}") for k in (1, 5, 10)))
+    return _scores(spark, sf_dir).select("query", *(f"recall_{k}" for k in (1, 5, 10)), *(f"hit_{k}" for k in (1, 5, 10)))
 
 
-HIT_SQL = f"WITH {_RANKED} SELECT query, " + ", ".join(f"round(len(list_intersect(found[:{k}], gold))::DOUBLE / len(gold), 6) AS recall_{k}, len(list_intersect(found[:{k}], gold)) > 0 AS hit_{k}" for k in (1, 5, 10)) + " FROM ranked"
+HIT_SQL = f"WITH {_SCORES} SELECT query, " + ", ".join(f"round(CASE WHEN gold > 0 THEN r{k}::DOUBLE / gold END, 6) AS recall_{k}, r{k} > 0 AS hit_{k}" for k in (1, 5, 10)) + " FROM ranked"
 
 
 def mrr10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = E.first_rank(F.slice("found", 1, 10), F.col("gold"))
-    return _ranked(spark, sf_dir).agg(F.round(F.avg(F.coalesce(1 / rank, F.lit(0.0))), 6).alias("mrr10"), F.count(F.lit(1)).alias("queries"))
+    rank = F.when(F.col("first") <= 10, F.col("first"))
+    return _scores(spark, sf_dir).agg(F.round(F.avg(F.coalesce(1 / rank, F.lit(0.0))), 6).alias("mrr10"), F.count(F.lit(1)).alias("queries"))
 
 
-MRR_SQL = f"WITH {_RANKED}, r AS (SELECT query, list_min(list_filter(list_transform(found[:10], lambda x, i: CASE WHEN list_contains(gold, x) THEN i END), lambda v: v IS NOT NULL)) AS r FROM ranked) SELECT round(avg(coalesce(1e0 / r, 0e0)), 6) AS mrr10, count(*) AS queries FROM r"
+MRR_SQL = f"WITH {_SCORES} SELECT round(avg(coalesce(1e0 / CASE WHEN first <= 10 THEN first END, 0e0)), 6) AS mrr10, count(*) AS queries FROM ranked"
 
 
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +60,11 @@ F1_SQL = r"""WITH p AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTIT
 
 def citation_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three found are cited."""
-    return _ranked(spark, sf_dir).select("query", *E.citation_scores(F.slice("found", 1, 3), F.col("gold")))
+    return _scores(spark, sf_dir).select("query", "citation_precision", "citation_recall", "citation_exact")
 
 
-CITATION_SQL = f"""WITH {_RANKED}, c AS (SELECT query, found[:3] AS c, gold AS g, len(list_intersect(found[:3], gold)) AS o FROM ranked)
-    SELECT query, round(CASE WHEN len(c) > 0 THEN o::DOUBLE / len(c) ELSE 0e0 END, 6) AS citation_precision, round(CASE WHEN len(g) > 0 THEN o::DOUBLE / len(g) END, 6) AS citation_recall, o = len(c) AND o = len(g) AS citation_exact FROM c"""
+CITATION_SQL = f"""WITH {_SCORES}
+    SELECT query, round(CASE WHEN cited > 0 THEN good::DOUBLE / cited ELSE 0e0 END, 6) AS citation_precision, round(CASE WHEN gold > 0 THEN good::DOUBLE / gold END, 6) AS citation_recall, good = cited AND good = gold AS citation_exact FROM ranked"""
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,19 +16,25 @@ TERMS = ["the", "and", "with", "for", "that"]
 TOKENS = r"\d+(?:[.,]\d+)*%?|[\p{L}\p{Nl}\p{No}]+(?:[-_][\p{L}\p{Nl}\p{No}]+)*"
 
 
+def index(spark: SparkSession, sf_dir: str, lang: str | None = None) -> R.LexicalIndex:
+    """The stored index of all documents, or of those of a language; built once for an application."""
+    docs = lambda: table(spark, sf_dir, "documents").where("true" if lang is None else F.col("lang") == lang)
+    return R.index_of(spark, f"{sf_dir} {lang or ''}", docs)
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", K)
+    return R.search_index(index(spark, sf_dir), table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", K)
 
 
 def _bm25_sql(asked: str, key: str, k: int = K, extra: str = "") -> str:
     """Common tables up to `lexical`: (key, rank, doc_id, score)."""
     pairs = "list_concat(u, list_transform(range(1, len(u)), lambda i: u[i] || '::' || u[i + 1]))"
     return f"""
-    du AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{TOKENS}') AS u FROM documents),
+    du AS (SELECT doc_id, regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '{TOKENS}') AS u FROM documents),
     dt AS (SELECT doc_id, {pairs} AS t FROM du),
     dl AS (SELECT doc_id, len(t) AS dl FROM dt),
     st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-    qu AS (SELECT {key}, regexp_extract_all(lower(coalesce(text, '')), '{TOKENS}') AS u FROM {asked}),
+    qu AS (SELECT {key}, regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '{TOKENS}') AS u FROM {asked}),
     qt AS (SELECT DISTINCT {key}, unnest({pairs}) AS term FROM qu),
     tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM dt) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -65,7 +71,7 @@ def _both(spark: SparkSession, sf_dir: str, k: int = 20) -> dict:
     vectors, docs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), table(spark, sf_dir, "documents").select("doc_id", "text")
     dense = R.dense_top_k(vectors, _queries(vectors), k).withColumnRenamed("vec_id", "doc_id")
     asked = _queries(vectors).select(F.col("vec_id").alias("query"), F.col("vec_id").alias("doc_id")).join(docs, "doc_id").select("query", "text")
-    return {"dense": (dense, 1.0), "bm25": (R.bm25(docs, asked, "query", k, exclude_self=True), 1.0)}
+    return {"dense": (dense, 1.0), "bm25": (R.search_index(index(spark, sf_dir), asked, "query", k, exclude_self=True), 1.0)}
 
 
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +95,10 @@ RRF_SQL = f"""WITH {_RRF} SELECT query, CAST(rank AS INT) AS rank, doc_id, fusio
 
 def rrf_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question goes to the indexes of its route: the languages play the indexes; odd questions ask two."""
-    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", "text")
     rankings = {}
     for lang, routed in (("en", asked), ("fr", asked.where("item_id % 2 = 1"))):
-        rankings[lang] = (R.bm25(docs.where(F.col("lang") == lang), routed, "item_id", 20), 1.0)
+        rankings[lang] = (R.search_index(index(spark, sf_dir, lang), routed, "item_id", 20), 1.0)
     fused = R.fuse(rankings, "item_id", "doc_id", 20)
     order = [F.desc("fusion_score"), F.desc("score"), F.asc("doc_id")]
     scored = fused.withColumn("score", F.coalesce("en_score", "fr_score")).drop("rank")
@@ -113,9 +119,9 @@ def _routed_sql() -> str:
 
 def hyde_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question's own ranking fused with that of a made-up answer. No model is here: the question said twice with a lead-in stands in for one."""
-    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    docs, asked = index(spark, sf_dir), table(spark, sf_dir, "benchmark").select("item_id", "text")
     made = asked.select("item_id", F.concat(F.lit("that this "), "text", F.lit(" "), "text").alias("text"))
-    fused = R.fuse({"own": (R.bm25(docs, asked, "item_id", 20), 1.0), "made": (R.bm25(docs, made, "item_id", 20), 1.0)}, "item_id", "doc_id", K)
+    fused = R.fuse({"own": (R.search_index(docs, asked, "item_id", 20), 1.0), "made": (R.search_index(docs, made, "item_id", 20), 1.0)}, "item_id", "doc_id", K)
     return fused.select("item_id", "rank", "doc_id", "fusion_score")
 
 
@@ -141,7 +147,7 @@ PARENT_SQL = """WITH c AS (SELECT doc_id, string_split(text, chr(10))[-1] AS own
 def _pool(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     """BM25 candidates with texts and the share of the best score; texts join only after the cut."""
     docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    pool = R.bm25(docs, asked, "item_id", k).withColumn("base", R.share_of_best("score", ["item_id"]))
+    pool = R.search_index(index(spark, sf_dir), asked, "item_id", k).withColumn("base", R.share_of_best("score", ["item_id"]))
     return pool.join(asked.select("item_id", F.col("text").alias("query_text")), "item_id").join(docs.select("doc_id", "text", "lang", "source", "n_chars"), "doc_id")
 
 
@@ -195,7 +201,7 @@ def metric_aware_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _METRIC = """
     w AS (SELECT *, regexp_extract_all(lower(q), '[\\p{L}\\p{N}_%]+') AS qa, regexp_extract_all(lower(t), '[\\p{L}\\p{N}_%]+') AS ta FROM pool),
-    w2 AS (SELECT *, list_filter(qa, lambda v, i: list_position(qa, v) = i) AS qw, list_filter(ta[:400], lambda v, i: list_position(ta, v) = i)[:6] AS tl FROM w),
+    w2 AS (SELECT *, list_filter(qa, lambda v, i: list_position(qa, v) = i) AS qw, list_filter(ta, lambda v, i: list_position(ta, v) = i)[:6] AS tl FROM w),
     w3 AS (SELECT *, qw[:6] AS ql, qw[:2] AS qq FROM w2),
     m AS (SELECT item_id, rank AS base_rank, doc_id, q, round(0.48e0 * base
       + 0.22e0 * (CASE WHEN len(list_distinct(list_concat(ql, tl))) = 0 THEN 0e0 ELSE len(list_intersect(ql, tl))::DOUBLE / len(list_distinct(list_concat(ql, tl))) END)

@@ -9,6 +9,7 @@ from docloom.functions import numbers as N
 from docloom.functions import text as T
 from docloom.operators import chunking as C
 from docloom.sources.tables import table
+from docloom.storage import materialize
 
 TOKENS = T.LEXICAL
 W = r"[\p{L}\p{N}_%]+"
@@ -34,14 +35,15 @@ STATS_SQL = f"SELECT term, count(DISTINCT doc_id) AS df, CAST(count(*) AS BIGINT
 
 
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every question against every question: Jaccard or containment, whichever is larger."""
+    """Questions against those of the next three ids, as a pool's rows against the ones before: Jaccard or containment, whichever is larger."""
     words = table(spark, sf_dir, "benchmark").select("item_id", T.word_set(F.col("text")).alias("w"))
-    pairs = words.alias("l").join(words.alias("r"), F.col("l.item_id") < F.col("r.item_id"))
+    after = words.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("_k")).withColumn("_to", F.col("item_id") + F.col("_k"))
+    pairs = after.alias("l").join(words.alias("r"), F.col("l._to") == F.col("r.item_id"))
     return pairs.select(F.col("l.item_id").alias("a"), F.col("r.item_id").alias("b"), F.round(T.set_similarity(F.col("l.w"), F.col("r.w")), 6).alias("similarity"))
 
 
 SIMILARITY_SQL = rf"""WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{W}')) AS w FROM benchmark),
-    p AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.w, b.w))::DOUBLE AS o, len(a.w) AS m, len(b.w) AS n FROM w a, w b WHERE a.item_id < b.item_id)
+    p AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.w, b.w))::DOUBLE AS o, len(a.w) AS m, len(b.w) AS n FROM w a, w b WHERE b.item_id BETWEEN a.item_id + 1 AND a.item_id + 3)
     SELECT a, b, round(CASE WHEN m = 0 OR n = 0 THEN (m = n)::INT::DOUBLE ELSE greatest(o / (m + n - o), o / least(m, n)) END, 6) AS similarity FROM p"""
 
 
@@ -100,13 +102,13 @@ WINDOWS_SQL = "SELECT doc_id, CAST(s // 850 AS INT) AS seq, md5(substr(text, s +
 
 
 def page_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 60 characters of each line with its number, joined and cut at 600."""
+    """The first 240 characters of each line with its number, joined and cut at 3200."""
     lines = F.split("text", "\n")
-    body = F.left(F.array_join(F.transform(lines, lambda x, i: F.concat(i.cast("string"), F.lit(": "), F.left(x, F.lit(60)))), "\n"), F.lit(600))
+    body = F.left(F.array_join(F.transform(lines, lambda x, i: F.concat(i.cast("string"), F.lit(": "), F.left(x, F.lit(240)))), "\n"), F.lit(3200))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(body).alias("signature"))
 
 
-SIGNATURE_SQL = "SELECT doc_id, md5(left(array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: (i - 1) || ': ' || left(x, 60)), chr(10)), 600)) AS signature FROM documents"
+SIGNATURE_SQL = "SELECT doc_id, md5(left(array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: (i - 1) || ': ' || left(x, 240)), chr(10)), 3200)) AS signature FROM documents"
 
 
 def citations_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,13 +191,15 @@ PROMPT_SQL = "SELECT conv_id, md5(string_agg('[' || turn || '] ' || text, chr(10
 
 
 def checksum_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of every row's canonical text, and whether a copy agrees."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat_ws("|", "doc_id", "lang", "source", "text"), 256).alias("sha256"))
-    copy = rows.withColumnRenamed("sha256", "other")
-    return rows.join(copy, "doc_id").select("doc_id", "sha256", (F.col("sha256") == F.col("other")).alias("same"))
+    """Digest of every row's canonical text, and whether the stored manifest agrees; rows whose id ends in 7 were tampered with since."""
+    digest = F.sha2(F.concat_ws("|", "doc_id", "lang", "source", "text"), 256).alias("sha256")
+    docs = table(spark, sf_dir, "documents")
+    stored = materialize(docs.select("doc_id", digest), "manifest").withColumnRenamed("sha256", "other")
+    now = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 7, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).select("doc_id", digest)
+    return now.join(stored, "doc_id").select("doc_id", "sha256", (F.col("sha256") == F.col("other")).alias("same"))
 
 
-MANIFEST_SQL = "SELECT doc_id, sha256(concat_ws('|', doc_id, lang, source, text)) AS sha256, true AS same FROM documents"
+MANIFEST_SQL = "SELECT doc_id, sha256(concat_ws('|', doc_id, lang, source, text || CASE WHEN doc_id % 10 = 7 THEN '!' ELSE '' END)) AS sha256, doc_id % 10 <> 7 AS same FROM documents"
 
 
 def overlap_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

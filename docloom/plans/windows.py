@@ -17,9 +17,7 @@ from docloom.sources.tables import table
 
 def rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ranking function over documents of a language by length."""
-    w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
-    ties = Window.partitionBy("lang").orderBy(F.desc("n_chars"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.row_number().over(w).alias("rn"), F.rank().over(ties).alias("rk"), F.dense_rank().over(ties).alias("dr"), F.ntile(4).over(w).alias("quartile"))
+    return S.rank_hot_groups(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "lang", "n_chars", "doc_id", 4).select("doc_id", "rn", "rk", "dr", "quartile")
 
 
 RANK_SQL = "SELECT doc_id, CAST(row_number() OVER w AS INT) AS rn, CAST(rank() OVER t AS INT) AS rk, CAST(dense_rank() OVER t AS INT) AS dr, CAST(ntile(4) OVER w AS INT) AS quartile FROM documents WINDOW w AS (PARTITION BY lang ORDER BY n_chars DESC, doc_id), t AS (PARTITION BY lang ORDER BY n_chars DESC)"
@@ -111,12 +109,12 @@ NORMALISE_SQL = f"""WITH f AS ({BM25_SQL}), w AS (SELECT *, min(score) OVER p AS
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence of each question within 6 rows and 5000 tokens; what does not fit is passed over."""
     found = bm25_topk(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens")), "doc_id")
-    return S.token_budget(found, ["item_id"], ["rank"], "doc_id", "tokens", 6, 2000)
+    return S.token_budget(found, ["item_id"], ["rank"], "doc_id", "tokens", 6, 5000)
 
 
 BUDGET_SQL = f"""WITH RECURSIVE f AS ({BM25_SQL}), x AS (SELECT item_id, rank, doc_id, CAST(greatest(1, ceil(strlen(text) / 4.0e0)) AS BIGINT) AS n FROM f JOIN documents USING (doc_id)),
     r AS (SELECT item_id, 0 AS rank, 0::BIGINT AS used, 0 AS kept, NULL::BIGINT AS doc_id, false AS taken FROM (SELECT DISTINCT item_id FROM x)
-      UNION ALL SELECT x.item_id, x.rank, CASE WHEN kept < 6 AND used + n <= 2000 THEN used + n ELSE used END, CASE WHEN kept < 6 AND used + n <= 2000 THEN kept + 1 ELSE kept END, x.doc_id, kept < 6 AND used + n <= 2000
+      UNION ALL SELECT x.item_id, x.rank, CASE WHEN kept < 6 AND used + n <= 5000 THEN used + n ELSE used END, CASE WHEN kept < 6 AND used + n <= 5000 THEN kept + 1 ELSE kept END, x.doc_id, kept < 6 AND used + n <= 5000
       FROM r JOIN x ON x.item_id = r.item_id AND x.rank = r.rank + 1)
     SELECT item_id, CAST(kept - 1 AS INT) AS position, doc_id FROM r WHERE taken"""
 

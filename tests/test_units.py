@@ -71,7 +71,7 @@ def test_fusion_prefers_overlap(spark):
 def test_blocks_equal_broadcast_search(spark):
     rows = spark.createDataFrame([(i, [float(i % 7), float(i % 3), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
     asked = rows.where("vec_id % 5 = 0")
-    assert sorted(R.dense_top_k(rows, asked, 4).collect()) == sorted(R.dense_top_k(rows, asked, 4, most_queries=2).collect())
+    assert sorted(R.dense_top_k(rows, asked, 4).collect()) == sorted(R.dense_top_k(rows, asked, 4, most_bytes=100).collect())
 
 
 def test_selection(spark):

@@ -234,15 +234,14 @@ def train(docs: DataFrame, learn, per_language: int = PER_LANGUAGE) -> Model:
 
 
 def label_words(model: Model, texts: list[str], penalty: float) -> tuple[list[Words], list[np.ndarray], np.ndarray]:
-    """Words and text starts by portion, and the label of every word of all texts."""
-    found, starts, scores, counts = [], [], [np.zeros((0, len(model.languages)), np.float32)], [np.zeros(0, np.int64)]
+    """Words and text starts by portion, and the label of every word of all texts. Scores are held for a portion only."""
+    found, starts, labels = [], [], [np.zeros(0, np.int64)]
     for a, b in in_portions([len(t) for t in texts], 1_500_000):
         words, at = find_words(texts[a:b])
         found.append(words)
         starts.append(at)
-        scores.append(model.word_scores(words))
-        counts.append(np.bincount(words.row, minlength=b - a))
-    return found, starts, viterbi(np.concatenate(scores), np.concatenate(counts), penalty)
+        labels.append(viterbi(model.word_scores(words), np.bincount(words.row, minlength=b - a), penalty))
+    return found, starts, np.concatenate(labels)
 
 
 def has_letter(text: str) -> bool:

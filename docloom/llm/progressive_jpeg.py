@@ -180,29 +180,27 @@ def refined_ac(v: np.ndarray, low: int, code: np.ndarray, size: np.ndarray) -> t
     rows = np.flatnonzero(~plain)
     if not len(rows):
         return value, bits
-    coded = []
-    for r in rows:
-        out, held, run, ends = [], [], 0, np.flatnonzero(new[r])[-1]
-        for k in range(w):
-            if old[r, k]:
-                held.append((int(bit[r, k]), 1))
-                continue
-            if not new[r, k]:
-                run += 1
-                if run == 16 and k < ends:
-                    out += [(int(code[0xF0]), int(size[0xF0])), *held]
-                    held, run = [], 0
-                continue
-            out += [(int(code[run << 4 | 1]), int(size[run << 4 | 1])), (int(v[r, k] > 0), 1), *held]
-            held, run = [], 0
-        if held or run:
-            out += [(int(code[0]), int(size[0])), *held]
-        coded.append(out)
-    wide = max(w + 1, max(map(len, coded)))
+    old, new, bit, k = old[rows], new[rows], bit[rows], np.arange(w)
+    zero = ~old & ~new
+    count = np.cumsum(zero, 1)
+    before = np.maximum.accumulate(np.where(new, count, 0), 1)
+    since = count - np.concatenate([np.zeros((len(rows), 1), np.int64), before[:, :-1]], 1)  # zeros since the last new one
+    ends = w - 1 - new[:, ::-1].argmax(1)
+    long_run = zero & (since % 16 == 0) & (k < ends[:, None])
+    event = new | long_run
+    symbol = np.where(long_run, 0xF0, (since % 16) << 4 | 1)
+    # a symbol, the sign of what is new, then the bits of old ones since the symbol before; what remains belongs to the end of the block
+    after = np.minimum.accumulate(np.where(event, k, w)[:, ::-1], 1)[:, ::-1]
+    rest = (ends < w - 1)[:, None]
+    values = np.concatenate([np.where(event, code[symbol], 0), np.where(rest, code[0], 0), v[rows] > 0, bit], 1)
+    lengths = np.concatenate([np.where(event, size[symbol], 0), np.where(rest, size[0], 0), new, old], 1)
+    place = np.concatenate([np.broadcast_to(k * 256, event.shape), np.full(rest.shape, w * 256), np.broadcast_to(k * 256 + 1, event.shape), after * 256 + 2 + k], 1)
+    order = np.argsort(np.where(lengths > 0, place, 1 << 20), axis=1, kind="stable")
+    wide = max(w + 1, int((lengths > 0).sum(1).max()))
     value, bits = (np.pad(x, ((0, 0), (0, wide - w - 1))) for x in (value, bits))
-    value[rows], bits[rows] = 0, 0
-    for r, out in zip(rows, coded):
-        value[r, : len(out)], bits[r, : len(out)] = [x for x, _ in out], [x for _, x in out]
+    order = order[:, :wide]
+    value[rows, : order.shape[1]] = np.where(np.take_along_axis(lengths, order, 1) > 0, np.take_along_axis(values, order, 1), 0)
+    bits[rows, : order.shape[1]] = np.take_along_axis(lengths, order, 1)
     return value, bits
 
 

@@ -70,52 +70,63 @@ def _bodies(kind: str):
     return run
 
 
+def bucket_keys(sig: np.ndarray, dims: int) -> np.ndarray:
+    """For each row and table, a 64-bit key of table, dimension and signs. Two buckets of one key, which is rare, are compared together."""
+    table = np.arange(sig.shape[1], dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = (sig.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9) + table + np.uint64(dims) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
 def _spread(kind: str, tables: int, bits: int, seed: int):
-    """A row for each representative and table: its bucket."""
+    """A row for each class and table: its bucket."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            bodies = batch.column("body").to_pylist()
+            bodies, nodes = batch.column("body").to_pylist(), batch.column("node").to_numpy()
             size = np.array([len(b) for b in bodies])
-            sig = np.zeros((len(bodies), tables), np.int64)
             for n in np.unique(size):
                 rows = np.flatnonzero(size == n)
-                sig[rows] = signatures(unit(np.frombuffer(b"".join(bodies[i] for i in rows), kind).reshape(len(rows), -1)), tables, bits, seed)
-            dims = size // np.dtype(kind).itemsize
-            for t in range(tables):
-                columns = [pa.array(np.full(len(bodies), t, np.int32)), pa.array(dims.astype(np.int32)), pa.array(sig[:, t]), batch.column("digest")]
-                yield pa.RecordBatch.from_arrays(columns, names=["t", "dims", "sig", "digest"])
+                x = unit(np.frombuffer(b"".join(bodies[i] for i in rows), kind).reshape(len(rows), -1))
+                keys = bucket_keys(signatures(x, tables, bits, seed), x.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(nodes[rows], tables))], names=["bucket", "node"])
 
     return run
 
 
 def _compare(kind: str, threshold: float, tables: int, bits: int, seed: int):
-    """Sorted rows of bucket parts to link counts (rep, links, null) and forest edges (u, null, v)."""
+    """Sorted rows of bucket parts to link counts (node, links, null) and forest edges (u, null, v)."""
 
-    def group(t, i, j, rep, copies, part, bodies, counted, edges):
-        if len(rep) < 2:
-            return
-        x = unit(np.frombuffer(b"".join(bodies), kind).reshape(len(rep), -1))
+    def group(bucket, i, j, node, copies, part, bodies, counted, edges):
+        size = np.array([len(b) for b in bodies])
+        for n in np.unique(size):  # of one size, unless two keys agree by chance
+            rows = np.flatnonzero(size == n)
+            if len(rows) > 1:
+                one_size(bucket, i, j, node[rows], copies[rows], part[rows], bodies[rows], counted, edges)
+
+    def one_size(bucket, i, j, node, copies, part, bodies, counted, edges):
+        x = unit(np.frombuffer(b"".join(bodies), kind).reshape(len(node), -1))
         near = x @ x.T >= threshold
         if i == j:
             near = np.triu(near, 1)
         else:
             near &= (part == i)[:, None] & (part == j)[None, :]
         a, b = np.nonzero(near)
-        if t and len(a):
+        if len(a):
             used = np.unique(np.concatenate([a, b]))
-            sig = np.zeros((len(rep), tables), np.int64)
-            sig[used] = signatures(x[used], tables, bits, seed)
-            fresh = np.concatenate([(sig[a[k : k + 65536], :t] != sig[b[k : k + 65536], :t]).all(1) for k in range(0, len(a), 65536)])
+            keys = np.zeros((len(node), tables), np.int64)
+            keys[used] = bucket_keys(signatures(x[used], tables, bits, seed), x.shape[1])
+            # a pair counts in the first table in which it meets
+            fresh = np.concatenate([keys[a[k : k + 65536], (keys[a[k : k + 65536]] == keys[b[k : k + 65536]]).argmax(1)] == bucket for k in range(0, len(a), 65536)])
             a, b = a[fresh], b[fresh]
         if not len(a):
             return
-        links = np.bincount(a, copies[b], len(rep)) + np.bincount(b, copies[a], len(rep))
+        links = np.bincount(a, copies[b], len(node)) + np.bincount(b, copies[a], len(node))
         has = links > 0
-        counted.append((rep[has], links[has].astype(np.int64)))
-        nodes, roots = union_find(rep[a], rep[b])
+        counted.append((node[has], links[has].astype(np.int64)))
+        nodes, roots = union_find(node[a], node[b])
         edges.append((nodes[nodes != roots], roots[nodes != roots]))
 
     def flush(counted, edges):
@@ -133,22 +144,22 @@ def _compare(kind: str, threshold: float, tables: int, bits: int, seed: int):
 
     def run(batches):
         held, counted, edges = None, [], []
-        names = ("t", "dims", "sig", "i", "j", "rep", "copies", "part")
+        names = ("bucket", "i", "j", "node", "copies", "part")
         for batch in batches:
             now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names] + [np.array(batch.column("body").to_pylist(), dtype=object)]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             n = len(now[0])
-            change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in now[:5]])) + 1
+            change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in now[:3]])) + 1
             starts = [0, *change.tolist()]
             for a, b in zip(starts, starts[1:]):
-                group(now[0][a], now[3][a], now[4][a], now[5][a:b], now[6][a:b], now[7][a:b], now[8][a:b], counted, edges)
+                group(now[0][a], now[1][a], now[2][a], *(c[a:b] for c in now[3:]), counted, edges)
             held = [c[starts[-1] : n] for c in now]
             if sum(len(r) for r, _ in counted) > 100_000:
                 yield flush(counted, edges)
                 counted, edges = [], []
         if held is not None and len(held[0]):
-            group(held[0][0], held[3][0], held[4][0], *held[5:9], counted, edges)
+            group(held[0][0], held[1][0], held[2][0], *held[3:], counted, edges)
         last = flush(counted, edges)
         if last is not None:
             yield last
@@ -161,32 +172,33 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "e
 
     Vectors that are null, empty, zero, or hold null or non-finite parts link with nothing, as do
     those without an id; vectors of different dimension do not link. Repeated rows count each.
-    Rows that share an id but not the vector are one node, whose links add up. An empty table stays
+    Rows that share an id but not the vector have links and a component each. An empty table stays
     empty; other columns are not looked at.
     """
     kind = "<f4" if dict(vectors.dtypes)[column] == "array<float>" else "<f8"
     narrow = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).alias("embedding"))
     rows = materialize(narrow.mapInArrow(_bodies(kind), "vec_id long, digest binary, body binary"), "vectors")
     usable = rows.where("digest is not null and vec_id is not null")
-    classes = materialize(usable.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("body").alias("body")), "classes")
+    classes = materialize(usable.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("body").alias("body")), "classes", "node")
     n = classes.count()
     # so many signs that few vectors meet by chance: only those that meet another have to travel
     bits = min(48, math.ceil(math.log2(max(n, 2))) + 4)
     tables = tables_for(threshold, bits, recall)
-    spread = classes.select("digest", "body").mapInArrow(_spread(kind, tables, bits, seed), "t int, dims int, sig long, digest binary")
-    placed = materialize(spread, "buckets")
-    sizes = placed.groupBy("t", "dims", "sig").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("parts", F.ceil(F.col("_n") / block).cast("int")).drop("_n")
-    met = placed.join(materialize(sizes, "sizes"), ["t", "dims", "sig"]).join(classes, "digest")
-    put = met.withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    # signs cost less to take twice than to store
+    placed = classes.select("node", "body").mapInArrow(_spread(kind, tables, bits, seed), "bucket long, node long")
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("parts", F.ceil(F.col("_n") / block).cast("int")).drop("_n")
+    met = placed.join(sizes, "bucket").join(classes.select("node", "copies", "body"), "node")
+    put = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     put = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    put = put.select("t", "dims", "sig", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "copies", "part", "body")
-    key = ["t", "dims", "sig", "i", "j"]
+    put = put.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "copies", "part", "body")
+    key = ["bucket", "i", "j"]
     found = put.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(kind, threshold, tables, bits, seed), "u long, links long, v long")
     found = materialize(found, "links")
-    links = found.where("links is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    parts = connected_components(found.where("v is not null").select("u", "v"))
-    known = classes.select("digest", "rep", "copies").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    links = found.where("links is not null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    known = classes.select("digest", "rep", "copies", "node").join(links, "node", "left").join(connected_components(found.where("v is not null").select("u", "v")), "node", "left")
+    known = materialize(known.select("digest", "rep", F.coalesce("component", "node").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "known")
+    lowest = known.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = known.join(lowest, "component").select("digest", "n_links", "component_id")
     out = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("digest")).alias("digest")).join(known, "digest", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

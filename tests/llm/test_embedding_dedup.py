@@ -71,3 +71,28 @@ def test_query(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     assert got == brute([r.vec_id for r in rows], [r.embedding for r in rows], 0.95)
     assert 1 - (1 - (1 - np.arccos(0.95) / np.pi) ** 12) ** tables_for(0.95, 12, 0.999) >= 0.999
+
+
+def test_recall_at_the_threshold(spark):
+    """As deployed: pairs whose cosine is just at or above 0.95, among many others."""
+    rng = np.random.default_rng(8)
+    a = rng.standard_normal((2000, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    off = rng.standard_normal((2000, 64))
+    off -= (off * a).sum(1)[:, None] * a
+    off /= np.linalg.norm(off, axis=1)[:, None]
+    cosine = rng.uniform(0.9501, 0.955, 2000)[:, None]
+    x = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * off])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()}
+    want = brute(list(range(4000)), x, 0.95)
+    links = sum(n for n, _ in want.values())
+    assert links >= 4000 and sum(n for n, _ in got.values()) >= 0.995 * links
+    assert all(got[i][0] <= want[i][0] for i in want)
+
+
+def test_buckets_of_one_key(spark):
+    """Vectors of different dimension never link, were their bucket the same."""
+    rows = [(1, [1.0, 1.0]), (2, [2.0, 2.0]), (3, [1.0, 1.0, 0.0]), (4, [3.0, 3.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3)}

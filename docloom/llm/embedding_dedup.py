@@ -39,10 +39,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def signatures(x: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
-    """For each row and table, its signs as one number."""
-    signs = (x @ planes(x.shape[1], tables, bits, seed)) > 0
-    return signs.reshape(len(x), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+def signatures(x: np.ndarray, tables: int, bits: int, seed: int, first: int | None = None) -> np.ndarray:
+    """For each row and table, or each of the first few tables, its signs as one number."""
+    first = tables if first is None else first
+    signs = (x @ planes(x.shape[1], tables, bits, seed)[:, : first * bits]) > 0
+    return signs.reshape(len(x), first, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def _bodies(kind: str):
@@ -115,11 +116,12 @@ def _compare(kind: str, threshold: float, tables: int, bits: int, seed: int):
             near &= (part == i)[:, None] & (part == j)[None, :]
         a, b = np.nonzero(near)
         if len(a):
-            used = np.unique(np.concatenate([a, b]))
-            keys = np.zeros((len(node), tables), np.int64)
-            keys[used] = bucket_keys(signatures(x[used], tables, bits, seed), x.shape[1])
             # a pair counts in the first table in which it meets
-            fresh = np.concatenate([keys[a[k : k + 65536], (keys[a[k : k + 65536]] == keys[b[k : k + 65536]]).argmax(1)] == bucket for k in range(0, len(a), 65536)])
+            table = int((bucket_keys(signatures(x[:1], tables, bits, seed), x.shape[1])[0] == bucket).argmax())
+            used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            keys = signatures(x[used], tables, bits, seed, table)
+            u, v = at[: len(a)], at[len(a) :]
+            fresh = np.concatenate([(keys[u[k : k + 65536]] != keys[v[k : k + 65536]]).all(1) for k in range(0, len(a), 65536)])
             a, b = a[fresh], b[fresh]
         if not len(a):
             return

@@ -88,6 +88,10 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
+#: Edges that one task of a round of connected_components takes.
+EDGES_A_TASK = 250_000
+
+
 def connected_components(edges: DataFrame, a: str = "u", b: str = "v", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node that is reachable.
 
@@ -100,7 +104,8 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v", max_round
     schema = "u long, v long"
     now = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").mapInArrow(_forest, schema)
     now = materialize(now, "cc")
-    digest = None
+    size = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    seen = size(now)
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -108,11 +113,11 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v", max_round
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        now = materialize(small, "cc")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == digest:
+        # as many tasks and files as the edges need: a round is over soon, however many partitions a session has
+        now = materialize(small.coalesce(max(1, -(-seen[0] // EDGES_A_TASK))), "cc")
+        before, seen = seen, size(now)
+        if seen == before:
             break
-        digest = tuple(seen)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 
 import numpy as np
@@ -41,6 +43,28 @@ def gapless_ranks(rows: DataFrame, group: str, row_id: str, order: list[str], ou
     return ranked.join(starts, [group, "_bucket"]).withColumn(out, F.col("_start") + F.col("_at")).drop("_bucket", "_start", "_at")
 
 
+@functools.cache
+def _trim():
+    """glibc's malloc_trim, or nothing where there is none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+def returning(run):
+    """run for mapInArrow, after which the worker gives free memory back: workers live on, and the next stage's tasks share an executor with them."""
+
+    def whole(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        _trim()(0)
+
+    return whole
+
+
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nodes of the edges (a, b) and the smallest node of each one's component, within memory."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -102,7 +126,7 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v", max_round
     """
     spark = edges.sparkSession
     schema = "u long, v long"
-    now = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").mapInArrow(_forest, schema)
+    now = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").mapInArrow(returning(_forest), schema)
     now = materialize(now, "cc")
     size = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     seen = size(now)

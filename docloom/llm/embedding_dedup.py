@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import connected_components, materialize, table, union_find
+from docloom.llm.common import connected_components, materialize, returning, table, union_find
 
 
 def tables_for(threshold: float, bits: int, recall: float) -> int:
@@ -179,7 +179,7 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "e
     """
     kind = "<f4" if dict(vectors.dtypes)[column] == "array<float>" else "<f8"
     narrow = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).alias("embedding"))
-    rows = materialize(narrow.mapInArrow(_bodies(kind), "vec_id long, digest binary, body binary"), "vectors")
+    rows = materialize(narrow.mapInArrow(returning(_bodies(kind)), "vec_id long, digest binary, body binary"), "vectors")
     usable = rows.where("digest is not null and vec_id is not null")
     classes = materialize(usable.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("body").alias("body")), "classes", "node")
     n = classes.count()
@@ -187,14 +187,14 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "e
     bits = min(48, math.ceil(math.log2(max(n, 2))) + 4)
     tables = tables_for(threshold, bits, recall)
     # signs cost less to take twice than to store
-    placed = classes.select("node", "body").mapInArrow(_spread(kind, tables, bits, seed), "bucket long, node long")
+    placed = classes.select("node", "body").mapInArrow(returning(_spread(kind, tables, bits, seed)), "bucket long, node long")
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("parts", F.ceil(F.col("_n") / block).cast("int")).drop("_n")
     met = placed.join(sizes, "bucket").join(classes.select("node", "copies", "body"), "node")
     put = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     put = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     put = put.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "copies", "part", "body")
     key = ["bucket", "i", "j"]
-    found = put.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(kind, threshold, tables, bits, seed), "u long, links long, v long")
+    found = put.repartition(*key).sortWithinPartitions(*key).mapInArrow(returning(_compare(kind, threshold, tables, bits, seed)), "u long, links long, v long")
     found = materialize(found, "links")
     links = found.where("links is not null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     known = classes.select("digest", "rep", "copies", "node").join(links, "node", "left").join(connected_components(found.where("v is not null").select("u", "v")), "node", "left")

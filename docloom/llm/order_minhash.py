@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import connected_components, materialize, table
+from docloom.llm.common import connected_components, materialize, returning, table
 from docloom.llm.media import in_portions
 
 K = 5
@@ -439,10 +439,10 @@ def near_texts(texts: DataFrame, similarity: float = SIMILARITY, block: int = 20
     task has about `block` texts and `block_words` words at most.
     """
     narrow = texts.select(F.col("text").cast("string").alias("text")).where("text is not null").withColumn("digest", text_digest(F.col("text")))
-    sketched = narrow.mapInArrow(_sketch(similarity), "digest binary, size int, sketch binary, variants binary")
+    sketched = narrow.mapInArrow(returning(_sketch(similarity)), "digest binary, size int, sketch binary, variants binary")
     classes = sketched.groupBy("digest").agg(*(F.min(c).alias(c) for c in ("size", "sketch", "variants")))
     classes = materialize(classes, "classes", "node")
-    buckets = classes.where("sketch is not null").select("node", "sketch", "variants").mapInArrow(_buckets, "bucket long, node long")
+    buckets = classes.where("sketch is not null").select("node", "sketch", "variants").mapInArrow(returning(_buckets), "bucket long, node long")
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("members")).where("members > 1")
     members = materialize(buckets.join(shared, "bucket"), "members")
     pairs = members.where("node <> low").groupBy(F.col("low").alias("u"), F.col("node").alias("v")).agg(F.count(F.lit(1)).alias("agree"))
@@ -451,12 +451,12 @@ def near_texts(texts: DataFrame, similarity: float = SIMILARITY, block: int = 20
     wanted = classes.select("digest", "node").join(ids, "node", "left_semi")
     # copies go in the tasks that read them; one plan at every size: the wanted ones grow with the corpus, so they are never broadcast
     words = narrow.groupBy("digest").agg(F.first("text").alias("text")).join(wanted.hint("merge"), "digest")
-    words = materialize(words.select("node", "text").mapInArrow(_words, "node long, words binary"), "words")
+    words = materialize(words.select("node", "text").mapInArrow(returning(_words), "node long, words binary"), "words")
 
     def linked(found: DataFrame) -> DataFrame:
         left = words.select(F.col("node").alias("u"), F.col("words").alias("words_u"))
         right = words.select(F.col("node").alias("v"), F.col("words").alias("words_v"))
-        return found.join(left, "u").join(right, "v").select("u", "v", "words_u", "words_v").mapInArrow(_verify(similarity), "u long, v long")
+        return found.join(left, "u").join(right, "v").select("u", "v", "words_u", "words_v").mapInArrow(returning(_verify(similarity)), "u long, v long")
 
     best = pairs.groupBy("v").agg(F.max_by("u", F.struct("agree", -F.col("u"))).alias("u")).select("u", "v")
     first = connected_components(linked(best))
@@ -474,7 +474,7 @@ def near_texts(texts: DataFrame, similarity: float = SIMILARITY, block: int = 20
     put = put.join(words, "node").join(classes.select("node", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     put = put.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "component", "part", "words", "sketch")
     key = ["bucket", "i", "j"]
-    late = put.repartition(*key).sortWithinPartitions(*key).mapInArrow(_within_buckets(similarity), "u long, v long")
+    late = put.repartition(*key).sortWithinPartitions(*key).mapInArrow(returning(_within_buckets(similarity)), "u long, v long")
     components = connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more).union(late))
     return classes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
 

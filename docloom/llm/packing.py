@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import TOKENIZER_DIR, gapless_ranks, materialize, table
+from docloom.llm.common import TOKENIZER_DIR, gapless_ranks, materialize, returning, table
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -39,7 +39,7 @@ def cut_documents(docs: DataFrame, window: int, end_id: int, tokenizer: str) ->
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(returning(cut), PIECES)
 
 
 def combinations(lengths: np.ndarray, window: int, partners: int = 12) -> np.ndarray:
@@ -156,7 +156,7 @@ def pack_pieces(pieces: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, `offset` long").drop("_row", "_rank")
+    return ranked.mapInArrow(returning(place), f"{schema}, sequence_id long, `offset` long").drop("_row", "_rank")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str, window: int = 4096, end_id: int = 2, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import doc_fold, table
+from docloom.llm.common import doc_fold, returning, table
 from docloom.llm.labelled import labelled_sample
 from docloom.llm.media import in_portions
 
@@ -167,7 +167,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
     sample = labelled_sample(docs, labels, label, most, doc_fold(F.col("doc_id"), 5) != 0)
-    rows = sorted(sample.mapInArrow(vectors, "doc_id long, label int, x binary").collect())
+    rows = sorted(sample.mapInArrow(returning(vectors), "doc_id long, label int, x binary").collect())
     x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), TRIGRAMS + MARKS)
     return fit_cumulative_link(x.astype(np.float64), np.array([r.label for r in rows], np.int64))
 
@@ -190,7 +190,7 @@ def grade_documents(docs: DataFrame, model: CumulativeLink, wanted: int, least:
             more = [pa.array(model.expected(line)), pa.array(tail), pa.array(model.likeliest(line).astype(np.int32)), pa.array(tail >= least)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "expected_grade", "tail_probability", "predicted_grade", "selected"])
 
-    return docs.mapInArrow(score, f"{kept}, expected_grade double, tail_probability double, predicted_grade int, selected boolean")
+    return docs.mapInArrow(returning(score), f"{kept}, expected_grade double, tail_probability double, predicted_grade int, selected boolean")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

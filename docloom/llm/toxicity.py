@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import doc_fold, table
+from docloom.llm.common import doc_fold, returning, table
 from docloom.llm.labelled import labelled_sample
 from docloom.llm.media import in_portions
 from docloom.llm.order_minhash import word_hashes
@@ -164,7 +164,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mos
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "label", "words"])
 
     sample = labelled_sample(docs, labels, label, most, doc_fold(F.col("doc_id"), 5) != 0)
-    rows = sorted(sample.mapInArrow(words, "doc_id long, label int, words binary").collect())
+    rows = sorted(sample.mapInArrow(returning(words), "doc_id long, label int, words binary").collect())
     found = [np.frombuffer(r.words, "<i4") for r in rows]
     row = np.repeat(np.arange(len(rows)), [len(x) for x in found])
     word = np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64)
@@ -185,7 +185,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, text: str = "text") -> Data
             scores = np.concatenate([np.zeros(0), *(model.score(texts[a:b], weights) for a, b in in_portions([len(t) for t in texts], 1_500_000))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "toxicity"])
 
-    return docs.mapInArrow(score, f"{kept}, toxicity double")
+    return docs.mapInArrow(returning(score), f"{kept}, toxicity double")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 #: Python workers get batches of whole texts; Spark's own bound of 64 MB a batch is much beside what a worker has.
-BATCH_BYTES, BATCH_BYTES_KEY = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, BATCH_BYTES_KEY = "2m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:

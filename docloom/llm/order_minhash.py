@@ -205,7 +205,7 @@ def _sketch(similarity: float):
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in in_portions([len(t) for t in texts], 1_500_000):
+            for a, b in in_portions([len(t) for t in texts], 600_000):
                 hashes, counts, _ = word_hashes(texts[a:b])
                 body = [x.tobytes() if n else None for x, n in zip(document_sketches(hashes, counts, similarity), counts)]
                 variants = [None if x is None else x.tobytes() for x in deletion_variants(hashes, counts, similarity)]
@@ -233,7 +233,7 @@ def _words(batches):
 
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        for a, b in in_portions([len(t) for t in texts], 1_500_000):
+        for a, b in in_portions([len(t) for t in texts], 600_000):
             hashes, counts, _ = word_hashes(texts[a:b])
             parts = np.split((hashes >> np.uint64(32)).astype("<u4"), np.cumsum(counts)[:-1])
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([p.tobytes() for p in parts], pa.binary())], names=["node", "words"])

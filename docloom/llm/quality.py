@@ -185,7 +185,7 @@ def grade_documents(docs: DataFrame, model: CumulativeLink, wanted: int, least:
 
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]
-            line = np.concatenate([np.zeros(0), *(project(texts[a:b], model.weights) for a, b in in_portions([len(t) for t in texts], 1_500_000))])
+            line = np.concatenate([np.zeros(0), *(project(texts[a:b], model.weights) for a, b in in_portions([len(t) for t in texts], 600_000))])
             tail = model.tail(line, wanted)
             more = [pa.array(model.expected(line)), pa.array(tail), pa.array(model.likeliest(line).astype(np.int32)), pa.array(tail >= least)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "expected_grade", "tail_probability", "predicted_grade", "selected"])

@@ -158,7 +158,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mos
 
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in in_portions([len(t) for t in texts], 1_500_000):
+            for a, b in in_portions([len(t) for t in texts], 600_000):
                 row, word = distinct_ids(texts[a:b])
                 parts = np.split(word.astype("<i4"), np.searchsorted(row, np.arange(1, b - a)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "label", "words"])
@@ -182,7 +182,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, text: str = "text") -> Data
         weights = model.table()
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]
-            scores = np.concatenate([np.zeros(0), *(model.score(texts[a:b], weights) for a, b in in_portions([len(t) for t in texts], 1_500_000))])
+            scores = np.concatenate([np.zeros(0), *(model.score(texts[a:b], weights) for a, b in in_portions([len(t) for t in texts], 600_000))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "toxicity"])
 
     return docs.mapInArrow(returning(score), f"{kept}, toxicity double")

@@ -45,7 +45,7 @@ class WordBpe:
     to the tokenizer itself.
     """
 
-    def __init__(self, path: str, most_words: int = 600_000):
+    def __init__(self, path: str, most_words: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -54,7 +54,7 @@ class WordBpe:
         self.whole = re.compile("[\x1c-\x1f\x85]|" + "|".join(map(re.escape, SPECIAL)))
         self.letters = _byte_letters()
         self.most_words = most_words
-        self.words, self.parts = _Memory(self._word), _Memory(self._part)
+        self.words = _Memory(self._word)
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -67,14 +67,15 @@ class WordBpe:
         if not word.isascii() and max(word) >= "ɐ":
             return self._whole(word)
         plain = word.lower() if word.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", word))
-        return b"".join(map(self.parts.__getitem__, self.pattern.findall(plain)))
+        parts = self.pattern.findall(plain)
+        # a part is a word of its own, and its own only part
+        return self._part(word) if parts == [word] else b"".join(map(self.words.__getitem__, parts))
 
     def encode(self, text: str) -> bytes:
         if self.whole.search(text):
             return self._whole(text)
         if len(self.words) > self.most_words:
             self.words.clear()
-            self.parts.clear()
         return b"".join(map(self.words.__getitem__, text.split()))
 
 

@@ -94,3 +94,18 @@ def test_query(spark):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_random_unicode_equals_the_tokenizer():
+    from docloom.llm.common import TOKENIZER_DIR
+    from docloom.llm.word_bpe import word_bpe
+    from tokenizers import Tokenizer
+
+    path = f"{TOKENIZER_DIR}/word_bpe_49k.json"
+    tokenizer, bpe, rng = Tokenizer.from_file(path), word_bpe(path), np.random.default_rng(4)
+    ranges = [(32, 127), (32, 127), (160, 592), (0x250, 0x2B0), (0x300, 0x370), (0x370, 0x530), (0x600, 0x700), (0x900, 0x980), (0x1E00, 0x1F00), (0x2000, 0x2070), (0x3040, 0x3100), (0x4E00, 0x4F00), (0xFB00, 0xFB07), (0x1F600, 0x1F640), (0x181, 0x190)]
+    for _ in range(1500):
+        some = [ranges[k] for k in rng.integers(0, len(ranges), 3)]
+        text = "".join(" " if rng.random() < 0.2 else chr(rng.integers(*some[rng.integers(0, 3)])) for _ in range(rng.integers(0, 40)))
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(bpe.encode(text), "<u4").tolist() == want, text

@@ -346,7 +346,7 @@ def word_bits(words: list[np.ndarray]) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _open_pairs(part: np.ndarray, i: int, j: int, most_at_once: int = 1 << 20):
+def _open_pairs(part: np.ndarray, i: int, j: int, most_at_once: int = 1 << 18):
     """Pairs of places in a group: of one part all, of two parts those across."""
     left = np.flatnonzero(part == i)
     right = left if i == j else np.flatnonzero(part == j)
@@ -372,7 +372,7 @@ def links_within(bucket: int, i: int, j: int, node: np.ndarray, component: np.nd
         if not len(x):
             continue
         bits = word_bits(words) if bits is None else bits
-        step = max(1, (1 << 21) // bits.shape[1])
+        step = max(1, (1 << 18) // bits.shape[1])
         for k in range(0, len(x), step):
             a, b, limit = x[k : k + step], y[k : k + step], most[k : k + step]
             own, other = bits[a], bits[b]

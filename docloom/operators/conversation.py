@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.functions import text as T
+
 #: How a question begins that leans on the one before it.
 FOLLOW_UP = r"^(and|what about|it|that|this|those) "
 
@@ -14,6 +16,11 @@ def stands_alone(text: Column) -> Column:
     return ~F.lower(text).rlike(FOLLOW_UP)
 
 
+def normal_history(turns: DataFrame) -> DataFrame:
+    """Turns with role and text in NFC; turns without a role are dropped, a null text is empty."""
+    return turns.where("role is not null").withColumn("role", T.nfc(F.col("role"))).withColumn("text", F.coalesce(T.nfc(F.col("text")), F.lit("")))
+
+
 def last_turns(turns: DataFrame, pairs: int) -> DataFrame:
     """The last 2 * pairs turns of each conversation."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"))

@@ -69,6 +69,20 @@ def failure(error: Column, answerable: Column, hit: Column, refused: Column, pre
     )
 
 
+def attempted(rows: DataFrame, steps: dict[str, Column], needs: dict[str, Column] | None = None) -> DataFrame:
+    """rows with a column for each step, error (the first step that came to nothing, or null) and trace (how many steps, how many failed).
+
+    Steps are expressions that give null where they fail (try_cast, try_divide and the like), so a row that
+    fails stops no other. needs: by step, an input without which it is no failure to have no result.
+    """
+    out = rows.withColumns(steps)
+    needs = needs or {}
+    failed = {n: F.col(n).isNull() & (needs[n].isNotNull() if n in needs else F.lit(True)) for n in steps}
+    first = F.coalesce(*(F.when(f, F.lit(n)) for n, f in failed.items()))
+    trace = F.struct(F.lit(len(steps)).cast("long").alias("steps"), sum((f.cast("long") for f in failed.values()), F.lit(0).cast("long")).alias("failed"))
+    return out.withColumn("error", first).withColumn("trace", trace)
+
+
 def cost(tokens: dict[str, str], rates: dict[str, str]) -> Column:
     """Sum of tokens by rate a million, to 8 places; null if a rate is."""
     total = sum((F.col(tokens[k]) * F.col(rates[k]) for k in tokens), F.lit(0.0))

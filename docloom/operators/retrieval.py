@@ -71,6 +71,15 @@ def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Lex
     return LexicalIndex(materialize(placed, "index"), frequencies, int(lengths["n"]), float(lengths["avgdl"] or 0.0), doc)
 
 
+def part_of(index: LexicalIndex, keys: DataFrame) -> LexicalIndex:
+    """The index of the documents of keys (a column as index.doc), with statistics of its own; texts are not read again."""
+    found = materialize(index.postings.join(keys, index.doc, "left_semi"), "part")
+    lengths = found.groupBy(index.doc).agg(F.max("dl").alias("dl")).agg(F.sum("dl").alias("s")).first()
+    n = keys.count()  # documents without tokens count too
+    frequencies = materialize(found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    return LexicalIndex(found, frequencies, n, float(lengths["s"] or 0) / max(n, 1), index.doc)
+
+
 def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
     tokens = T.lexical_tokens(T.normal_form(F.col(text)), bigrams=True, lower=False)
     return queries.select(query, F.explode(F.array_distinct(tokens)).alias("term"))
@@ -98,11 +107,11 @@ def search_index(index: LexicalIndex, queries: DataFrame, query: str, k: int, qu
 _INDEXES: dict[tuple[str, str], LexicalIndex] = {}
 
 
-def index_of(spark: SparkSession, name: str, docs: Callable[[], DataFrame]) -> LexicalIndex:
+def index_of(spark: SparkSession, name: str, build: Callable[[], LexicalIndex]) -> LexicalIndex:
     """The index by that name, built when it is first asked for and kept for the application."""
     key = (spark.sparkContext.applicationId, name)
     if key not in _INDEXES:
-        _INDEXES[key] = build_index(docs())
+        _INDEXES[key] = build()
     return _INDEXES[key]
 
 

@@ -12,7 +12,7 @@ from docloom.functions import text as T
 from docloom.operators import coverage as COV
 from docloom.operators import retrieval as R
 from docloom.operators import routing as RT
-from docloom.plans.retrieval import _POOL, _nonyears, _pool, _years, index
+from docloom.plans.retrieval import _POOL, _bm25_sql, _nonyears, _pool, _years, index
 from docloom.sources.tables import table
 
 #: Words of the test corpus in the parts of a question lexicon.
@@ -246,6 +246,26 @@ def adaptive_two_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(best, 5, ["item_id"], [F.desc("score"), F.asc("doc_id")]).select("item_id", "rank", "doc_id", "score", "round")
 
 
+ADAPTIVE_SQL = f"""WITH {_SUFFICIENT}, again AS (SELECT item_id, query AS text FROM ({FOLLOWUP_SQL.replace("' || yt || '", "' || '' || '").replace(f"WITH {_SUFFICIENT}, x AS", "WITH x AS")})),
+    second AS (WITH {_bm25_sql('again', 'item_id', 5)} SELECT * FROM lexical),
+    b AS (SELECT item_id, doc_id, score, 1 AS round FROM pool WHERE rank <= 3 UNION ALL SELECT item_id, doc_id, score, 2 FROM second), g AS (SELECT item_id, doc_id, max(score) AS score, min(round) AS round FROM b GROUP BY ALL)
+    SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score, CAST(round AS INT) AS round FROM g) WHERE rank <= 5"""
+
+
+def adaptive_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each question's search ended: evidence that suffices after the first round, or after the second, or nothing new, or two rounds used up."""
+    evidence, terms = _evidence(spark, sf_dir), ["thing", "licen", "with"]
+    state = COV.sufficiency(evidence, "item_id", "asked", "text", "base", terms)
+    merged = adaptive_two_round(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    asked = evidence.groupBy("item_id").agg(F.max("asked").alias("asked"))
+    merged = merged.join(asked, "item_id").withColumn("base", R.share_of_best("score", ["item_id"]))
+    after = COV.sufficiency(merged, "item_id", "asked", "text", "base", terms).select("item_id", F.col("sufficient").alias("after"))
+    new = merged.groupBy("item_id").agg(F.count_if(F.col("round") == 2).alias("new_rows"))
+    rows = state.join(after, "item_id").join(new, "item_id")
+    reason = F.when(F.col("sufficient"), "sufficient").when(F.col("after"), "sufficient_after_second").when(F.col("new_rows") == 0, "nothing_new").otherwise("rounds_used")
+    return rows.select("item_id", reason.alias("stop_reason"), F.when(F.col("sufficient"), 1).otherwise(2).alias("rounds"), "new_rows")
+
+
 def score_udf_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a cross-encoder would score pairs in batches: word overlap stands in for the model."""
 
@@ -264,8 +284,8 @@ def fold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(T.nfkc(F.col("t"))).alias("nfkc"), F.md5(T.nfc(F.col("t"))).alias("nfc"), T.fold(F.col("t")).alias("folded"), T.redact_new_numbers(F.lit("in 2020"), F.concat(F.lit("2020 and 37: "), F.col("t"))).alias("redacted"))
 
 
-QUERIES = {f.__name__: f for f in (route_features, route_score, llm_route_validate, fact_coverage, sufficiency, followup_query, intent_first_match, financial_rank, growth_calc, plan_variance, pp_difference, cagr, tool_calculator, canonical_citation, numeric_support, adaptive_two_round, score_udf_stub, fold_search)}
+QUERIES = {f.__name__: f for f in (route_features, route_score, llm_route_validate, fact_coverage, sufficiency, followup_query, intent_first_match, financial_rank, growth_calc, plan_variance, pp_difference, cagr, tool_calculator, canonical_citation, numeric_support, adaptive_two_round, adaptive_outcome, score_udf_stub, fold_search)}
 ORACLES = {
     "route_features": FEATURES_SQL, "route_score": _route_sql(), "llm_route_validate": VALIDATE_SQL, "fact_coverage": _facts_sql(), "sufficiency": SUFFICIENCY_SQL, "followup_query": FOLLOWUP_SQL, "intent_first_match": INTENT_SQL,
-    "financial_rank": _rank_sql(), "growth_calc": GROWTH_SQL, "plan_variance": VARIANCE_SQL, "pp_difference": POINTS_SQL, "cagr": CAGR_SQL, "tool_calculator": CALCULATOR_SQL, "canonical_citation": CITATION_SQL, "numeric_support": SUPPORT_SQL,
+    "financial_rank": _rank_sql(), "growth_calc": GROWTH_SQL, "plan_variance": VARIANCE_SQL, "pp_difference": POINTS_SQL, "cagr": CAGR_SQL, "tool_calculator": CALCULATOR_SQL, "canonical_citation": CITATION_SQL, "numeric_support": SUPPORT_SQL, "adaptive_two_round": ADAPTIVE_SQL,
 }

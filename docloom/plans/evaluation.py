@@ -102,6 +102,17 @@ SUMMARY_SQL = f"""WITH {_SCORED} SELECT lang, count(*) AS questions, CAST(count(
     round(avg(ms::DOUBLE), 6) AS mean_ms, max(ms) AS max_ms, CAST(sum(calls) AS BIGINT) AS calls, CAST(count(*) FILTER (failure <> 'none') AS BIGINT) AS failures FROM scored GROUP BY lang"""
 
 
+def isolated_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch in which questions fail one by one: what a question's step cannot do is that row's error, and the others go on."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 7 == 0, F.lit("n/a")).otherwise(F.col("n_chars").cast("string")).alias("raw"))
+    out = E.attempted(rows, {"figure": F.col("raw").try_cast("double"), "ratio": F.try_divide(F.lit(1000.0), F.col("doc_id") % 5)}, {"figure": F.col("raw")})
+    return out.select("doc_id", "figure", F.round("ratio", 6).alias("ratio"), "error", F.col("trace.steps").alias("steps"), F.col("trace.failed").alias("failed"))
+
+
+ISOLATED_SQL = """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN n_chars::DOUBLE END AS figure, CASE WHEN doc_id % 5 <> 0 THEN round(1000e0 / (doc_id % 5), 6) END AS ratio FROM documents)
+    SELECT doc_id, figure, ratio, CASE WHEN figure IS NULL THEN 'figure' WHEN ratio IS NULL THEN 'ratio' END AS error, 2::BIGINT AS steps, (figure IS NULL)::BIGINT + (ratio IS NULL)::BIGINT AS failed FROM d"""
+
+
 def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).groupBy("failure").agg(F.count(F.lit(1)).alias("n"))
 
@@ -189,8 +200,8 @@ MULTITURN_SQL = """WITH r AS (SELECT *, coalesce(lag(text) OVER (PARTITION BY co
     n AS (SELECT conv_id, text, list_distinct(regexp_extract_all(lower(text), '[0-9]+(?:[.,][0-9]+)*%?')) AS a, regexp_extract_all(lower(before), '[0-9]+(?:[.,][0-9]+)*%?') AS b FROM r)
     SELECT conv_id, count(*) AS turns, round(avg((len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0)::INT::DOUBLE), 6) AS covered, round(avg(length(text)), 6) AS mean_length FROM n GROUP BY conv_id"""
 
-QUERIES = {f.__name__: f for f in (hit_recall_at_k, mrr10, token_f1, citation_pr, failure_case, run_summary, failure_histogram, percentiles, confusion, usage_cost, ablation_pivot, arm_summary, complementarity, multiturn_metrics)}
+QUERIES = {f.__name__: f for f in (hit_recall_at_k, mrr10, token_f1, citation_pr, failure_case, isolated_errors, run_summary, failure_histogram, percentiles, confusion, usage_cost, ablation_pivot, arm_summary, complementarity, multiturn_metrics)}
 ORACLES = {
-    "hit_recall_at_k": HIT_SQL, "mrr10": MRR_SQL, "token_f1": F1_SQL, "citation_pr": CITATION_SQL, "failure_case": FAILURE_SQL, "run_summary": SUMMARY_SQL, "failure_histogram": HISTOGRAM_SQL, "percentiles": PERCENTILES_SQL,
+    "hit_recall_at_k": HIT_SQL, "mrr10": MRR_SQL, "token_f1": F1_SQL, "citation_pr": CITATION_SQL, "failure_case": FAILURE_SQL, "isolated_errors": ISOLATED_SQL, "run_summary": SUMMARY_SQL, "failure_histogram": HISTOGRAM_SQL, "percentiles": PERCENTILES_SQL,
     "confusion": CONFUSION_SQL, "usage_cost": USAGE_SQL, "ablation_pivot": PIVOT_SQL, "arm_summary": ARM_SQL, "complementarity": COMPLEMENT_SQL, "multiturn_metrics": MULTITURN_SQL,
 }

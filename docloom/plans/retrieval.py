@@ -18,8 +18,9 @@ TOKENS = r"\d+(?:[.,]\d+)*%?|[\p{L}\p{Nl}\p{No}]+(?:[-_][\p{L}\p{Nl}\p{No}]+)*"
 
 def index(spark: SparkSession, sf_dir: str, lang: str | None = None) -> R.LexicalIndex:
     """The stored index of all documents, or of those of a language; built once for an application."""
-    docs = lambda: table(spark, sf_dir, "documents").where("true" if lang is None else F.col("lang") == lang)
-    return R.index_of(spark, f"{sf_dir} {lang or ''}", docs)
+    docs = table(spark, sf_dir, "documents")
+    whole = lambda: R.index_of(spark, sf_dir, lambda: R.build_index(docs))
+    return whole() if lang is None else R.index_of(spark, f"{sf_dir} {lang}", lambda: R.part_of(whole(), docs.where(F.col("lang") == lang).select("doc_id")))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

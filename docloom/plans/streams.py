@@ -47,5 +47,23 @@ def dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DEDUP_SQL = "SELECT DISTINCT event_id, event_type FROM events"
 
-QUERIES = {f.__name__: f for f in (tumbling_daily, sliding_2d, session_30m, dedup_watermark)}
-ORACLES = {"tumbling_daily": TUMBLING_SQL, "sliding_2d": SLIDING_SQL, "session_30m": SESSION_SQL, "dedup_watermark": DEDUP_SQL}
+def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts under a watermark, in append mode: days that the watermark has not passed are still open and do not come out."""
+    daily = S.with_watermark(_events(spark, sf_dir), "1 hour", lambda e: S.tumbling(e, "1 day", ["event_type"]))
+    return _plain(S.run_to_end(daily, "append"))
+
+
+LATE_SQL = """WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events), d AS (SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL)
+    SELECT strftime(day, '%Y-%m-%d %H:%M:%S.%f') AS start, event_type, n, total FROM d, m WHERE day + INTERVAL 1 DAY <= mark"""
+
+
+def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of each user from state that the stream keeps."""
+    rows = S.running_totals(_events(spark, sf_dir).select("user_id", "value"), "user_id", "value")
+    return S.last_of_each(rows, "user_id", "n").select("user_id", "n", F.round("total", 2).alias("total"))
+
+
+TOTALS_SQL = "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id"
+
+QUERIES = {f.__name__: f for f in (tumbling_daily, sliding_2d, session_30m, dedup_watermark, late_events, running_totals)}
+ORACLES = {"tumbling_daily": TUMBLING_SQL, "sliding_2d": SLIDING_SQL, "session_30m": SESSION_SQL, "dedup_watermark": DEDUP_SQL, "late_events": LATE_SQL, "running_totals": TOTALS_SQL}

@@ -15,9 +15,34 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """fragment_*.json with a text, by their place."""
+    """fragment_*.json with a text, in no order; logical_index is their place."""
     rows = spark.read.schema(RECORD).option("multiLine", True).option("pathGlobFilter", "fragment_*.json").json(folder)
-    return rows.where("markdown is not null").orderBy("logical_index")
+    return rows.where("markdown is not null")
+
+
+def printed_candidates(words: DataFrame, page: list[str], clip: str = "clip") -> DataFrame:
+    """(page, candidates): the distinct numbers of one to three digits near the top or bottom of a page and a side of its clip, sorted.
+
+    words: (page, token, x0, y0, page_height, clip struct of x0 and width). Near is within 14 % of the
+    height, and 20 % of the clip's width.
+    """
+    number = F.regexp_extract("token", r"^([0-9]{1,3})$", 1)
+    up, across = F.col("y0") / F.col("page_height"), (F.col("x0") - F.col(f"{clip}.x0")) / F.col(f"{clip}.width")
+    near = ((up <= 0.14) | (up >= 0.86)) & ((across <= 0.20) | (across >= 0.80)) & (number != "")
+    return words.groupBy(*page).agg(F.array_sort(F.collect_set(F.when(near, number.cast("int")))).alias("candidates"))
+
+
+def save_mapping(pages: DataFrame, path: str) -> None:
+    """Write the page mapping as JSON lines."""
+    pages.select("logical_index", "printed_page", "mapping_method").write.json(path)
+
+
+def text_leaves(value: Column) -> Column:
+    """All texts in a JSON value, in order, whatever it nests; blank ones are left out. Null and broken JSON have none."""
+    tokens = F.regexp_extract_all(value, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
+    strings = F.filter(tokens, lambda s: ~F.endswith(s, F.lit(":")))  # keys have a colon after them
+    read = F.transform(strings, lambda s: F.get_json_object(F.concat(F.lit('{"s":'), s, F.lit("}")), "$.s"))
+    return F.when(F.try_parse_json(value).isNull(), F.array().cast("array<string>")).otherwise(F.filter(read, lambda s: F.trim(s) != ""))
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:

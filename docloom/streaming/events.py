@@ -53,6 +53,31 @@ def deduplicated(events: DataFrame, key: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def running_totals(events: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, total) whenever a key has new events: state of one's own, kept between batches and rounds of the stream."""
+    import pandas as pd
+
+    def update(keys, batches, state):
+        n, total = state.get if state.exists else (0, 0.0)
+        for batch in batches:
+            n, total = n + len(batch), total + float(batch[value].sum())
+        state.update((n, total))
+        yield pd.DataFrame({key: [keys[0]], "n": [n], "total": [round(total, 4)]})
+
+    kind = dict(events.dtypes)[key]
+    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, total double", "n long, total double", "update", "NoTimeout")
+
+
+def last_of_each(stream: DataFrame, key: str, order: str) -> DataFrame:
+    """Run a stream in update mode to its end and return the last row of each key: the one of the highest `order`."""
+    spark, out = stream.sparkSession, new_path(stream.sparkSession, "stream")
+    query = stream.writeStream.outputMode("update").foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{out}/rows"))
+    query.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    others = [c for c in stream.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_r")).select(key, "_r.*")
+
+
 def with_watermark(events: DataFrame, late: str, aggregate: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """An aggregate whose state is dropped once events are later than `late`."""
     return aggregate(events.withWatermark("ts", late))

@@ -52,12 +52,33 @@ def _trim():
         return lambda _: 0
 
 
+#: In a Python worker: what empties its memories, and the module whose tasks it ran last.
+_FORGET: list = []
+_RAN: list[str] = []
+
+
+def remembered(make):
+    """functools.cache for what a worker keeps from task to task, until it turns to the tasks of another module."""
+    kept = functools.cache(make)
+    _FORGET.append(kept.cache_clear)
+    return kept
+
+
+def _turn_to(module: str) -> None:
+    if _RAN != [module]:
+        for forget in _FORGET:
+            forget()
+        _RAN[:] = [module]
+
+
 def returning(run):
     """run for mapInArrow, after which the worker gives free memory back: workers live on, and the next stage's tasks share an executor with them."""
+    module = run.__module__
 
     def whole(batches):
         import pyarrow as pa
 
+        _turn_to(module)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         _trim()(0)

@@ -6,7 +6,8 @@ import re
 import struct
 import unicodedata
 import zlib
-from functools import cache
+
+from docloom.llm.common import remembered
 
 #: Fixed values of the tokenizer file: its split pattern and its special tokens.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -79,9 +80,9 @@ class WordBpe:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-@cache
+@remembered
 def word_bpe(path: str) -> WordBpe:
-    """One for each Python worker, so that its words last from task to task."""
+    """One for each Python worker, so that its words last from task to task of packing."""
     return WordBpe(path)
 
 

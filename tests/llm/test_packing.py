@@ -109,3 +109,16 @@ def test_random_unicode_equals_the_tokenizer():
         text = "".join(" " if rng.random() < 0.2 else chr(rng.integers(*some[rng.integers(0, 3)])) for _ in range(rng.integers(0, 40)))
         want = tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(bpe.encode(text), "<u4").tolist() == want, text
+
+
+def test_a_worker_forgets_the_words_when_it_turns_to_another_module():
+    from docloom.llm import common
+    from docloom.llm.word_bpe import word_bpe
+
+    path = f"{common.TOKENIZER_DIR}/word_bpe_49k.json"
+    common._turn_to("docloom.llm.packing")
+    first = word_bpe(path)
+    common._turn_to("docloom.llm.packing")
+    assert word_bpe(path) is first
+    common._turn_to("docloom.llm.toxicity")
+    assert word_bpe(path) is not first

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.session import shipped
 
-MODULES = ["packing", "language_id", "sharding", "embedding_dedup", "quality", "order_minhash", "license_scan", "toxicity", "sentencepiece_nbest", "media"]
+MODULES = ["packing", "language_id", "sharding", "embedding_dedup", "quality", "order_minhash", "license_scan", "toxicity", "sentencepiece_nbest", "media", "decontamination", "collocations", "filter_audit"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -20,7 +20,7 @@ from docloom.llm.common import gapless_ranks, materialize, returning, table
 
 BLANKS, STOPS = b" \t", b".,;:!?\n\x0b\x0c\r"
 #: Words of a shard, unless one document has more. It bounds what a task holds at once.
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_500_000
 #: The bitmap of frequent pairs has 16 bits for each pair, and at most so many.
 MOST_BITS = 28
 #: Scores are thousandths of a thousandth of twice a phrase's share.
@@ -128,7 +128,7 @@ def count_phrases(ids: np.ndarray, least: int, most: int, pair_passes=None) -> l
         depth *= 2
     starts = np.flatnonzero(runs[least])
     if not len(starts):
-        return [(np.zeros((0, n), dtype=np.int64), np.zeros(0, dtype=np.int64)) for n in range(least, most + 1)]
+        return [(np.zeros((0, n), dtype=np.int32), np.zeros(0, dtype=np.int64)) for n in range(least, most + 1)]
     if depth > 1:  # the last doubling is only for suffixes in the array
         rank = suffix_ranks(ids, depth // 2)
         after = np.zeros_like(rank)
@@ -136,11 +136,11 @@ def count_phrases(ids: np.ndarray, least: int, most: int, pair_passes=None) -> l
         order = starts[np.argsort(rank[starts] * (rank.max() + 1) + after[starts])]
     else:
         order = starts[np.argsort(ids[starts])]
-    words = np.zeros((len(order), most), dtype=np.int64)
+    words = np.zeros((len(order), most), dtype=np.int32)
     for k in range(most):
         inside = order + k < size
         words[inside, k] = ids[order[inside] + k]
-    lcp = np.zeros(len(order), dtype=np.int64)  # words shared with the suffix before
+    lcp = np.zeros(len(order), dtype=np.int8)  # words shared with the suffix before
     same = np.ones(len(order) - 1, dtype=bool)
     for k in range(most):
         same &= words[1:, k] == words[:-1, k]

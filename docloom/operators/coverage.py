@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
+from docloom.operators.metrics import search_text
+
 
+def has_fact(text: Column, groups: list[list[str]], value: str | None = None, folded: Column | None = None) -> Column:
+    """Each group has a term in the text, accents and case aside; and a value pattern matches its search form, if there is one.
 
-def has_fact(text: Column, groups: list[list[str]], value: str | None = None) -> Column:
-    """Each group has a term in the text; and a value pattern matches, if there is one. Without groups nothing is known of the fact."""
-    low, ok = F.lower(text), F.lit(bool(groups))
+    Without groups nothing is known of the fact. folded: the folded text, where it is at hand.
+    """
+    plain, ok = T.fold(text) if folded is None else folded, F.lit(bool(groups))
     for terms in groups:
-        ok = ok & T.contains_any(low, terms)
-    return ok & F.col("text").rlike(value) if value else ok
+        ok = ok & reduce(or_, (F.contains(plain, F.lit(T.folded(t))) for t in terms), F.lit(False))
+    return ok & F.lower(search_text(text)).rlike(f"(?ius){value}") if value else ok
+
+
+def facts_of(text: Column, folded: Column, facts: dict[str, dict]) -> Column:
+    """Names of the facts that a text has, in their order. facts: by name its `groups` of terms and, if any, a `value` pattern."""
+    named = [F.when(has_fact(text, fact.get("groups", []), fact.get("value"), folded), F.lit(name)) for name, fact in facts.items()]
+    return F.filter(F.array(*named), lambda x: x.isNotNull())
 
 
 def fact_coverage(candidates: DataFrame, query: str, rank: str, page: str, text: str, facts: dict[str, list[list[str]]]) -> DataFrame:
     """(query, fact, pages in order of rank, covered) of every query and fact."""
-    rows = None
-    for name, groups in facts.items():
-        one = candidates.where(has_fact(F.col(text), groups)).select(query, F.lit(name).alias("fact"), rank, page)
-        rows = one if rows is None else rows.unionByName(one)
+    known = candidates.withColumn("_folded", T.fold(F.col(text)))
+    held = known.withColumn("_facts", facts_of(F.col(text), F.col("_folded"), {name: {"groups": groups} for name, groups in facts.items()}))
+    rows = held.select(query, rank, page, F.explode("_facts").alias("fact"))
     pages = rows.groupBy(query, "fact").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(rank, page))), lambda x: x[page])).alias("pages"))
-    wanted = candidates.select(query).distinct().crossJoin(F.broadcast(candidates.sparkSession.createDataFrame([(f,) for f in facts], "fact string")))
+    wanted = candidates.select(query).distinct().select(query, F.explode(F.array(*map(F.lit, facts))).alias("fact"))
     found = wanted.join(pages, [query, "fact"], "left")
     return found.select(query, "fact", F.coalesce("pages", F.array().cast(dict(pages.dtypes)["pages"])).alias("pages"), F.col("pages").isNotNull().alias("covered"))
 
@@ -54,7 +66,7 @@ def sufficiency(evidence: DataFrame, query: str, asked: str, text: str, score: s
 
 def follow_up(missing: Column, metric: Column, years: Column) -> Column:
     """The first that applies: missing years, missing terms, values to compare, a number, or anything."""
-    of = lambda prefix: F.transform(F.filter(missing, lambda m: F.startswith(m, F.lit(prefix))), lambda m: F.substring(m, F.lit(6), F.lit(1000)))
+    of = lambda prefix: F.transform(F.filter(missing, lambda m: F.startswith(m, F.lit(prefix))), lambda m: F.substring(m, F.lit(6), F.length(m)))
     year_text = F.array_join(years, " ")
     return F.trim(
         F.when(F.size(of("year:")) > 0, F.concat_ws(" ", metric, F.lit("in"), F.array_join(of("year:"), " "), F.lit("exact figures")))

@@ -46,15 +46,20 @@ def search_terms(text: Column) -> Column:
 
 
 def holds_phrase(folded: Column, phrase: Column) -> Column:
-    """Whole-word containment of a phrase in a text; both folded. An empty phrase is in nothing."""
-    pattern = F.concat(F.lit(rf"(?<!{EDGE})\Q"), phrase, F.lit(rf"\E(?!{EDGE})"))
-    return (phrase != "") & F.regexp_like(folded, pattern)
+    """Whole-word containment of a phrase in a text; both folded. An empty phrase is in nothing.
+
+    The text is split at the phrase, taken literally; somewhere the parts on both sides must end and begin with no letter.
+    """
+    parts = F.split(folded, F.concat(F.lit(r"\Q"), F.replace(phrase, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    ends, begins = rf"{EDGE}$", rf"^{EDGE}"
+    apart = T.let(parts, lambda p: F.exists(F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p)), lambda l, r: ~l.rlike(ends) & ~r.rlike(begins)), lambda x: x))
+    return (phrase != "") & F.contains(folded, phrase) & apart
 
 
 def expanded(terms: DataFrame, aliases: DataFrame, term: str, alias: str) -> DataFrame:
-    """terms with an array of aliases each; a term without any stands for itself. aliases: (term, alias) rows of configuration."""
+    """terms with an array of aliases each; a term without any stands for itself. aliases: (term, alias) rows."""
     grouped = aliases.groupBy(term).agg(F.array_sort(F.collect_set(alias)).alias("aliases"))
-    return terms.join(F.broadcast(grouped), term, "left").withColumn("aliases", F.coalesce("aliases", F.array(term)))
+    return terms.join(grouped, term, "left").withColumn("aliases", F.coalesce("aliases", F.array(term)))
 
 
 def is_generic(heading: Column, generic: list[str]) -> Column:
@@ -94,7 +99,7 @@ def with_identity(chunks: DataFrame, text: str, heading: str, metric: str) -> Da
 def table_number(value: Column) -> Column:
     """A number of a table as decimal(38,6): dots group, a comma is the decimal mark, parentheses negate, a dash is null."""
     plain = F.replace(F.replace(F.regexp_replace(value, r"[()]", ""), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    number = F.expr("null").cast("decimal(38,6)") if value is None else plain.try_cast("decimal(38,6)")
+    number = plain.try_cast("decimal(38,6)")
     return F.when(value.rlike(r"^\(.*\)$"), -number).otherwise(number)
 
 
@@ -107,6 +112,14 @@ def either_number(value: Column) -> Column:
     return plain.try_cast("decimal(38,6)")
 
 
+def financial_number(value: Column) -> Column:
+    """A number of a report as decimal(38,6): a sign, % or x around it go; dots alone group where three digits follow each; a comma is always the decimal mark."""
+    text = F.regexp_replace(F.trim(value), "^[+]|[%xX]+$", "")
+    no_dots = F.replace(text, F.lit("."), F.lit(""))
+    comma, dots = F.contains(text, F.lit(",")), text.rlike(r"^[0-9]{1,3}(?:\.[0-9]{3})+$")
+    return F.when(dots, no_dots).when(comma, F.replace(no_dots, F.lit(","), F.lit("."))).otherwise(text).try_cast("decimal(38,6)")
+
+
 def metric_rows(chunks: DataFrame, key: list[str], text: str) -> DataFrame:
     """(key, row, label, year, value, unit) of `label | year unit: value | ...` rows in texts; of one year twice in a row, the last counts."""
     rows = chunks.select(*key, F.posexplode(F.split(text, rf"(?iu)(?:^|\n)(?={ROW_START})")).alias("row", "_r")).where(F.col("_r").rlike(rf"(?iu)^\s*{ROW_START}"))
@@ -123,25 +136,74 @@ def coverage(question: Column, label: Column, stop: tuple[str, ...] = LABEL_STOP
     return T.let(wanted, lambda w: F.when(F.size(w) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(w, search_terms(question))) / F.size(w)))
 
 
-def answers_from_rows(questions: DataFrame, rows: DataFrame, query: str, question: str, place: list[str], least: float = 0.72, stop: tuple[str, ...] = LABEL_STOP) -> DataFrame:
-    """(query, label, unit, values): the row whose label the question covers best, if it has a value of every year asked for, all in one unit.
+#: What asks for a comparison of two years.
+COMPARISON = r"(?iu)(?<![\p{L}\p{N}_])(?:so\s+với|tăng|giảm|thay\s+đổi|chênh\s+lệch|bao\s+nhiêu\s+phần\s+trăm)(?![\p{L}\p{N}_])"
+
+
+def answers_from_rows(
+    questions: DataFrame, rows: DataFrame, query: str, question: str, place: list[str], least: float = 0.72, stop: tuple[str, ...] = LABEL_STOP, semantic: DataFrame | None = None
+) -> DataFrame:
+    """One row for each query: (query, kind, label, unit, values, delta, percent, details, reason). kind is null where there is no sure answer, and reason says why.
 
     questions: (query, question, the columns of place), with the chunks that were found for it; rows:
-    metric_rows of these by place. Of equal coverage the first by place and row stays. values are
-    `year: value`, by year; all years of the row if the question names none.
+    metric_rows of these by place. Of the rows that have a value of every year asked for, the one whose
+    label the question covers best decides, the first by place and row of equals: if its values are of
+    several units, or one that a comparison needs is a dash, no other row answers in its stead. One year
+    is a `lookup`, two with a word of comparison a `comparison`: the year named first less the other,
+    in decimals, and in percent of the other's size. Anything else is refused, as is a question without years.
+
+    semantic: (the columns of place, metric, value, unit, details, reporting_year, text), asked where no
+    row fits: a metric whose name is covered and whose year or text has all years. Its kind is `semantic`.
     """
-    asked = questions.withColumn("_years", T.years(F.col(question)))
+    years = T.years(F.col(question))
+    asked = questions.withColumn("_years", years)
+    each = asked.groupBy(query).agg(F.first("_years").alias("_years"), F.first(F.col(question).rlike(COMPARISON)).alias("_compares"))
     grouped = rows.groupBy(*place, "row", "label").agg(F.array_sort(F.collect_list(F.struct("year", "value", "unit"))).alias("_values"))
-    joined = asked.join(grouped, place).withColumn("_cover", coverage(F.col(question), F.col("label"), stop)).where(F.col("_cover") >= least)
-    wanted = F.filter("_values", lambda v: (F.size("_years") == 0) | F.array_contains("_years", v["year"]))
-    joined = joined.withColumn("_values", wanted)
-    units = F.array_distinct(F.transform("_values", lambda v: v["unit"]))
+    joined = asked.where(F.size("_years") > 0).join(grouped, place).withColumn("_cover", coverage(F.col(question), F.col("label"), stop)).where(F.col("_cover") >= least)
     whole = F.size(F.array_except("_years", F.transform("_values", lambda v: v["year"]))) == 0
-    fits = joined.where(whole & (F.size(units) == 1) & F.forall("_values", lambda v: v["value"] != "-"))
     w = Window.partitionBy(query).orderBy(F.desc("_cover"), *place, "row")
-    best = fits.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    values = F.transform("_values", lambda v: F.concat(v["year"], F.lit(": "), v["value"]))
-    return best.select(query, "label", F.element_at(F.transform("_values", lambda v: v["unit"]), 1).alias("unit"), values.alias("values"))
+    best = joined.where(whole).withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    # in the order of the question
+    values = F.transform("_years", lambda y: F.get(F.filter("_values", lambda v: v["year"] == y), F.lit(0)))
+    best = best.select(query, "label", values.alias("_found"))
+    out = each.join(best, query, "left")
+    numbers = F.transform("_found", lambda v: table_number(v["value"]))
+    newer, older = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
+    units = F.array_distinct(F.transform("_found", lambda v: v["unit"]))
+    n = F.size("_years")
+    compared = (n == 2) & F.col("_compares")
+    reason = (
+        F.when(n == 0, "no_years").when(F.col("_found").isNull(), "no_row").when(F.size(units) != 1, "several_units").when((n == 1) & ~F.col("_compares"), F.lit(None).cast("string"))
+        .when(~compared, "neither_lookup_nor_comparison").when(newer.isNull() | older.isNull() | (older == 0), "no_number").otherwise(F.lit(None).cast("string"))
+    )
+    out = out.withColumn("reason", reason)
+    sure = F.col("reason").isNull()
+    delta = (newer - older).cast("decimal(38,6)")
+    out = out.select(
+        query, "_years", F.when(sure, F.when(compared, "comparison").otherwise("lookup")).alias("kind"), F.when(sure, F.col("label")).alias("label"), F.when(sure, F.get(units, F.lit(0))).alias("unit"),
+        F.when(sure, F.transform("_found", lambda v: F.concat(v["year"], F.lit(": "), v["value"]))).alias("values"), F.when(sure & compared, delta).alias("delta"),
+        F.when(sure & compared, F.round(delta.cast("double") * 100 / F.abs(older).cast("double"), 6)).alias("percent"), F.lit(None).cast("array<string>").alias("details"), "reason",
+    )
+    if semantic is None:
+        return out.drop("_years")
+    open_ = out.where("reason = 'no_row'").select(query)
+    held = asked.join(open_, query, "left_semi").join(semantic, place)
+    name, value, unit = (search_text(F.col(c)) for c in ("metric", "value", "unit"))
+    held = held.withColumn("_label", name).withColumn("_value", value).withColumn("_unit", F.lower(unit)).withColumn("_text", search_text(F.col("text")))
+    fits = F.forall("_years", lambda y: (y == F.coalesce(F.col("reporting_year").cast("string"), F.lit(""))) | F.contains(F.col("_text"), y))
+    held = held.where((F.col("_label") != "") & (F.col("_value") != "")).withColumn("_cover", coverage(F.col(question), F.col("_label"), stop)).where(fits & (F.col("_cover") >= least))
+    held = held.withColumn("_n", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("_cover"), *place, "_label", "_value"))).where("_n = 1")
+    plain = F.transform(F.coalesce("details", F.array().cast("array<string>")), lambda d: F.regexp_replace(T.squeeze(d), "^[▲△ ]+", ""))
+    year = F.coalesce(F.col("reporting_year").cast("string"), F.element_at("_years", -1))
+    with_unit = F.when((F.col("_unit") != "") & ~F.contains(F.lower("_value"), F.col("_unit")), F.concat_ws(" ", "_value", "_unit")).otherwise(F.col("_value"))
+    said = held.select(query, F.col("_label").alias("s_label"), F.col("_unit").alias("s_unit"), F.array(F.concat(year, F.lit(": "), with_unit)).alias("s_values"), F.array_distinct(F.filter(plain, lambda d: (d != "") & (F.lower(d) != F.col("_unit")))).alias("s_details"))
+    both = out.join(said, query, "left")
+    is_said = F.col("s_label").isNotNull()
+    pick = lambda new, old: F.when(is_said, new).otherwise(F.col(old)).alias(old)
+    return both.select(
+        query, pick(F.lit("semantic"), "kind"), pick(F.col("s_label"), "label"), pick(F.col("s_unit"), "unit"), pick(F.col("s_values"), "values"), "delta", "percent",
+        pick(F.col("s_details"), "details"), F.when(~is_said, F.col("reason")).alias("reason"),
+    )
 
 
 def same_column(a: str, b: str) -> Column:

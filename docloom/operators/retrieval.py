@@ -1,124 +1,13 @@
-"""Retrieval over an inverted index and over vectors; every operator takes all queries at once."""
+"""Retrieval over the inverted index and over vectors; every operator takes all queries at once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
-from docloom.storage import materialize
-
-K1, B = 1.2, 0.75
-
-
-def top_k(rows: DataFrame, k: int, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
-    """The first k rows of each group; Spark prunes before the shuffle to k a task and group."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
-
-
-@dataclass(frozen=True)
-class LexicalIndex:
-    """A stored inverted index: postings (term, doc, tf, dl) sorted by term, document frequencies (term, df), and its two statistics."""
-
-    postings: DataFrame
-    frequencies: DataFrame
-    documents: int
-    average_length: float
-    doc: str
-
-    def save(self, path: str) -> None:
-        """Write postings, frequencies and statistics below a path that open_index reads."""
-        self.postings.write.partitionBy("_part").parquet(f"{path}/postings")
-        self.frequencies.write.parquet(f"{path}/frequencies")
-        stats = [(self.documents, self.average_length, self.doc)]
-        self.postings.sparkSession.createDataFrame(stats, "documents long, average_length double, doc string").coalesce(1).write.json(f"{path}/statistics")
-
-
-def open_index(spark: SparkSession, path: str, documents: int | None = None) -> LexicalIndex:
-    """A saved index. documents: how many the corpus has; an index of another number is refused."""
-    stats = spark.read.schema("documents long, average_length double, doc string").json(f"{path}/statistics").first()
-    if stats is None or documents is not None and stats.documents != documents:
-        raise ValueError(f"the index at {path} is of {stats and stats.documents} documents, not {documents}")
-    return LexicalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/frequencies"), stats.documents, stats.average_length, stats.doc)
-
-
-#: Parts of an index by a hash of the term; a term's postings lie in one, so a reader of few terms skips the others.
-INDEX_PARTS = 32
-
-
-def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> LexicalIndex:
-    """The index of all documents, in one pass over their texts.
-
-    n tokens have n - 1 pairs, so lengths need no pairs. Terms are counted in the tasks that read the texts;
-    one shuffle adds the counts up, and a second one, of postings, puts a term's postings together,
-    a hot term's in several files.
-    """
-    tokens = docs.select(doc, T.lexical_tokens(T.normal_form(F.col(text)), lower=False).alias("_t"))
-    tokens = tokens.withColumn("dl", F.greatest(2 * F.size("_t").cast("long") - 1, F.lit(0)))
-    terms = tokens.select(doc, "dl", F.explode_outer(F.concat("_t", T.neighbours(F.col("_t")))).alias("term"))
-    counted = materialize(terms.groupBy("term", doc, "dl").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    # a document without tokens has one row, of the null term
-    lengths = counted.groupBy(doc).agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    found = counted.where("term is not null")
-    frequencies = materialize(found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
-    part = F.pmod(F.xxhash64("term"), F.lit(INDEX_PARTS)).cast("int")
-    placed = found.withColumn("_part", part).repartition("_part", F.pmod(F.xxhash64(doc), F.lit(4))).sortWithinPartitions("_part", "term")
-    return LexicalIndex(materialize(placed, "index"), frequencies, int(lengths["n"]), float(lengths["avgdl"] or 0.0), doc)
-
-
-def part_of(index: LexicalIndex, keys: DataFrame) -> LexicalIndex:
-    """The index of the documents of keys (a column as index.doc), with statistics of its own; texts are not read again."""
-    found = materialize(index.postings.join(keys, index.doc, "left_semi"), "part")
-    lengths = found.groupBy(index.doc).agg(F.max("dl").alias("dl")).agg(F.sum("dl").alias("s")).first()
-    n = keys.count()  # documents without tokens count too
-    frequencies = materialize(found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
-    return LexicalIndex(found, frequencies, n, float(lengths["s"] or 0) / max(n, 1), index.doc)
-
-
-def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
-    tokens = T.lexical_tokens(T.normal_form(F.col(text)), bigrams=True, lower=False)
-    return queries.select(query, F.explode(F.array_distinct(tokens)).alias("term"))
-
-
-def search_index(index: LexicalIndex, queries: DataFrame, query: str, k: int, query_text: str = "text", exclude_self: bool = False, k1: float = K1, b: float = B) -> DataFrame:
-    """(query, rank, doc, score): documents with a term of the query, by score and then id.
-
-    Only postings of the queries' terms are read on; gains are computed once a posting, whatever the number of queries that ask for it.
-    """
-    doc = index.doc
-    asked = materialize(query_terms(queries, query, query_text), "asked")
-    wanted = index.frequencies.join(asked.select("term").distinct(), "term")
-    n = F.lit(float(index.documents))
-    wanted = wanted.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.average_length or 1.0)))
-    weighed = index.postings.join(wanted, "term").select("term", doc, gain.alias("gain"))
-    scores = asked.join(weighed, "term")
-    if exclude_self:
-        scores = scores.where(F.col(query) != F.col(doc))
-    scores = scores.groupBy(query, doc).agg(F.round(F.sum("gain"), 6).alias("score"))
-    return top_k(scores, k, [query], [F.desc("score"), F.asc(doc)]).select(query, "rank", doc, "score")
-
-
-_INDEXES: dict[tuple[str, str], LexicalIndex] = {}
-
-
-def index_of(spark: SparkSession, name: str, build: Callable[[], LexicalIndex]) -> LexicalIndex:
-    """The index by that name, built when it is first asked for and kept for the application."""
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _INDEXES:
-        _INDEXES[key] = build()
-    return _INDEXES[key]
-
-
-def bm25(docs: DataFrame, queries: DataFrame, query: str, k: int, doc: str = "doc_id", text: str = "text", query_text: str = "text", exclude_self: bool = False, k1: float = K1, b: float = B) -> DataFrame:
-    """search_index over an index that is built for it."""
-    return search_index(build_index(docs, doc, text), queries, query, k, query_text, exclude_self, k1, b)
-
+from docloom.operators.lexical import append_documents, bm25, build_index, current_index, index_of, merge_segments, open_index, part_of, search_index, term_statistics, top_k  # noqa: F401
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -127,14 +127,19 @@ def diverse(rows: DataFrame, by: str, key: str, page: str, kind: str, score: str
     return narrow.groupBy(by).applyInPandas(choose, f"{by} {types[by]}, position int, {key} {types[key]}")
 
 
-def cover(rows: DataFrame, by: str, key: str, rank: str, facts: str, most: int) -> DataFrame:
-    """(by, position, key): for each fact in order the best row that has it, then the best of the rest up to `most`."""
+def cover(rows: DataFrame, by: str, key: str, rank: str, facts: str, most: int, plan: str | None = None) -> DataFrame:
+    """(by, position, key): for each fact the best row that has it, then the best of the rest up to `most`.
+
+    plan: a column with the facts that the query asks for; they are taken in its order, others not. Without it all facts are, by name.
+    """
     types = dict(rows.dtypes)
 
     def choose(pool: pd.DataFrame) -> pd.DataFrame:
         pool = pool.sort_values([rank, key]).reset_index(drop=True)
         taken, covered = [], set()
-        for fact in sorted({f for fs in pool[facts] for f in fs}):
+        there = {f for fs in pool[facts] for f in fs}
+        wanted = sorted(there) if plan is None else [f for f in pool[plan][0] if f in there]
+        for fact in wanted:
             if fact in covered or len(taken) >= most:
                 continue
             i = next(i for i in range(len(pool)) if fact in pool[facts][i])
@@ -146,4 +151,4 @@ def cover(rows: DataFrame, by: str, key: str, rank: str, facts: str, most: int)
                 taken.append(i)
         return pd.DataFrame({by: pool[by].iloc[0], "position": range(1, len(taken) + 1), key: [pool[key][i] for i in taken]})
 
-    return rows.select(by, key, rank, facts).groupBy(by).applyInPandas(choose, f"{by} {types[by]}, position int, {key} {types[key]}")
+    return rows.select(by, key, rank, facts, *([plan] if plan else [])).groupBy(by).applyInPandas(choose, f"{by} {types[by]}, position int, {key} {types[key]}")

@@ -78,7 +78,7 @@ def fact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _facts_sql() -> str:
-    tests = {f: " AND ".join("(" + " OR ".join(f"contains(lower(t), '{x}')" for x in g) + ")" for g in groups) for f, groups in FACTS.items()}
+    tests = {f: " AND ".join("(" + " OR ".join(f"contains(strip_accents(lower(t)), '{x}')" for x in g) + ")" for g in groups) for f, groups in FACTS.items()}
     union = " UNION ALL ".join(f"SELECT item_id, '{f}' AS fact, rank, source FROM pool WHERE {t}" for f, t in tests.items())
     return f"""WITH {_POOL}, f AS ({union}), g AS (SELECT item_id, fact, source, min(rank) AS r FROM f GROUP BY ALL), p AS (SELECT item_id, fact, list(source ORDER BY r) AS pages FROM g GROUP BY ALL),
     w AS (SELECT DISTINCT item_id, fact FROM pool, (VALUES ('first'), ('second'), ('third')) x(fact))
@@ -143,7 +143,7 @@ def financial_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rank_sql() -> str:
-    facts = " + ".join("(" + " AND ".join("(" + " OR ".join(f"contains(lower(t), '{x}')" for x in g) + ")" for g in groups) + ")::INT" for groups in FACTS.values())
+    facts = " + ".join("(" + " AND ".join("(" + " OR ".join(f"contains(strip_accents(lower(t)), '{x}')" for x in g) + ")" for g in groups) + ")::INT" for groups in FACTS.values())
     return rf"""WITH {_POOL}, w AS (SELECT *, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_%]+') AS ta, list_distinct(regexp_extract_all(lower(q), '[\p{{L}}\p{{N}}_%]+')) AS qw, {facts} AS facts, (lang <> 'en')::INT AS mismatch FROM pool),
     s AS (SELECT *, round(base + 0.32e0 * (facts / 3.0e0) + 0.18e0 * (len(list_intersect(list_filter(ta, lambda v, i: list_position(ta, v) = i)[:8], qw))::DOUBLE / greatest(1, len(qw))) + 0.08e0 * least(1e0, len({_nonyears('t')}) / 10.0e0) - 1.25e0 * mismatch, 6) AS rank_score FROM w)
     SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY mismatch, facts DESC, rank_score DESC, rank) AS INT) AS rank, doc_id, rank_score FROM s) WHERE rank <= 10"""

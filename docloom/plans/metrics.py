@@ -46,19 +46,28 @@ ENRICHMENT_SQL = f"""WITH {_YEARLY}, p AS (SELECT o_orderpriority, count(*) + 2
       'Loại báo cáo: cash_flow' || chr(10) || 'Nhãn chỉ tiêu chuẩn hóa: ' || label || chr(10) || 'Từ khóa phân biệt: ' || q AS prefix FROM l"""
 
 
+ASKED = ("năm 1993", "năm 1995 so với 1994", "năm 1980", "năm 1994 và 1995", "")
+
+
 def metric_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers from one row: questions of each priority for two years, of which one has no row."""
+    """Answers from one row: a year, two years compared, a year without a row, two years without comparison, none; and costs, of which one is a dash."""
     chunks = _chunks(spark, sf_dir)
     rows = M.metric_rows(chunks, ["o_orderpriority"], "text")
-    asked = chunks.select("o_orderpriority", F.explode(F.array(F.lit("1993"), F.lit("1994 và 1995"), F.lit("1980"))).alias("years"))
-    asked = asked.withColumn("question", F.concat(F.lit("Doanh thu thuần "), "o_orderpriority", F.lit(" năm "), "years", F.lit(" là bao nhiêu?"))).withColumn("query", F.concat_ws("/", "o_orderpriority", "years"))
-    found = M.answers_from_rows(asked, rows, "query", "question", ["o_orderpriority"])
-    return asked.select("query").join(found, "query", "left").select("query", "label", "unit", F.transform("values", lambda v: F.substring(v, 1, 4)).alias("years"))
-
-
-ANSWER_SQL = f"""WITH {_YEARLY}, a AS (SELECT DISTINCT o_orderpriority, k FROM y, (VALUES ('1993'), ('1994 và 1995'), ('1980')) t(k)),
-    h AS (SELECT o_orderpriority, k, list(CAST(year AS VARCHAR) ORDER BY year) AS years FROM a JOIN y USING (o_orderpriority) WHERE contains(k, CAST(year AS VARCHAR)) GROUP BY ALL HAVING count(*) = len(regexp_extract_all(k, '[0-9]+')))
-    SELECT o_orderpriority || '/' || k AS query, CASE WHEN years IS NOT NULL THEN 'Doanh thu thuần ' || o_orderpriority END AS label, CASE WHEN years IS NOT NULL THEN '{UNIT}' END AS unit, years FROM a LEFT JOIN h USING (o_orderpriority, k)"""
+    asked = chunks.select("o_orderpriority", F.explode(F.array(*map(F.lit, ASKED))).alias("years"))
+    asked = asked.withColumn("question", F.concat(F.lit("Doanh thu thuần "), "o_orderpriority", F.lit(" "), "years", F.lit(" là bao nhiêu?"))).withColumn("query", F.concat_ws("/", "o_orderpriority", "years"))
+    costs = chunks.select("o_orderpriority", F.lit("").alias("years"), F.lit("Chi phí thay đổi từ 1991 so với 1990").alias("question"), F.concat(F.col("o_orderpriority"), F.lit("/costs")).alias("query"))
+    found = M.answers_from_rows(asked.unionByName(costs), rows, "query", "question", ["o_orderpriority"])
+    first = M.table_number(F.split(F.get("values", F.lit(0)), ": ")[1])
+    return found.select("query", "kind", "label", "unit", first.cast("double").alias("value"), F.col("delta").cast("double").alias("delta"), F.round("percent", 4).alias("percent"), "reason")
+
+
+ANSWER_SQL = f"""WITH {_YEARLY}, p AS (SELECT o_orderpriority, max(v) FILTER (year = 1993) AS v93, max(v) FILTER (year = 1994) AS v94, max(v) FILTER (year = 1995) AS v95 FROM y GROUP BY 1),
+    a AS (SELECT *, unnest(['năm 1993', 'năm 1995 so với 1994', 'năm 1980', 'năm 1994 và 1995', '', 'costs']) AS k FROM p),
+    r AS (SELECT *, CASE WHEN k = 'năm 1993' AND v93 IS NULL OR k LIKE '%1994%' AND (v94 IS NULL OR v95 IS NULL) OR k = 'năm 1980' THEN 'no_row' WHEN k = '' THEN 'no_years' WHEN k = 'costs' THEN 'no_number' WHEN k = 'năm 1994 và 1995' THEN 'neither_lookup_nor_comparison' END AS reason FROM a)
+    SELECT o_orderpriority || '/' || k AS query, CASE WHEN reason IS NULL THEN CASE WHEN k LIKE '%so với%' THEN 'comparison' ELSE 'lookup' END END AS kind,
+      CASE WHEN reason IS NULL THEN 'Doanh thu thuần ' || o_orderpriority END AS label, CASE WHEN reason IS NULL THEN '{UNIT}' END AS unit,
+      CASE WHEN reason IS NULL THEN (CASE WHEN k = 'năm 1993' THEN v93 ELSE v95 END)::DOUBLE END AS value, CASE WHEN reason IS NULL AND k LIKE '%so với%' THEN (v95 - v94)::DOUBLE END AS delta,
+      CASE WHEN reason IS NULL AND k LIKE '%so với%' THEN round((v95 - v94)::DOUBLE * 100 / v94::DOUBLE, 4) END AS percent, reason FROM r"""
 
 
 def number_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import text as T
 from docloom.operators import retrieval as R
+from docloom.operators.lexical import LexicalIndex
 from docloom.sources.tables import table
 
 K = 10
@@ -16,11 +17,9 @@ TERMS = ["the", "and", "with", "for", "that"]
 TOKENS = r"\d+(?:[.,]\d+)*%?|[\p{L}\p{Nl}\p{No}]+(?:[-_][\p{L}\p{Nl}\p{No}]+)*"
 
 
-def index(spark: SparkSession, sf_dir: str, lang: str | None = None) -> R.LexicalIndex:
-    """The stored index of all documents, or of those of a language; built once for an application."""
-    docs = table(spark, sf_dir, "documents")
-    whole = lambda: R.index_of(spark, sf_dir, lambda: R.build_index(docs))
-    return whole() if lang is None else R.index_of(spark, f"{sf_dir} {lang}", lambda: R.part_of(whole(), docs.where(F.col("lang") == lang).select("doc_id")))
+def index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """The stored index of all documents with their languages as groups; brought up to the table's files."""
+    return R.index_of(table(spark, sf_dir, "documents"), f"{sf_dir}/documents", group="lang")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,9 +96,9 @@ RRF_SQL = f"""WITH {_RRF} SELECT query, CAST(rank AS INT) AS rank, doc_id, fusio
 def rrf_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question goes to the indexes of its route: the languages play the indexes; odd questions ask two."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    rankings = {}
-    for lang, routed in (("en", asked), ("fr", asked.where("item_id % 2 = 1"))):
-        rankings[lang] = (R.search_index(index(spark, sf_dir, lang), routed, "item_id", 20), 1.0)
+    routes = F.when(F.col("item_id") % 2 == 1, F.array(F.lit("en"), F.lit("fr"))).otherwise(F.array(F.lit("en")))
+    found = R.search_index(index(spark, sf_dir), asked.withColumn("lang", F.explode(routes)), "item_id", 20, route="lang")
+    rankings = {lang: (found.where(F.col("group") == lang), 1.0) for lang in ("en", "fr")}
     fused = R.fuse(rankings, "item_id", "doc_id", 20)
     order = [F.desc("fusion_score"), F.desc("score"), F.asc("doc_id")]
     scored = fused.withColumn("score", F.coalesce("en_score", "fr_score")).drop("rank")

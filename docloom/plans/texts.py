@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from docloom.functions import numbers as N
 from docloom.functions import text as T
 from docloom.operators import chunking as C
+from docloom.operators import lexical as L
+from docloom.plans.retrieval import _bm25_sql
+from docloom.plans.retrieval import _pool as pooled
 from docloom.sources.tables import table
 from docloom.storage import materialize
 
@@ -25,26 +28,23 @@ TOKENS_SQL = f"WITH x AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN
 
 
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document frequency and total frequency of every token."""
-    terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.lexical_tokens(F.col("text"))).alias("term"))
-    tf = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    """Document frequency and total frequency of every token, from the stored index."""
+    return L.term_statistics(L.index_of(table(spark, sf_dir, "documents"), f"{sf_dir}/documents", group="lang"))
 
 
-STATS_SQL = f"SELECT term, count(DISTINCT doc_id) AS df, CAST(count(*) AS BIGINT) AS total FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TOKENS}')) AS term FROM documents) GROUP BY term"
+STATS_SQL = f"SELECT term, count(DISTINCT doc_id) AS df, CAST(count(*) AS BIGINT) AS total FROM (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '{TOKENS}')) AS term FROM documents) GROUP BY term"
 
 
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions against those of the next three ids, as a pool's rows against the ones before: Jaccard or containment, whichever is larger."""
-    words = table(spark, sf_dir, "benchmark").select("item_id", T.word_set(F.col("text")).alias("w"))
-    after = words.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("_k")).withColumn("_to", F.col("item_id") + F.col("_k"))
-    pairs = after.alias("l").join(words.alias("r"), F.col("l._to") == F.col("r.item_id"))
-    return pairs.select(F.col("l.item_id").alias("a"), F.col("r.item_id").alias("b"), F.round(T.set_similarity(F.col("l.w"), F.col("r.w")), 6).alias("similarity"))
+    """Rows of each question's candidate pool against the better ones before them, whole texts: Jaccard or containment, whichever is larger."""
+    pool = pooled(spark, sf_dir, 10).select("item_id", "rank", "doc_id", T.word_set(F.col("text")).alias("w"))
+    pairs = pool.alias("l").join(pool.alias("r"), (F.col("l.item_id") == F.col("r.item_id")) & (F.col("l.rank") > F.col("r.rank")))
+    return pairs.select(F.col("l.item_id").alias("item_id"), F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"), F.round(T.set_similarity(F.col("l.w"), F.col("r.w")), 6).alias("similarity"))
 
 
-SIMILARITY_SQL = rf"""WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{W}')) AS w FROM benchmark),
-    p AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.w, b.w))::DOUBLE AS o, len(a.w) AS m, len(b.w) AS n FROM w a, w b WHERE b.item_id BETWEEN a.item_id + 1 AND a.item_id + 3)
-    SELECT a, b, round(CASE WHEN m = 0 OR n = 0 THEN (m = n)::INT::DOUBLE ELSE greatest(o / (m + n - o), o / least(m, n)) END, 6) AS similarity FROM p"""
+SIMILARITY_SQL = rf"""WITH {_bm25_sql('benchmark', 'item_id', 10)}, w AS (SELECT item_id, rank, doc_id, list_distinct(regexp_extract_all(lower(text), '{W}')) AS w FROM lexical JOIN documents USING (doc_id)),
+    p AS (SELECT a.item_id, a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w))::DOUBLE AS o, len(a.w) AS m, len(b.w) AS n FROM w a JOIN w b ON a.item_id = b.item_id AND a.rank > b.rank)
+    SELECT item_id, a, b, round(CASE WHEN m = 0 OR n = 0 THEN (m = n)::INT::DOUBLE ELSE greatest(o / (m + n - o), o / least(m, n)) END, 6) AS similarity FROM p"""
 
 
 def margin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,9 +144,10 @@ def test_metric_rows(spark):
     df = spark.createDataFrame([(1, text), (2, None), (3, "Chỉ tiêu: none")], "id int, text string")
     got = sorted((r.label, r.year, r.value, r.unit) for r in M.metric_rows(df, ["id"], "text").collect())
     assert got == [("Chi", "2020", "-", "%"), ("Thu nhập lãi thuần", "2020", "1.234,5", "tỷ đồng"), ("Thu nhập lãi thuần", "2021", "13", "tỷ đồng")]
-    asked = spark.createDataFrame([("a", "thu nhập lãi thuần 2020 và 2021", 1), ("b", "thu nhập lãi thuần 1999", 1), ("c", "chi 2020", 1)], "q string, question string, id int")
+    asked = spark.createDataFrame([("a", "thu nhập lãi thuần 2021 so với 2020", 1), ("b", "thu nhập lãi thuần 1999", 1), ("c", "chi 2020", 1), ("d", "thu nhập lãi thuần 2020 và 2021", 1)], "q string, question string, id int")
     rows = M.metric_rows(df, ["id"], "text")
-    assert [(r.q, r["values"]) for r in M.answers_from_rows(asked, rows, "q", "question", ["id"]).collect()] == [("a", ["2020: 1.234,5", "2021: 13"])]
+    got = {r.q: (r.kind, r["values"], r.delta and float(r.delta), r.reason) for r in M.answers_from_rows(asked, rows, "q", "question", ["id"]).collect()}
+    assert got == {"a": ("comparison", ["2021: 13", "2020: 1.234,5"], -1221.5, None), "b": (None, None, None, "no_row"), "c": ("lookup", ["2020: -"], None, None), "d": (None, None, None, "neither_lookup_nor_comparison")}
 
 
 def test_normal_form(spark):

@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
+from docloom.operators import metrics as M
 
 #: Terms of the diversity score, as the compared system publishes them.
 SAME_PAGE, SAME_KIND, TIE = 0.08, 0.025, 1e-6
+#: A row that has this share of a question's words, and of the best score, is a direct match.
+DIRECT_SHARE, NEAR_BEST = 0.5, 0.85
+#: What asks for numbers and for explanations, and words of a question that name nothing.
+NUMERIC_QUESTION = r"(?iu)(?<![\p{L}\p{N}_])(?:bao nhiêu|tỷ lệ|tỷ suất|năm\s+20[0-9]{2}|tăng trưởng|cagr|roe|roa|nim|casa|npl)(?![\p{L}\p{N}_])|%"
+EXPLANATORY_QUESTION = r"(?iu)(?<![\p{L}\p{N}_])(?:tại sao|vì sao|giải thích|nguyên nhân|chiến lược|chính sách|vai trò|mô tả)(?![\p{L}\p{N}_])"
+QUESTION_STOP = ("bao", "của", "cho", "là", "nào", "năm", "nhiêu", "tại", "theo", "thế", "thì", "và", "với", "được")
 
 
 def ordered_array(rows: Column, *keys: Column) -> Column:
@@ -94,9 +101,15 @@ def _similarity(a: set, b: set) -> float:
     return max(shared / len(a | b), shared / min(len(a), len(b)))
 
 
-def diverse(rows: DataFrame, by: str, key: str, page: str, kind: str, score: str, text: str, k: int, balance: float = 0.7) -> DataFrame:
+def diverse(
+    rows: DataFrame, by: str, key: str, page: str, kind: str, score: str, text: str, k: int, balance: float = 0.7, question: str | None = None, protected: int | None = None
+) -> DataFrame:
     """(by, position, key): maximal marginal relevance with penalties for a page or kind that is taken.
 
+    question: a column with the question. A row's kind is then worth more or less to one that asks for
+    numbers or explanations, and the row that names most of the question's words, if that is half of
+    them and its score is near the best, is moved into the first `protected` rows (5 unless given).
+
     Each choice depends on all before it, so pools (a bounded number of candidates of a query) are grouped to Python.
     """
     types = dict(rows.dtypes)
@@ -104,7 +117,7 @@ def diverse(rows: DataFrame, by: str, key: str, page: str, kind: str, score: str
     def choose(pool: pd.DataFrame) -> pd.DataFrame:
         pool = pool.sort_values([score, key], ascending=[False, True]).reset_index(drop=True)
         words = [set(w) for w in pool["_words"]]
-        s = pool[score].to_numpy(float)
+        s, bonus = pool[score].to_numpy(float), pool["_bonus"].to_numpy(float)
         low, high = s.min(), s.max()
         relevant = [1.0] * len(s) if high == low else (s / high if low >= 0 and high > 0 else (s - low) / (high - low))
         taken: list[int] = []
@@ -113,7 +126,7 @@ def diverse(rows: DataFrame, by: str, key: str, page: str, kind: str, score: str
             for i in range(len(pool)):
                 if i in taken:
                     continue
-                value = balance * relevant[i] + TIE * s[i]
+                value = balance * relevant[i] + TIE * s[i] + bonus[i]
                 if taken:
                     value -= (1 - balance) * max(_similarity(words[i], words[j]) for j in taken)
                     value -= SAME_PAGE * any(pool[page][i] == pool[page][j] for j in taken)
@@ -121,34 +134,51 @@ def diverse(rows: DataFrame, by: str, key: str, page: str, kind: str, score: str
                 if value > best_score:
                     best, best_score = i, value
             taken.append(best)
+        asked = set(pool["_asked"][0])
+        if asked:  # no novelty may crowd out the row that says what was asked
+            shares = [len(asked & w) / len(asked) for w in words]
+            direct = max(range(len(pool)), key=lambda i: (shares[i], s[i]))
+            window = min(protected or min(5, k), k)
+            near = s[direct] >= (NEAR_BEST * high if high > 0 else high)
+            if shares[direct] >= DIRECT_SHARE and near and direct not in taken[:window]:
+                taken = [i for i in taken if i != direct]
+                taken.insert(window - 1, direct)
+                del taken[k:]
         return pd.DataFrame({by: pool[by].iloc[0], "position": range(1, len(taken) + 1), key: [pool[key][i] for i in taken]})
 
-    narrow = rows.select(by, key, page, kind, F.col(score).cast("double").alias(score), T.word_set(F.col(text)).alias("_words"))
+    if question:
+        low_q = F.lower(F.col(question))
+        bonus = M.representation_bonus(low_q.rlike(NUMERIC_QUESTION), low_q.rlike(EXPLANATORY_QUESTION), F.col(kind).cast("string"))
+        asked = F.filter(T.word_set(F.col(question)), lambda w: ~w.isin(*QUESTION_STOP) & (F.length(w) > 1))
+    else:
+        bonus, asked = F.lit(0.0), F.array().cast("array<string>")
+    narrow = rows.select(by, key, page, kind, F.col(score).cast("double").alias(score), T.word_set(F.col(text)).alias("_words"), F.coalesce(bonus, F.lit(0.0)).alias("_bonus"), asked.alias("_asked"))
     return narrow.groupBy(by).applyInPandas(choose, f"{by} {types[by]}, position int, {key} {types[key]}")
 
 
-def cover(rows: DataFrame, by: str, key: str, rank: str, facts: str, most: int, plan: str | None = None) -> DataFrame:
+def cover(rows: DataFrame, by: str, key: str, rank: str, facts: str, most: int | str, plan: str | None = None) -> DataFrame:
     """(by, position, key): for each fact the best row that has it, then the best of the rest up to `most`.
 
-    plan: a column with the facts that the query asks for; they are taken in its order, others not. Without it all facts are, by name.
+    plan: a column with the facts that the query asks for; they are taken in its order, others not. Without it all facts are, by name. most may be a column, too.
     """
     types = dict(rows.dtypes)
 
     def choose(pool: pd.DataFrame) -> pd.DataFrame:
         pool = pool.sort_values([rank, key]).reset_index(drop=True)
         taken, covered = [], set()
+        limit = most if isinstance(most, int) else int(pool[most][0])
         there = {f for fs in pool[facts] for f in fs}
         wanted = sorted(there) if plan is None else [f for f in pool[plan][0] if f in there]
         for fact in wanted:
-            if fact in covered or len(taken) >= most:
+            if fact in covered or len(taken) >= limit:
                 continue
             i = next(i for i in range(len(pool)) if fact in pool[facts][i])
             if i not in taken:
                 taken.append(i)
             covered |= set(pool[facts][i])
         for i in range(len(pool)):
-            if len(taken) < most and i not in taken:
+            if len(taken) < limit and i not in taken:
                 taken.append(i)
         return pd.DataFrame({by: pool[by].iloc[0], "position": range(1, len(taken) + 1), key: [pool[key][i] for i in taken]})
 
-    return rows.select(by, key, rank, facts, *([plan] if plan else [])).groupBy(by).applyInPandas(choose, f"{by} {types[by]}, position int, {key} {types[key]}")
+    return rows.select(by, key, rank, facts, *([plan] if plan else []), *([most] if isinstance(most, str) else [])).groupBy(by).applyInPandas(choose, f"{by} {types[by]}, position int, {key} {types[key]}")

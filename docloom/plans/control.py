@@ -9,7 +9,9 @@ from pyspark.sql.window import Window
 
 from docloom.functions import numbers as N
 from docloom.functions import text as T
+from docloom.operators import adaptive as A
 from docloom.operators import coverage as COV
+from docloom.operators import finance as FI
 from docloom.operators import retrieval as R
 from docloom.operators import routing as RT
 from docloom.plans.retrieval import _POOL, _bm25_sql, _nonyears, _pool, _years, index
@@ -253,17 +255,54 @@ ADAPTIVE_SQL = f"""WITH {_SUFFICIENT}, again AS (SELECT item_id, query AS text F
 
 
 def adaptive_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why each question's search ended: evidence that suffices after the first round, or after the second, or nothing new, or two rounds used up."""
-    evidence, terms = _evidence(spark, sf_dir), ["thing", "licen", "with"]
-    state = COV.sufficiency(evidence, "item_id", "asked", "text", "base", terms)
-    merged = adaptive_two_round(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    asked = evidence.groupBy("item_id").agg(F.max("asked").alias("asked"))
-    merged = merged.join(asked, "item_id").withColumn("base", R.share_of_best("score", ["item_id"]))
-    after = COV.sufficiency(merged, "item_id", "asked", "text", "base", terms).select("item_id", F.col("sufficient").alias("after"))
-    new = merged.groupBy("item_id").agg(F.count_if(F.col("round") == 2).alias("new_rows"))
-    rows = state.join(after, "item_id").join(new, "item_id")
-    reason = F.when(F.col("sufficient"), "sufficient").when(F.col("after"), "sufficient_after_second").when(F.col("new_rows") == 0, "nothing_new").otherwise("rounds_used")
-    return rows.select("item_id", reason.alias("stop_reason"), F.when(F.col("sufficient"), 1).otherwise(2).alias("rounds"), "new_rows")
+    """Why each question's search ended, and what its last round had: two rounds with dedup, diversity and budget in each."""
+    docs, lexicon = table(spark, sf_dir, "documents"), index(spark, sf_dir)
+
+    def search(queries: DataFrame, k: int) -> DataFrame:
+        found = R.search_index(lexicon, queries, "query", k)
+        best = R.share_of_best("score", ["query"])
+        return found.select("query", F.col("doc_id").alias("key"), best.alias("score")).join(docs.select(F.col("doc_id").alias("key"), F.col("source").alias("page"), F.col("lang").alias("kind"), "text"), "key")
+
+    asked = F.concat("text", F.when(F.col("item_id") % 3 == 0, F.lit(" how many in 2021")).when(F.col("item_id") % 3 == 1, F.lit(" compare 2019 with 2020")).otherwise(F.lit("")))
+    state, _ = A.adaptive_search(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), asked.alias("text")), search, ["thing", "licen", "with"], "figures")
+    return state.select(F.col("query").alias("item_id"), "rounds", "stop_reason", "sufficient", "confidence", "missing", "candidates", "after_dedup", "after_diversity", "evidence", "tokens", "again")
+
+
+FINANCE = FI.FinanceConfig(
+    intents=(FI.Intent("linked", "multi_hop", ("of",), ("first", "second")), FI.Intent("joined", "calculation", ("with",), ("third", "first"))),
+    facts={"first": {"groups": FACTS["first"], "query": "the and"}, "second": {"groups": FACTS["second"], "query": "licence license"}, "third": {"groups": FACTS["third"], "query": "idiot trash"}},
+)
+
+
+def financial_controller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of all questions, their facts after a round more for those that lack some, and what they asked."""
+    docs, lexicon = table(spark, sf_dir, "documents"), index(spark, sf_dir)
+
+    def search(queries: DataFrame, k: int) -> DataFrame:
+        found = R.search_index(lexicon, queries, "query", k).withColumn("score", R.share_of_best("score", ["query"]))
+        return found.join(docs.select("doc_id", "text", F.col("lang").alias("heading"), F.lit("").alias("entity")), "doc_id").withColumn("page", F.col("doc_id")).withColumnRenamed("doc_id", "key")
+
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query"), "text")
+    state = FI.controlled_search(asked, search, FINANCE)
+    facts = state.coverage.where("covered").groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "fact"))), lambda x: x["fact"]).alias("covered"))
+    out = state.plan.select("query", "intent").join(state.trace, "query").join(facts, "query", "left")
+    return out.select(F.col("query").cast("long").alias("item_id"), "intent", F.coalesce("covered", F.array().cast("array<string>")).alias("covered"), "rounds", "follow_ups", "initial_candidates", "final_candidates")
+
+
+def _finance_sql() -> str:
+    tests = ", ".join(f"CASE WHEN {' AND '.join('(' + ' OR '.join(f"contains(f, '{x}')" for x in g) + ')' for g in groups)} THEN '{name}' END" for name, groups in FACTS.items())
+    return f"""WITH {_bm25_sql('benchmark', 'item_id', 20)}, asks AS (SELECT * FROM (VALUES ('first', 'the and'), ('second', 'licence license'), ('third', 'idiot trash')) v(fact, text)),
+    second AS (WITH {_bm25_sql('asks', 'fact', 8)} SELECT fact, doc_id FROM lexical),
+    h AS (SELECT doc_id, list_filter([{tests}], lambda x: x IS NOT NULL) AS has FROM (SELECT doc_id, strip_accents(lower(text)) AS f FROM documents)),
+    p AS (SELECT item_id, CASE WHEN contains(strip_accents(lower(text)), 'of') THEN 'linked' WHEN contains(strip_accents(lower(text)), 'with') THEN 'joined' ELSE 'generic' END AS intent,
+      CASE WHEN contains(strip_accents(lower(text)), 'of') THEN ['first', 'second'] WHEN contains(strip_accents(lower(text)), 'with') THEN ['third', 'first'] ELSE [] END AS facts FROM benchmark),
+    r1 AS (SELECT p.item_id, count(doc_id) AS n, coalesce(list_distinct(flatten(list(has) FILTER (has IS NOT NULL))), []) AS has FROM p LEFT JOIN lexical USING (item_id) LEFT JOIN h USING (doc_id) GROUP BY p.item_id),
+    m AS (SELECT p.item_id, intent, facts, n, list_filter(facts, lambda x: NOT list_contains(r1.has, x)) AS missing FROM p JOIN r1 USING (item_id)),
+    d AS (SELECT item_id, doc_id FROM lexical UNION SELECT item_id, doc_id FROM m JOIN second ON list_contains(missing, fact)),
+    r2 AS (SELECT item_id, count(*) AS n2, list_distinct(flatten(list(has))) AS has2 FROM d JOIN h USING (doc_id) GROUP BY item_id)
+    SELECT item_id, intent, list_filter(facts, lambda x: list_contains(coalesce(has2, []), x)) AS covered, CAST(CASE WHEN len(missing) > 0 THEN 2 ELSE 1 END AS INT) AS rounds,
+      list_transform(missing, lambda x: CASE x WHEN 'first' THEN 'the and' WHEN 'second' THEN 'licence license' ELSE 'idiot trash' END) AS follow_ups, n AS initial_candidates, coalesce(n2, 0) AS final_candidates
+    FROM m LEFT JOIN r2 USING (item_id)"""
 
 
 def score_udf_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,8 +323,8 @@ def fold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(T.nfkc(F.col("t"))).alias("nfkc"), F.md5(T.nfc(F.col("t"))).alias("nfc"), T.fold(F.col("t")).alias("folded"), T.redact_new_numbers(F.lit("in 2020"), F.concat(F.lit("2020 and 37: "), F.col("t"))).alias("redacted"))
 
 
-QUERIES = {f.__name__: f for f in (route_features, route_score, llm_route_validate, fact_coverage, sufficiency, followup_query, intent_first_match, financial_rank, growth_calc, plan_variance, pp_difference, cagr, tool_calculator, canonical_citation, numeric_support, adaptive_two_round, adaptive_outcome, score_udf_stub, fold_search)}
+QUERIES = {f.__name__: f for f in (route_features, route_score, llm_route_validate, fact_coverage, sufficiency, followup_query, intent_first_match, financial_rank, growth_calc, plan_variance, pp_difference, cagr, tool_calculator, canonical_citation, numeric_support, adaptive_two_round, adaptive_outcome, financial_controller, score_udf_stub, fold_search)}
 ORACLES = {
     "route_features": FEATURES_SQL, "route_score": _route_sql(), "llm_route_validate": VALIDATE_SQL, "fact_coverage": _facts_sql(), "sufficiency": SUFFICIENCY_SQL, "followup_query": FOLLOWUP_SQL, "intent_first_match": INTENT_SQL,
-    "financial_rank": _rank_sql(), "growth_calc": GROWTH_SQL, "plan_variance": VARIANCE_SQL, "pp_difference": POINTS_SQL, "cagr": CAGR_SQL, "tool_calculator": CALCULATOR_SQL, "canonical_citation": CITATION_SQL, "numeric_support": SUPPORT_SQL, "adaptive_two_round": ADAPTIVE_SQL,
+    "financial_rank": _rank_sql(), "growth_calc": GROWTH_SQL, "plan_variance": VARIANCE_SQL, "pp_difference": POINTS_SQL, "cagr": CAGR_SQL, "tool_calculator": CALCULATOR_SQL, "canonical_citation": CITATION_SQL, "numeric_support": SUPPORT_SQL, "adaptive_two_round": ADAPTIVE_SQL, "financial_controller": _finance_sql(),
 }

@@ -138,7 +138,9 @@ DEDUP_SQL = rf"""WITH RECURSIVE f AS ({BM25_SQL}), x AS (SELECT item_id, source,
 
 
 def mmr_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.diverse(_pool(spark, sf_dir), "item_id", "doc_id", "source", "lang", "score", "text", 5)
+    """Diverse candidates of each question, direct matches kept."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    return S.diverse(_pool(spark, sf_dir).join(asked, "item_id"), "item_id", "doc_id", "source", "lang", "score", "text", 5, question="question")
 
 
 def set_cover_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 
@@ -85,18 +86,18 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / F.lit(4.0))).cast("long")
 
 
-def html_to_text(html: Column) -> Column:
+def html_to_text(page: Column) -> Column:
     """Comments, scripts and styles go; breaks and block ends become lines; other tags go; blanks and blank lines collapse."""
     for pattern, put in (
         (r"(?s)<!--.*?-->", ""), (r"(?is)<(script|style)[^>]*>.*?</(script|style)>", ""), (r"(?i)<br ?/?>", "\n"),
         (r"(?i)</(p|div|li|tr|h[1-6])>", "\n"), (r"(?i)</t[dh]>", " ; "), (r"<[^>]+>", ""), (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{2,}", "\n"),
     ):
-        html = F.regexp_replace(html, pattern, put)
-    return F.trim(html)
+        page = F.regexp_replace(page, pattern, put)
+    return F.trim(page)
 
 
-def first_heading(html: Column) -> Column:
-    return squeeze(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
+def first_heading(page: Column) -> Column:
+    return squeeze(F.regexp_extract(page, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
 
 
 def markdown_heading(text: Column) -> Column:
@@ -104,19 +105,36 @@ def markdown_heading(text: Column) -> Column:
     return F.trim(F.regexp_extract(text, r"(?m)^#{1,4}[ \t]+(.+)$", 1))
 
 
+def unescaped(text: Column) -> Column:
+    """Entities of HTML as the characters that they stand for. Spark has no such function, so texts with an ampersand go to Python."""
+    return F.coalesce(_by_batch(F.when(F.contains(text, F.lit("&")), text), html.unescape), text)
+
+
 def markdown_to_text(text: Column) -> Column:
-    """Fences, images, link targets, table rules, heading marks, bullets and emphasis go."""
+    """Plain lines: fences, images and links keep their words alone, tags go, cells of HTML and pipe tables are set apart by semicolons.
+
+    Heading marks, bullets, list numbers and emphasis go, as do rules of tables; blank lines never
+    follow one another. Entities are resolved once tags are gone.
+    """
     for pattern, put in (
-        (r"(?m)^```.*$", ""), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(?m)^\s*\|?[ :|-]+\|[ :|-]*$", ""),
-        (r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^[ \t]*[-*+][ \t]+", ""), (r"[*_`]{1,3}", ""), (r"\n{3,}", "\n\n"),
+        (r"\r\n?", "\n"), (r"```[^\n]*\n?", ""), (r"!?\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?i)<br\s*/?>|</(?:p|div|tr|table|h[1-6])\s*>", "\n"), (r"(?i)</t[dh]\s*>", " ; "), (r"<[^>]+>", " "),
     ):
         text = F.regexp_replace(text, pattern, put)
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    lines = F.filter(F.transform(F.split(unescaped(text), "\n"), lambda x: F.trim(x)), lambda x: ~x.rlike(r"^\|?[\s:|-]*-[\s:|-]*\|?$"))
+
+    def plain(line: Column) -> Column:
+        cells = F.filter(F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), lambda x: F.trim(x)), lambda c: c != "")
+        line = F.when(F.contains(line, F.lit("|")), F.array_join(cells, " ; ")).otherwise(line)
+        for pattern in (r"^#{1,6}\s+", r"^(?:[-+*]|[0-9]+[.)])\s+", r"\*\*|__|~~|`|(?<!\\)[*_]"):
+            line = F.regexp_replace(line, pattern, "")
+        return F.trim(F.regexp_replace(line, r"[ \t]+", " "))
+
+    return F.regexp_replace(F.regexp_replace(F.array_join(F.transform(lines, plain), "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def edge_lines(text: Column, n: int = 4, least: int = 4) -> Column:
     """Distinct first and last n lines that are long enough and no number."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim)
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x))
     ends = let(lines, lambda x: F.concat(F.slice(x, 1, n), F.slice(x, F.greatest(F.lit(1), F.size(x) - n + 1), n)))
     return F.array_distinct(F.filter(ends, lambda x: (F.length(x) >= least) & ~x.rlike("^[0-9]+$")))
 
@@ -124,7 +142,7 @@ def edge_lines(text: Column, n: int = 4, least: int = 4) -> Column:
 def clean_page(text: Column, drop: Column) -> Column:
     """Blanks collapsed; repeated margin lines and numbers alone near an edge dropped; at most one blank line in a row."""
     text = F.regexp_replace(F.regexp_replace(text, " ", " "), r"[ \t]+", " ")
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     kept = let(lines, lambda all_: F.filter(all_, lambda x, i: ~F.array_contains(drop, x) & ~(x.rlike("^[0-9]{1,3}$") & ((i < 5) | (i >= F.size(all_) - 5)))))
     return F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
 

@@ -7,32 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
+from docloom.operators.dense import dense_top_k  # noqa: F401
 from docloom.operators.lexical import append_documents, bm25, build_index, current_index, index_of, merge_segments, open_index, part_of, search_index, term_statistics, top_k  # noqa: F401
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", exclude_self: bool = True, most_bytes: int = 64 << 20) -> DataFrame:
-    """(query, rank, key, score) by inner product, then key. Exact: the stated queries against all rows.
-
-    Queries of up to most_bytes together go to every task; beyond that both sides are dealt into blocks,
-    each pair of which is one task's work.
-    """
-    asked = queries.select(F.col(key).alias("query"), F.col(column).alias("_q"))
-    held = asked.agg(F.sum(8 * F.coalesce(F.size("_q"), F.lit(0)) + 64)).first()[0] or 0
-    if held <= most_bytes:
-        pairs = vectors.select(key, column).crossJoin(F.broadcast(asked))
-    else:
-        blocks = 64
-        left = vectors.select(key, column, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-        pairs = left.join(asked.withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")), "_b").drop("_b")
-    if exclude_self:
-        pairs = pairs.where(F.col(key) != F.col("query"))
-    scored = pairs.select("query", key, F.round(dot(F.col(column), F.col("_q")), 6).alias("score"))
-    return top_k(scored, k, ["query"], [F.desc("score"), F.asc(key)]).select("query", "rank", key, "score")
-
-
 def fuse(rankings: dict[str, tuple[DataFrame, float]], query: str, key: str, k: int, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion: (query, rank, key, fusion_score, one score column for each source).
 

@@ -10,6 +10,7 @@ from docloom.config import RetrievalConfig
 from docloom.functions import numbers as N
 from docloom.functions import text as T
 from docloom.functions.register import register
+from docloom.operators import assembly as AS
 from docloom.operators import chunking as C
 from docloom.operators import conversation as V
 from docloom.operators import coverage as COV
@@ -66,6 +67,43 @@ def cascade_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASCADE_SQL = f"WITH {_BLOCKS}, c AS (SELECT *, count(*) FILTER (kind = 'subtitle') OVER (PARTITION BY page_id) >= 3 AS complex FROM blocks) SELECT page_id, complex, count(*) AS n FROM c WHERE kind <> 'subtitle' OR complex GROUP BY ALL"
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as records of recognition: a label and a figure box for each block, and a total that only the text has. Odd pages say nothing in their heading."""
+    label = F.array_join(F.slice(T.all_matches(F.col("text"), r"\p{L}+"), 1, 2), " ")
+    blocks = _blocks(spark, sf_dir).withColumn("label", label).where("label <> ''")
+    top = F.col("seq") * 400.0
+    box = lambda content, y: F.struct(F.lit("text").alias("block_label"), content.alias("block_content"), F.array(F.lit(0.0), top + y, F.lit(100.0), top + y + 20).alias("block_bbox"), F.col("seq").alias("block_order"))
+    pair = F.array(box(F.col("label"), 0), box(F.concat(F.length("text").cast("string"), F.lit(" tỷ đồng")), 30))
+    rows = blocks.groupBy("page_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", pair.alias("p")))), lambda x: x["p"])).alias("boxes"), F.max(F.when(F.col("kind") == "title", F.array_join(T.all_matches(F.col("text"), r"\p{L}+"), " "))).alias("title"))
+    heading = F.when(F.col("page_id") % 2 == 1, F.lit("Tổng quan")).otherwise(F.coalesce("title", F.lit("")))
+    markdown = F.concat(F.lit("# "), heading, F.lit("\nTổng cộng\n"), (F.size("boxes") / 2).cast("int").cast("string"))
+    return rows.select(
+        "page_id", F.format_string("p%06d", "page_id").alias("raw_id"), F.format_string("s%02d", F.col("page_id") % 50).alias("source"), F.col("page_id").cast("int").alias("logical_index"), F.col("page_id").cast("int").alias("printed_page"), markdown.alias("markdown"),
+        F.struct(F.struct(F.col("boxes").alias("parsing_res_list")).alias("res")).alias("structured_result"),
+    )
+
+
+def assembled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of pages under their sections, and a chunk for each figure that an extractor finds."""
+    chunks = _blocks(spark, sf_dir).select(F.format_string("a3_p%06d_block_%04d", "page_id", "seq").alias("chunk_id"), F.format_string("p%06d", "page_id").alias("raw_id"), "seq", "text", F.lit("block").alias("granularity"))
+    out = AS.assembled_chunks(chunks, _records(spark, sf_dir), year=2025)
+    return out.select("chunk_id", "granularity", F.md5("text").alias("text_md5"), F.md5("parent_text").alias("parent_md5"), F.col("semantic_fields.metric").alias("metric"), F.col("semantic_fields.value").alias("value"), F.array_join("semantic_fields.numbers", "|").alias("numbers"), F.col("semantic_fields.unit").alias("unit"), "method", "confidence")
+
+
+ASSEMBLED_SQL = rf"""WITH {_BLOCKS},
+    b AS (SELECT *, array_to_string(regexp_extract_all(text, '\p{{L}}+')[:2], ' ') AS label FROM blocks),
+    r AS (SELECT page_id, count(*) AS n, CASE WHEN page_id % 2 = 1 THEN 'Tổng quan' ELSE coalesce(max(CASE WHEN kind = 'title' THEN array_to_string(regexp_extract_all(text, '\p{{L}}+'), ' ') END), '') END AS heading FROM b WHERE label <> '' GROUP BY page_id),
+    s AS (SELECT *, last_value(CASE WHEN heading NOT IN ('', 'Tổng quan') THEN heading END IGNORE NULLS) OVER (PARTITION BY page_id % 50 ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS section FROM r),
+    p AS (SELECT page_id, n, 'Kỳ báo cáo: 2025' || chr(10) || CASE WHEN section IS NULL AND heading = '' THEN '' ELSE 'Ngữ cảnh tài liệu: ' || concat_ws(' > ', section, CASE WHEN heading <> coalesce(section, '') AND heading <> '' THEN heading END) || chr(10) END AS scope FROM s),
+    par AS (SELECT page_id, rtrim(left(string_agg(text, chr(10) || chr(10) ORDER BY seq), 2400), ' ' || chr(10) || chr(9) || chr(13)) AS parent FROM blocks GROUP BY page_id),
+    v AS (SELECT page_id, label AS metric, length(text) AS value, seq FROM b WHERE label <> '' QUALIFY row_number() OVER (PARTITION BY page_id, lower(label) ORDER BY seq) = 1),
+    m AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY seq) AS k, metric, value || ' tỷ đồng' AS value, CAST(value AS VARCHAR) AS numbers, 'tỷ đồng' AS unit, 'layout_nearest_label' AS method, 0.92e0 AS confidence FROM v
+      UNION ALL SELECT page_id, (SELECT count(*) FROM v WHERE v.page_id = p.page_id) + 1, 'Tổng cộng', CAST(n AS VARCHAR), CAST(n AS VARCHAR), NULL, 'markdown_sequence_fallback', 0.68e0 FROM p)
+    SELECT printf('a31_p%06d_block_%04d', page_id, seq) AS chunk_id, 'block' AS granularity, md5(coalesce(scope, 'Kỳ báo cáo: 2025' || chr(10)) || text) AS text_md5, NULL::VARCHAR AS parent_md5, NULL::VARCHAR AS metric, NULL::VARCHAR AS value, NULL::VARCHAR AS numbers, NULL::VARCHAR AS unit, NULL::VARCHAR AS method, NULL::DOUBLE AS confidence
+    FROM blocks LEFT JOIN p USING (page_id)
+    UNION ALL SELECT printf('a31_p%06d_metric_%04d', page_id, k), 'metric', md5(scope || 'Chỉ tiêu: ' || metric || chr(10) || 'Giá trị: ' || value), md5(parent), metric, value, numbers, unit, method, confidence FROM m JOIN p USING (page_id) JOIN par USING (page_id)"""
+
+
 def metric_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key of a document's metric: kind of text and its first words that are not all capitals."""
     words = F.filter(F.slice(T.all_matches(F.col("text"), T.WORD), 1, 12), lambda w: w != F.upper(w))
@@ -160,5 +198,5 @@ def hybrid_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve(asked, vectors.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query"))
 
 
-QUERIES = {f.__name__: f for f in (udtf_windows, hybrid_factory, layout_blocks, layout_chunks, multi_granularity, cascade_regions, metric_identity, follow_up_rewrite, same_row_comparison, report_lines, hash_embeddings, answer_batch, dense_on_subset)}
-ORACLES = {"layout_blocks": LAYOUT_SQL, "cascade_regions": CASCADE_SQL, "metric_identity": IDENTITY_SQL, "follow_up_rewrite": REWRITE_SQL, "same_row_comparison": COMPARISON_SQL, "report_lines": REPORT_SQL, "dense_on_subset": SUBSET_SQL}
+QUERIES = {f.__name__: f for f in (udtf_windows, hybrid_factory, layout_blocks, layout_chunks, multi_granularity, cascade_regions, assembled_chunks, metric_identity, follow_up_rewrite, same_row_comparison, report_lines, hash_embeddings, answer_batch, dense_on_subset)}
+ORACLES = {"layout_blocks": LAYOUT_SQL, "cascade_regions": CASCADE_SQL, "assembled_chunks": ASSEMBLED_SQL, "metric_identity": IDENTITY_SQL, "follow_up_rewrite": REWRITE_SQL, "same_row_comparison": COMPARISON_SQL, "report_lines": REPORT_SQL, "dense_on_subset": SUBSET_SQL}

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from docloom.functions import numbers as N
 from docloom.functions import text as T
 from docloom.operators import adaptive as A
+from docloom.operators import agent as AG
 from docloom.operators import coverage as COV
 from docloom.operators import finance as FI
 from docloom.operators import retrieval as R
@@ -305,6 +306,37 @@ def _finance_sql() -> str:
     FROM m LEFT JOIN r2 USING (item_id)"""
 
 
+def tool_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What came of one tool call for each question. No model is here: a planner by rule names another question, a difference of figures, nothing, or no JSON."""
+    docs, lexicon = table(spark, sf_dir, "documents"), index(spark, sf_dir)
+
+    def search(queries: DataFrame, k: int) -> DataFrame:
+        found = R.search_index(lexicon, queries, "query", k).withColumn("score", R.share_of_best("score", ["query"]))
+        return found.join(docs.select("doc_id", "text"), "doc_id").select("query", F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("key"), F.col("doc_id").cast("int").alias("page"), "score", "text")
+
+    def planner(shown: DataFrame) -> DataFrame:
+        page = F.regexp_extract("preview", "page=([0-9]+)", 1)
+        operand = F.concat(F.lit('{"value": "1", "page": '), F.when(page == "", "0").otherwise(page), F.lit("}"))
+        calculation = F.concat(F.lit('I call {"calculator": {"operation": "subtract", "left": '), operand, F.lit(', "right": '), operand, F.lit("}}"))
+        kind = F.col("query") % 4
+        return shown.select("query", F.when(kind == 0, '{"tool": "hybrid_retrieve", "query": "licence license"}').when(kind == 1, calculation).when(kind == 2, '{"finish": {}}').otherwise("no idea").alias("reply"))
+
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    _, trace = AG.tool_search(asked, search, planner, AG.AgentSettings(triggers=("the",)))
+    return trace.withColumnRenamed("query", "item_id")
+
+
+AGENT_SQL = f"""WITH {_bm25_sql('benchmark', 'item_id', 20)}, asks AS (SELECT 1 AS one, 'licence license' AS text), follow AS (WITH {_bm25_sql('asks', 'one', 8)} SELECT doc_id FROM lexical),
+    t AS (SELECT item_id, contains(lower(text), 'the') AS asked, item_id % 4 AS m FROM benchmark),
+    n AS (SELECT t.item_id, count(doc_id) AS n, coalesce(bool_or(rank = 1 AND contains(text, '1')), false) AS held FROM t LEFT JOIN lexical USING (item_id) LEFT JOIN documents USING (doc_id) GROUP BY t.item_id),
+    u AS (SELECT item_id, count(*) AS n FROM (SELECT item_id, doc_id FROM lexical UNION SELECT item_id, doc_id FROM t, follow WHERE asked AND m = 0) GROUP BY item_id)
+    SELECT item_id, CASE WHEN NOT asked THEN 'not_triggered' WHEN m IN (1, 2) THEN 'planner_nested_tool_json' WHEN m = 0 THEN 'planner' ELSE 'planner_invalid_json' END AS source,
+      CASE WHEN NOT asked THEN NULL WHEN m = 0 THEN 'hybrid_retrieve' WHEN m = 1 THEN 'calculator' ELSE 'finish' END AS tool,
+      CASE WHEN NOT asked THEN NULL WHEN m = 1 AND NOT held THEN 'rejected:operands_not_verbatim_in_evidence' ELSE 'ok' END AS outcome,
+      least(10, CASE WHEN asked AND m = 0 THEN coalesce(u.n, 0) WHEN asked AND m = 1 AND held THEN n.n + 1 ELSE n.n END) AS evidence
+    FROM t JOIN n USING (item_id) LEFT JOIN u USING (item_id)"""
+
+
 def score_udf_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a cross-encoder would score pairs in batches: word overlap stands in for the model."""
 
@@ -323,8 +355,8 @@ def fold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(T.nfkc(F.col("t"))).alias("nfkc"), F.md5(T.nfc(F.col("t"))).alias("nfc"), T.fold(F.col("t")).alias("folded"), T.redact_new_numbers(F.lit("in 2020"), F.concat(F.lit("2020 and 37: "), F.col("t"))).alias("redacted"))
 
 
-QUERIES = {f.__name__: f for f in (route_features, route_score, llm_route_validate, fact_coverage, sufficiency, followup_query, intent_first_match, financial_rank, growth_calc, plan_variance, pp_difference, cagr, tool_calculator, canonical_citation, numeric_support, adaptive_two_round, adaptive_outcome, financial_controller, score_udf_stub, fold_search)}
+QUERIES = {f.__name__: f for f in (route_features, route_score, llm_route_validate, fact_coverage, sufficiency, followup_query, intent_first_match, financial_rank, growth_calc, plan_variance, pp_difference, cagr, tool_calculator, canonical_citation, numeric_support, adaptive_two_round, adaptive_outcome, financial_controller, tool_agent, score_udf_stub, fold_search)}
 ORACLES = {
     "route_features": FEATURES_SQL, "route_score": _route_sql(), "llm_route_validate": VALIDATE_SQL, "fact_coverage": _facts_sql(), "sufficiency": SUFFICIENCY_SQL, "followup_query": FOLLOWUP_SQL, "intent_first_match": INTENT_SQL,
-    "financial_rank": _rank_sql(), "growth_calc": GROWTH_SQL, "plan_variance": VARIANCE_SQL, "pp_difference": POINTS_SQL, "cagr": CAGR_SQL, "tool_calculator": CALCULATOR_SQL, "canonical_citation": CITATION_SQL, "numeric_support": SUPPORT_SQL, "adaptive_two_round": ADAPTIVE_SQL, "financial_controller": _finance_sql(),
+    "financial_rank": _rank_sql(), "growth_calc": GROWTH_SQL, "plan_variance": VARIANCE_SQL, "pp_difference": POINTS_SQL, "cagr": CAGR_SQL, "tool_calculator": CALCULATOR_SQL, "canonical_citation": CITATION_SQL, "numeric_support": SUPPORT_SQL, "adaptive_two_round": ADAPTIVE_SQL, "financial_controller": _finance_sql(), "tool_agent": AGENT_SQL,
 }

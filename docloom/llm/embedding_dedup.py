@@ -79,6 +79,10 @@ def bucket_keys(sig: np.ndarray, dims: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
+#: Products of rows and planes that a task holds at once, however many tables there are.
+PRODUCTS = 4_000_000
+
+
 def _spread(kind: str, tables: int, bits: int, seed: int):
     """A row for each class and table: its bucket."""
 
@@ -89,10 +93,11 @@ def _spread(kind: str, tables: int, bits: int, seed: int):
             bodies, nodes = batch.column("body").to_pylist(), batch.column("node").to_numpy()
             size = np.array([len(b) for b in bodies])
             for n in np.unique(size):
-                rows = np.flatnonzero(size == n)
-                x = unit(np.frombuffer(b"".join(bodies[i] for i in rows), kind).reshape(len(rows), -1))
-                keys = bucket_keys(signatures(x, tables, bits, seed), x.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(nodes[rows], tables))], names=["bucket", "node"])
+                same = np.flatnonzero(size == n)
+                for rows in np.array_split(same, -(-len(same) * tables * bits // PRODUCTS)):
+                    x = unit(np.frombuffer(b"".join(bodies[i] for i in rows), kind).reshape(len(rows), -1))
+                    keys = bucket_keys(signatures(x, tables, bits, seed), x.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(nodes[rows], tables))], names=["bucket", "node"])
 
     return run
 

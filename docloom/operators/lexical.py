@@ -28,6 +28,8 @@ from docloom.storage import materialize, new_path
 K1, B = 1.2, 0.75
 #: Documents for one part of a segment, within bounds.
 DOCUMENTS_A_PART, LEAST_PARTS, MOST_PARTS = 20_000, 8, 4096
+#: Pairs of a query and a posting, for each core, up to which all are added up.
+DIRECT_PAIRS = 10_000_000
 #: Scores are compared with bounds up to this, which is more than sums of doubles differ by.
 SLACK = 1e-6
 MANIFEST = "version long, segment long, doc string, doc_type string, grouped boolean, documents long, digest decimal(38,0)"
@@ -234,7 +236,8 @@ def search_index(
     Exact, without meeting every posting of common words: a query's rarest terms give k documents and
     so a score that the k best reach. Terms whose bounds together stay below it cannot alone bring a
     document in. Documents are found by the other terms, those that cannot reach the score with the
-    bounds of the rest go, and only the remaining ones look up the common terms.
+    bounds of the rest go, and only the remaining ones look up the common terms. Where all pairs of
+    query and posting are few for the cluster's cores, they are simply added up, which takes fewer jobs.
     """
     doc, by = index.doc, [query, "group"] if route else [query]
     on = ["group", "term"] if route else ["term"]
@@ -263,6 +266,12 @@ def search_index(
         found = postings_of(pairs).join(pairs, on)
         return found.where(F.col(query) != F.col(doc)) if exclude_self else found
 
+    def best(scores: DataFrame) -> DataFrame:
+        return top_k(scores, k, by, [F.desc("score"), F.asc(doc)]).select(*by, "rank", doc, "score")
+
+    pairs = weighed.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    if pairs <= DIRECT_PAIRS * index.spark.sparkContext.defaultParallelism:
+        return best(gains(weighed.select(*by, "term")).groupBy(*by, doc).agg(F.round(F.sum("gain"), 6).alias("score")))
     before = Window.partitionBy(*by).orderBy("n_docs", "term").rowsBetween(Window.unboundedPreceding, -1)
     seeds = weighed.withColumn("_before", F.coalesce(F.sum("n_docs").over(before), F.lit(0))).where(F.col("_before") < 8 * k).select(*by, "term")
     first = gains(seeds).groupBy(*by, doc).agg(F.sum("gain").alias("score"))
@@ -277,7 +286,7 @@ def search_index(
     common = split.where("common").select(*by, "term")
     more = rare.select(*by, doc).join(common, by).join(postings_of(common), [*on, doc]).select(*by, doc, "gain")
     scores = rare.union(more.select(*rare.columns)).groupBy(*by, doc).agg(F.round(F.sum("gain"), 6).alias("score"))
-    return top_k(scores, k, by, [F.desc("score"), F.asc(doc)]).select(*by, "rank", doc, "score")
+    return best(scores)
 
 
 def term_statistics(index: LexicalIndex, pairs: bool = False) -> DataFrame:

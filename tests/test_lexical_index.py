@@ -69,7 +69,9 @@ def corpus():
     return {i: " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for i in range(300)}
 
 
-def test_bounds_change_nothing(spark):
+@pytest.mark.parametrize("direct", [0, 10_000_000])
+def test_bounds_change_nothing(spark, monkeypatch, direct):
+    monkeypatch.setattr(L, "DIRECT_PAIRS", direct)
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "en" if i % 3 else "fr") for i, t in texts.items()], "doc_id long, text string, lang string")
     index = L.build_index(docs, group="lang")
@@ -85,7 +87,9 @@ def test_bounds_change_nothing(spark):
         same(found(routed.where(F.col("group") == lang)), {q: top(brute(part, t), 4) for q, t in questions.items()})
 
 
-def test_only_parts_of_asked_terms_are_read(spark):
+@pytest.mark.parametrize("direct", [0, 10_000_000])
+def test_only_parts_of_asked_terms_are_read(spark, monkeypatch, direct):
+    monkeypatch.setattr(L, "DIRECT_PAIRS", direct)
     index = L.build_index(spark.createDataFrame(list(corpus().items()), "doc_id long, text string"))
     plan = L.search_index(index, spark.createDataFrame([(1, "waa wba")], "q long, text string"), "q", 3)._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruningexpression" in plan and plan.count("SubqueryAdaptiveBroadcast") >= 2  # segment and part

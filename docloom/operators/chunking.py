@@ -83,32 +83,32 @@ def overlap_windows(pages: DataFrame, key: str, text: str, size: int, overlap: i
 
 
 def _plain(markup: str) -> str:
-    return " ".join(html.unescape(TAG.sub("", markup)).split())
+    return " ".join(html.unescape(TAG.sub(" ", markup)).split())
 
 
-def _pipe_rows(markup: str) -> list[list[str]]:
+def _pipe_rows(markup: str, pipes: int) -> list[list[str]]:
     lines = (x.strip() for x in markup.splitlines() if not PIPE_RULE.fullmatch(x))
-    return [[c.strip() for c in x.strip("|").split("|")] for x in lines if x.count("|") >= 2]
+    return [[" ".join(c.split()) for c in x.strip("|").split("|")] for x in lines if x.count("|") >= pipes]
 
 
-def tables_of(markup: str) -> list[list[list[str]]]:
-    """Cells of HTML tables, or of a pipe table if there is no HTML one; rows without text are left out.
+def tables_of(markup: str, pipes: int = 2) -> list[list[list[str]]]:
+    """Cells of HTML tables, or of a pipe table (lines with so many pipes) if there is no HTML one; rows without text are left out.
 
     A table, row or cell lasts until its end tag, the next one of its kind, or what it lies in ends.
     """
     grids = [[[_plain(c) for c in CELL.findall(r)] for r in ROW.findall(t)] for t in TABLE.findall(markup)]
-    return [[r for r in g if any(r)] for g in grids or [x for x in [_pipe_rows(markup)] if x]]
+    return [[r for r in g if any(r)] for g in grids or [x for x in [_pipe_rows(markup, pipes)] if x]]
 
 
-def row_texts(rows: list[list[str]]) -> list[str]:
-    """`header: value | ...` of each row below the first; the header alone if there is no other row."""
+def row_texts(rows: list[list[str]], unnamed: str = "column") -> list[str]:
+    """`header: value | ...` of each row below the first; the header alone if there is no other row. Columns without a header are `unnamed` and their number."""
     if not rows:
         return []
     head, *body = rows
     if not body:
         return [" | ".join(filter(None, head))]
     width = max(map(len, rows))
-    labels = [h or f"column {i}" for i, h in enumerate(head + [""] * (width - len(head)), 1)]
+    labels = [h or f"{unnamed} {i}" for i, h in enumerate(head + [""] * (width - len(head)), 1)]
     return [" | ".join(f"{label}: {cell}" for label, cell in zip(labels, r) if cell) for r in body]
 
 
@@ -155,15 +155,3 @@ def nearest_labels(values: DataFrame, labels: DataFrame, group: str, far: float
     pairs = v.join(lab, (F.col(f"v.{group}") == F.col(f"l.{group}")) & gap.between(0, far) & column)
     best = F.min_by(F.col("l.id"), F.struct(gap, shift, F.col("l.id")))
     return pairs.groupBy(F.col(f"v.{group}").alias(group), F.col("v.id").alias("value_id")).agg(best.alias("label_id"))
-
-
-def pack_blocks(blocks: DataFrame, group: str, order: str, text: str, most: int = 3200) -> DataFrame:
-    """(group, chunk, text): blocks in order, joined while they fit; a fold over each page's blocks."""
-    rows = blocks.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("_t")))).alias("_b"))
-
-    def step(done, b):
-        fits = (F.size(done) > 0) & (F.length(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(""))) + F.length(b["_t"]) + 1 <= most)
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")), F.lit("\n"), b["_t"])))
-        return F.when(fits, grown).otherwise(F.concat(done, F.array(b["_t"])))
-
-    return rows.select(group, F.posexplode(F.aggregate("_b", F.array().cast("array<string>"), step)).alias("chunk", "text"))

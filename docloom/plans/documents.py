@@ -14,6 +14,7 @@ from docloom.operators import assembly as AS
 from docloom.operators import chunking as C
 from docloom.operators import conversation as V
 from docloom.operators import coverage as COV
+from docloom.operators import layout as L
 from docloom.operators import retrieval as R
 from docloom.operators.factory import create_retriever
 from docloom.plans.control import _YEARLY, _evidence, _yearly
@@ -44,18 +45,40 @@ LAYOUT_SQL = f"""WITH {_BLOCKS}, p AS (SELECT *, count(*) FILTER (kind = 'title'
     SELECT page_id, seq, kind, md5(text) AS text_md5, md5(concat_ws(' > ', title, subtitle)) AS path_md5 FROM q"""
 
 
+def _recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as records of recognition: headings, paragraphs, advertisements and footers as margins, and menus as tables of their items."""
+    part = r"(?is)<h1[^>]*>.*?</h1>|<p>.*?</p>|<ul>.*?</ul>|<div[^>]*>.*?</div>|<footer>.*?</footer>"
+    parts = table(spark, sf_dir, "pages").select("page_id", "html", F.posexplode(F.regexp_extract_all("html", F.lit(part), F.lit(0))).alias("seq", "b"))
+    label = F.when(F.startswith("b", F.lit("<h1")), "doc_title").when(F.startswith("b", F.lit("<ul")), "table").when(F.startswith("b", F.lit("<div")), "header").when(F.startswith("b", F.lit("<footer")), "footer").otherwise("text")
+    items = F.transform(F.regexp_extract_all("b", F.lit(r"(?s)<li>(.*?)</li>"), F.lit(1)), lambda x, i: F.concat(F.lit("<tr><td>"), x, F.lit("</td><td>"), (i + 1).cast("string"), F.lit("</td></tr>")))
+    grid = F.concat(F.lit("<table><tr><th>Item</th><th>Place</th></tr>"), F.array_join(items, ""), F.lit("</table>"))
+    content = F.when(label == "table", grid).otherwise(F.col("b"))
+    block = F.struct("seq", F.struct(label.alias("block_label"), content.alias("block_content"), F.lit(None).cast("array<double>").alias("block_bbox"), F.col("seq").alias("block_order")).alias("b"))
+    pages = parts.groupBy("page_id").agg(F.array_sort(F.collect_list(block)).alias("l"))
+    place = [F.col("page_id").cast("int").alias(c) for c in ("logical_index", "pdf_page_index", "pdf_page", "printed_page")]
+    return pages.select(
+        F.format_string("p%06d", "page_id").alias("raw_id"), *place, F.lit("full").alias("page_part"), F.lit("inferred").alias("mapping_method"), F.lit("pages").alias("source"), F.lit(None).cast("string").alias("markdown"),
+        F.struct(F.struct(F.transform("l", lambda x: x["b"]).alias("parsing_res_list")).alias("res")).alias("structured_result"),
+    )
+
+
 def layout_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of a page packed in order up to 800 characters."""
-    return C.pack_blocks(_blocks(spark, sf_dir), "page_id", "seq", "text", 800)
+    """Pages as chunks of at most 800 characters that keep headings and whole table rows."""
+    out = L.layout_chunks(_recognised(spark, sf_dir), size=800, overlap=100)
+    return out.select("chunk_id", "block_type", "printed_page", F.md5("text").alias("text_md5"), F.length("text").alias("length"))
 
 
 def multi_granularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packed blocks, single items and whole pages with synthetic keys, counted."""
-    blocks = _blocks(spark, sf_dir)
-    packed = layout_chunks(spark, sf_dir).select("page_id", F.col("chunk").alias("seq"), F.lit("block").alias("kind"))
-    items = blocks.where("kind = 'subtitle'").select("page_id", "seq", F.lit("row").alias("kind"))
-    pages = table(spark, sf_dir, "pages").select("page_id", F.lit(0).alias("seq"), F.lit("page").alias("kind"))
-    return packed.unionByName(items).unionByName(pages).select(F.format_string("a3_%s_%s_%04d", F.col("page_id").cast("string"), "kind", "seq").alias("chunk_id"), "kind")
+    """Packed blocks, table rows and signatures of pages."""
+    out = L.multi_granularity(_recognised(spark, sf_dir), 800, 100)
+    return out.select("chunk_id", "block_type", "granularity", F.md5("text").alias("text_md5"))
+
+
+def cascade_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of the plain text of pages, and their tables by row."""
+    pages = table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    out = L.cascade_chunks(pages, _recognised(spark, sf_dir), 800, 100)
+    return out.select("chunk_id", "block_type", "granularity", F.md5("text").alias("text_md5"))
 
 
 def cascade_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,5 +221,5 @@ def hybrid_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve(asked, vectors.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query"))
 
 
-QUERIES = {f.__name__: f for f in (udtf_windows, hybrid_factory, layout_blocks, layout_chunks, multi_granularity, cascade_regions, assembled_chunks, metric_identity, follow_up_rewrite, same_row_comparison, report_lines, hash_embeddings, answer_batch, dense_on_subset)}
+QUERIES = {f.__name__: f for f in (udtf_windows, hybrid_factory, layout_blocks, layout_chunks, multi_granularity, cascade_chunks, cascade_regions, assembled_chunks, metric_identity, follow_up_rewrite, same_row_comparison, report_lines, hash_embeddings, answer_batch, dense_on_subset)}
 ORACLES = {"layout_blocks": LAYOUT_SQL, "cascade_regions": CASCADE_SQL, "assembled_chunks": ASSEMBLED_SQL, "metric_identity": IDENTITY_SQL, "follow_up_rewrite": REWRITE_SQL, "same_row_comparison": COMPARISON_SQL, "report_lines": REPORT_SQL, "dense_on_subset": SUBSET_SQL}

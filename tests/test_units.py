@@ -98,8 +98,6 @@ def test_layout(spark):
     values = spark.createDataFrame([(1, 10, 100.0, 200.0, 160.0, 220.0), (1, 11, 600.0, 200.0, 660.0, 220.0)], box)
     labels = spark.createDataFrame([(1, 1, 100.0, 150.0, 160.0, 170.0), (1, 2, 100.0, 100.0, 160.0, 120.0), (1, 3, 600.0, 120.0, 660.0, 140.0)], box)
     assert {r.value_id: r.label_id for r in C.nearest_labels(values, labels, "g").collect()} == {10: 1, 11: 3}
-    blocks = spark.createDataFrame([(1, 1, "aaaa"), (1, 2, "bbbb"), (1, 3, "c")], "g int, seq int, text string")
-    assert [r.text for r in C.pack_blocks(blocks, "g", "seq", "text", 9).orderBy("chunk").collect()] == ["aaaa\nbbbb", "c"]
 
 
 def test_conversation(spark):

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.storage import new_path
+from docloom.streaming import activity as A
 from docloom.streaming import events as S
+from docloom.streaming import recognition as G
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -65,5 +68,41 @@ def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOTALS_SQL = "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id"
 
-QUERIES = {f.__name__: f for f in (tumbling_daily, sliding_2d, session_30m, dedup_watermark, late_events, running_totals)}
-ORACLES = {"tumbling_daily": TUMBLING_SQL, "sliding_2d": SLIDING_SQL, "session_30m": SESSION_SQL, "dedup_watermark": DEDUP_SQL, "late_events": LATE_SQL, "running_totals": TOTALS_SQL}
+
+def ended_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of events of a user less than 30 minutes apart, once they are over, with their last three kinds."""
+    with A.with_families(spark):
+        runs = S.run_to_end(A.ended_activity(_events(spark, sf_dir), "user_id", "event_type", 1800, "1 hour"), "append")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return runs.select("user_id", stamp("first"), stamp("last"), "n", F.array_join("recent", ",").alias("recent"))
+
+
+ENDED_SQL = """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g),
+    r AS (SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n, list(event_type ORDER BY ts, event_type)[-3:] AS recent FROM s GROUP BY user_id, s)
+    SELECT user_id, strftime(first, '%Y-%m-%d %H:%M:%S.%f') AS first, strftime(last, '%Y-%m-%d %H:%M:%S.%f') AS last, n, array_to_string(recent, ',') AS recent
+    FROM r WHERE last + INTERVAL 30 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR"""
+
+
+def _first_heading(page: str) -> str:
+    """Stands in for recognition: the words of a page's first heading, in languages that it knows."""
+    import re
+
+    lang = re.search(r'lang="([a-z]*)"', page).group(1)
+    if lang not in ("en", "de"):
+        raise ValueError(f"language {lang}")
+    return re.search(r"(?s)<h1>(.*?)</h1>", page).group(1)
+
+
+def recognised_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as they arrive: recognised ones with their heading, dead letters with their error, and the attempts of each."""
+    attempts = G.recognise_stream(S.table_stream(spark, f"{sf_dir}/pages.parquet").select("page_id", "html"), "html", _first_heading, new_path(spark, "recognition"), 2)
+    good = G.recognised(attempts).select("page_id", "attempt", F.md5("result").alias("result"), F.lit(None).cast("string").alias("error"))
+    return good.unionByName(G.dead_letters(attempts, 2).select("page_id", "attempt", F.lit(None).cast("string").alias("result"), "error"))
+
+
+RECOGNISED_SQL = """WITH p AS (SELECT page_id, regexp_extract(html, 'lang="([a-z]*)"', 1) AS lang, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h FROM pages)
+    SELECT page_id, CASE WHEN lang IN ('en', 'de') THEN 1 ELSE 2 END AS attempt, CASE WHEN lang IN ('en', 'de') THEN md5(h) END AS result, CASE WHEN lang NOT IN ('en', 'de') THEN 'ValueError: language ' || lang END AS error FROM p"""
+
+QUERIES = {f.__name__: f for f in (tumbling_daily, sliding_2d, session_30m, dedup_watermark, late_events, running_totals, ended_activity, recognised_stream)}
+ORACLES = {"tumbling_daily": TUMBLING_SQL, "sliding_2d": SLIDING_SQL, "session_30m": SESSION_SQL, "dedup_watermark": DEDUP_SQL, "late_events": LATE_SQL, "running_totals": TOTALS_SQL, "ended_activity": ENDED_SQL, "recognised_stream": RECOGNISED_SQL}

@@ -13,12 +13,19 @@ from pyspark.sql import functions as F
 from docloom.storage import new_path
 
 
-def stream_of(spark: SparkSession, path: str) -> DataFrame:
-    """A folder or file of Parquet as a stream, with ts as a timestamp: watermarks reject those without a zone."""
+def table_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A folder or file of Parquet as a stream; `files` at most in each batch."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rstrip("/").rpartition("/")
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    source = spark.readStream.schema(schema)
+    if files:
+        source = source.option("maxFilesPerTrigger", files)
+    return source.parquet(path) if _is_folder(spark, path) else source.option("pathGlobFilter", name).parquet(folder)
+
+
+def stream_of(spark: SparkSession, path: str) -> DataFrame:
+    """A table as a stream, with ts as a timestamp: watermarks reject those without a zone."""
+    return table_stream(spark, path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

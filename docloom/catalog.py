@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.session import shipped
 
 #: Modules with QUERIES and ORACLES, in order.
-MODULES = [f"docloom.plans.{name}" for name in ("retrieval", "texts", "relational", "windows", "control", "metrics", "evaluation", "documents", "streams")]
+MODULES = [f"docloom.plans.{name}" for name in ("retrieval", "texts", "relational", "windows", "control", "answers", "metrics", "evaluation", "documents", "streams")]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -87,3 +87,44 @@ def validated_plan(raw: Column, allowed: tuple[str, ...], least: float = 0.5, fa
     ok = plan["route"].isin(*allowed) & plan["confidence"].between(0, 1) & (plan["confidence"] >= least)
     ok = F.coalesce(ok, F.lit(False))
     return F.struct(F.when(ok, plan["route"]).otherwise(F.lit(fallback)).alias("route"), F.when(ok, plan["confidence"]).alias("confidence"), F.when(ok, F.lit("model")).otherwise(F.lit("fallback")).alias("source"))
+
+
+def router_decision(raw: Column, allowed: tuple[str, ...], flags: tuple[str, ...] = (), least: float = 0.5, fallback: str = FALLBACK) -> Column:
+    """A router model's reply under its whole contract: struct<route, confidence, reasons, source, raw_route, why>.
+
+    The reply is one JSON object, alone or within other words: a known route, a number from 0 to 1, reasons
+    as a list of texts that say something (a single text is taken as a list of one), and, if it names
+    query_features, exactly `flags` as booleans. source: `model`, `model_normalized` (reasons were a single text),
+    `low_confidence_fallback` (keeps its confidence and reasons, with what happened as the last one) or
+    `error_fallback`; why says what was wrong. Objects with repeated keys are no JSON here.
+    """
+    part = lambda v, name: F.try_variant_get(v, f"$.{name}", "variant")
+    kind = lambda v, name: F.coalesce(F.schema_of_variant(part(v, name)), F.lit("none"))
+    clean = lambda xs: F.transform(xs, lambda x: F.trim(x))
+
+    def judged(v: Column) -> Column:
+        route, confidence = F.try_variant_get(v, "$.route", "string"), F.try_variant_get(v, "$.confidence", "double")
+        single = kind(v, "reasons") == "STRING"
+        reasons = F.when(single, F.array(F.try_variant_get(v, "$.reasons", "string"))).when(kind(v, "reasons") == "ARRAY<STRING>", F.try_variant_get(v, "$.reasons", "array<string>"))
+        told = clean(reasons)
+        names = f"OBJECT<{', '.join(f'{x}: BOOLEAN' for x in sorted(flags))}>"
+        numeric = kind(v, "confidence").rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+        error = (
+            F.when(v.isNull() | ~F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), "no JSON object")
+            .when((kind(v, "route") != "STRING") | ~F.coalesce(route.isin(*allowed), F.lit(False)), "unknown route")
+            .when(~numeric, "confidence is no number").when(~confidence.between(0, 1), "confidence is not from 0 to 1")
+            .when(told.isNull() | (F.size(told) == 0) | F.exists(told, lambda x: x == ""), "no reasons")
+            .when(~kind(v, "query_features").isin("none", names), "other features")
+        )
+        unsure = confidence < least
+        low = F.concat(F.lit("confidence "), F.format_number(confidence, 3), F.lit(f" below {least:.3f}; instead of "), route)
+        why = F.coalesce(error, F.when(unsure, low))
+        source = F.when(error.isNotNull(), "error_fallback").when(unsure, "low_confidence_fallback").when(single, "model_normalized").otherwise("model")
+        kept = F.slice(told, 1, 4)
+        said = F.when(error.isNotNull(), F.array(error)).when(unsure, F.concat(kept, F.array(low))).otherwise(kept)
+        return F.struct(
+            F.when(why.isNotNull(), F.lit(fallback)).otherwise(route).alias("route"), F.when(error.isNotNull(), F.lit(0.0)).otherwise(F.round(confidence, 6)).alias("confidence"),
+            said.alias("reasons"), source.alias("source"), F.when(error.isNull(), route).alias("raw_route"), why.alias("why"),
+        )
+
+    return judged(F.try_parse_json(T.json_span(raw)))

@@ -63,13 +63,24 @@ def best_per_key(rows: DataFrame, by: list[str], order: list[Column]) -> DataFra
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def joined_prefix(rows: DataFrame, by: list[str], order: list[Column], text: str, joiner: str, most: int) -> DataFrame:
+    """(by, text): texts of a group joined in order, as far as its first `most` characters go; what begins beyond them is dropped before rows are gathered. Null texts are left out."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    told = rows.where(F.col(text).isNotNull()).withColumn("_i", F.row_number().over(w)).withColumn("_at", F.coalesce(F.sum(F.length(text) + len(joiner)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    gathered = told.where(F.col("_at") < most).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", F.left(text, F.lit(most)).alias("t")))).alias("_l"))
+    return gathered.select(*by, F.left(F.array_join(F.transform("_l", lambda x: x["t"]), joiner), F.lit(most)).alias("text"))
+
+
 def rank_hot_groups(rows: DataFrame, by: str, value: str, key: str, tiles: int) -> DataFrame:
     """rows with rn, rk, dr and quartile by falling value, then key, within `by`: what the window functions give, though a group may hold most rows.
 
-    Rows are sorted within (group, value) only. What lies before a value comes from counts of distinct
-    values, whose own running sums are taken within ranges of 2**10 values and over the ranges.
+    key is an integer. Rows are sorted within (group, value) and 2**16 keys only, so neither a group nor a value
+    that most rows have is one task. What lies before comes from counts: of the key ranges of a value, and of
+    distinct values, whose own running sums are taken within ranges of 2**10 values and over the ranges.
     """
-    sizes = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_range", F.floor(F.col(value) / 1024).cast("long"))
+    rows = rows.withColumn("_keys", F.shiftright(F.col(key).cast("long"), 16))
+    cells = rows.groupBy(by, value, "_keys").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = cells.groupBy(by, value).agg(F.sum("_c").alias("_n")).withColumn("_range", F.floor(F.col(value) / 1024).cast("long"))
     fall = lambda *cols: Window.partitionBy(*cols[:-1]).orderBy(F.desc_nulls_last(cols[-1])).rowsBetween(Window.unboundedPreceding, -1)
     ranges = sizes.groupBy(by, "_range").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_values"))
     above = fall(by, "_range")
@@ -79,13 +90,15 @@ def rank_hot_groups(rows: DataFrame, by: str, value: str, key: str, tiles: int)
     placed = placed.join(ranges, F.col(by).eqNullSafe(F.col("_by")) & F.col("_range").eqNullSafe(F.col("_r")))
     total = sizes.groupBy(F.col(by).alias("_g")).agg(F.sum("_n").alias("_total"))
     placed = placed.join(total, F.col(by).eqNullSafe(F.col("_g"))).select(F.col(by).alias("_by"), F.col(value).alias("_value"), (F.col("_rows_above") + F.col("_in")).alias("_before"), (F.col("_values_above") + F.col("_d") + 1).alias("dr"), "_total")
-    out = rows.withColumn("_at", F.row_number().over(Window.partitionBy(by, value).orderBy(key)))
-    out = out.join(placed, F.col(by).eqNullSafe(F.col("_by")) & F.col(value).eqNullSafe(F.col("_value")))
-    out = out.withColumn("rn", (F.col("_before") + F.col("_at")).cast("int")).withColumn("rk", (F.col("_before") + 1).cast("int")).withColumn("dr", F.col("dr").cast("int"))
+    earlier = F.coalesce(F.sum("_c").over(Window.partitionBy(by, value).orderBy("_keys").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumn("_earlier", earlier).join(placed, F.col(by).eqNullSafe(F.col("_by")) & F.col(value).eqNullSafe(F.col("_value"))).select("_by", "_value", F.col("_keys").alias("_k"), "_earlier", "_before", "dr", "_total")
+    out = rows.withColumn("_at", F.row_number().over(Window.partitionBy(by, value, "_keys").orderBy(key)))
+    out = out.join(cells, F.col(by).eqNullSafe(F.col("_by")) & F.col(value).eqNullSafe(F.col("_value")) & F.col("_keys").eqNullSafe(F.col("_k")))
+    out = out.withColumn("rn", (F.col("_before") + F.col("_earlier") + F.col("_at")).cast("int")).withColumn("rk", (F.col("_before") + 1).cast("int")).withColumn("dr", F.col("dr").cast("int"))
     wide, over = F.floor(F.col("_total") / tiles), F.col("_total") % tiles  # the first tiles have one more
     long_part = over * (wide + 1)
     tile = F.when(F.col("rn") <= long_part, F.ceil(F.col("rn") / (wide + 1))).otherwise(over + F.ceil((F.col("rn") - long_part) / F.greatest(wide, F.lit(1))))
-    return out.withColumn("quartile", tile.cast("int")).drop("_at", "_by", "_value", "_before", "_total")
+    return out.withColumn("quartile", tile.cast("int")).drop("_at", "_by", "_value", "_before", "_total", "_keys", "_k", "_earlier")
 
 
 def round_robin(rows: DataFrame, by: list[str], key: str, rank: str, turn: str) -> DataFrame:

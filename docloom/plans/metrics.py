@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom.functions import text as T
+from docloom.operators import evaluation as E
 from docloom.operators import metrics as M
 from docloom.plans.control import _YEARLY, _yearly
+from docloom.plans.evaluation import F1_SQL
 from docloom.sources.tables import table
 
 UNIT = "triệu đồng"
@@ -71,18 +74,26 @@ ANSWER_SQL = f"""WITH {_YEARLY}, p AS (SELECT o_orderpriority, max(v) FILTER (ye
 
 
 def number_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same figure written in several ways, by the reader that each way needs."""
-    n = F.col("o_orderkey").cast("long")
-    with_commas = F.concat(F.format_number(n * 1000, 0), F.lit(".5"))
-    with_dots = F.concat(F.replace(F.format_number(n * 1000, 0), F.lit(","), F.lit(".")), F.lit(",5"))
-    keys = table(spark, sf_dir, "orders").select("o_orderkey")
-    return keys.select(
-        "o_orderkey", M.either_number(with_commas).cast("double").alias("commas"), M.either_number(with_dots).cast("double").alias("dots"), M.table_number(F.concat(F.lit("("), with_dots, F.lit(")"))).cast("double").alias("negative"),
-        M.table_number(F.lit("12.5")).cast("double").alias("grouped"), M.either_number(F.lit("12.5")).cast("double").alias("marked"), M.table_number(F.lit("-")).cast("double").alias("dash"), M.either_number(F.lit("1.2.3")).cast("double").alias("none"),
+    """Order totals written in eight ways, each as the three readers take it."""
+    k, total = F.col("o_orderkey") % 8, F.col("o_totalprice").cast("decimal(18,2)")
+    commas, whole = F.format_number(total, 2), F.format_number(F.floor(total), 0)
+    dots = F.translate(commas, ",.", ".,")
+    written = (
+        F.when(k == 0, commas).when(k == 1, dots).when(k == 2, whole).when(k == 3, F.translate(whole, ",", ".")).when(k == 4, F.concat(F.lit("("), dots, F.lit(")")))
+        .when(k == 5, F.concat(F.lit("+"), total.cast("string"), F.lit("%"))).when(k == 6, F.concat(F.lit("-"), F.translate(total.cast("string"), ".", ","))).otherwise(F.concat(F.translate(whole, ",", "."), F.lit("x")))
     )
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", written.alias("written"))
+    return rows.select("o_orderkey", "written", *(read(F.col("written")).cast("double").alias(name) for name, read in (("either", M.either_number), ("table", M.table_number), ("report", M.financial_number))))
 
 
-VARIANTS_SQL = "SELECT o_orderkey, o_orderkey * 1000 + 0.5e0 AS commas, o_orderkey * 1000 + 0.5e0 AS dots, -(o_orderkey * 1000 + 0.5e0) AS negative, 125e0 AS grouped, 12.5e0 AS marked, NULL::DOUBLE AS dash, NULL::DOUBLE AS none FROM orders"
+VARIANTS_SQL = r"""WITH t AS (SELECT o_orderkey, o_orderkey % 8 AS k, o_totalprice::DECIMAL(18,2) AS v FROM orders),
+    f AS (SELECT o_orderkey, k, v, format('{:,.2f}', v::DOUBLE) AS c, format('{:,}', floor(v)::BIGINT) AS w FROM t),
+    w AS (SELECT o_orderkey, CASE k WHEN 0 THEN c WHEN 1 THEN translate(c, ',.', '.,') WHEN 2 THEN w WHEN 3 THEN replace(w, ',', '.') WHEN 4 THEN '(' || translate(c, ',.', '.,') || ')' WHEN 5 THEN '+' || v || '%' WHEN 6 THEN '-' || replace(v::VARCHAR, '.', ',') ELSE replace(w, ',', '.') || 'x' END AS s FROM f),
+    p AS (SELECT *, CASE WHEN regexp_full_match(s, '-?[0-9]{1,3}(,[0-9]{3})+([.][0-9]+)?') THEN replace(s, ',', '') WHEN regexp_full_match(s, '-?[0-9]{1,3}([.][0-9]{3})+(,[0-9]+)?') THEN replace(replace(s, '.', ''), ',', '.') ELSE replace(s, ',', '.') END AS e,
+      replace(replace(regexp_replace(s, '[()]', '', 'g'), '.', ''), ',', '.') AS b, regexp_replace(s, '^[+]|[%xX]+$', '', 'g') AS r FROM w)
+    SELECT o_orderkey, s AS written, TRY_CAST(e AS DECIMAL(38,6))::DOUBLE AS either, CASE WHEN regexp_full_match(s, '[(].*[)]') THEN -1 ELSE 1 END * TRY_CAST(b AS DECIMAL(38,6))::DOUBLE AS "table",
+      TRY_CAST(CASE WHEN regexp_full_match(r, '[0-9]{1,3}([.][0-9]{3})+') THEN replace(r, '.', '') WHEN contains(r, ',') THEN replace(replace(r, '.', ''), ',', '.') ELSE r END AS DECIMAL(38,6))::DOUBLE AS report FROM p"""
+
 
 
 def ocr_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,16 +180,19 @@ SCOPE_SQL = "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Công ty ' || s_n
 
 
 def automatic_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as answers: gold is the turn's own text with a number, or none; every fifth is refused."""
-    t = F.col("turn")
-    rows = table(spark, sf_dir, "conversations").where("text is not null")
-    gold = F.when(t % 3 != 2, F.concat("text", F.lit(" 42")))
-    answer = F.when(t % 2 == 0, F.concat("text", F.lit(" 42"))).otherwise(F.col("text"))
-    verdict = M.automatic_correct(F.when(t % 4 == 3, F.lit(False)).otherwise(F.lit(True)), t % 5 == 0, answer, gold, F.lit(0.9))
-    return rows.select("conv_id", "turn", "role", verdict.alias("correct"))
-
-
-CORRECT_SQL = r"""SELECT conv_id, turn, role, CASE WHEN turn % 4 = 3 THEN turn % 5 = 0 WHEN turn % 3 <> 2 THEN turn % 5 <> 0 AND (turn % 2 = 0 OR list_contains(regexp_extract_all(lower(text), '[0-9]+(?:[.,][0-9]+)*%?'), '42')) END AS correct FROM conversations WHERE text IS NOT NULL"""
+    """Turns as answers to be compared with the turn before, by their own F1; some are refused, some golds and answers have a figure more."""
+    t, key = F.col("turn"), ["conv_id", "turn", "role"]
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role"))
+    pairs = table(spark, sf_dir, "conversations").withColumn("gold", before).where("gold is not null").select(*key, "text", "gold")
+    rows = pairs.join(E.token_f1(pairs, key, "text", "gold"), key)
+    gold = F.when(t % 3 != 2, F.concat("gold", F.when(t % 3 == 1, " 42").otherwise("")))
+    verdict = M.automatic_correct(t % 4 != 3, t % 5 == 0, F.concat("text", F.when(t % 2 == 0, " 42").otherwise("")), gold, F.col("f1"))
+    return rows.select(*key, "f1", verdict.alias("correct"))
+
+
+CORRECT_SQL = rf"""WITH f AS ({F1_SQL}), p AS (SELECT conv_id, turn, role, text || CASE WHEN turn % 2 = 0 THEN ' 42' ELSE '' END AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role) || CASE WHEN turn % 3 = 1 THEN ' 42' ELSE '' END AS g FROM conversations),
+    n AS (SELECT p.*, f1, len(list_filter(regexp_extract_all(lower(g), '{T.NUMBER}'), lambda v: NOT list_contains(regexp_extract_all(lower(a), '{T.NUMBER}'), v))) = 0 AS complete FROM p JOIN f ON p.conv_id = f.conv_id AND p.turn = f.turn AND p.role = f.role WHERE g IS NOT NULL)
+    SELECT conv_id, turn, role, f1, CASE WHEN turn % 4 = 3 THEN turn % 5 = 0 WHEN turn % 3 <> 2 AND g <> '' THEN turn % 5 <> 0 AND complete AND f1 >= 0.45 END AS correct FROM n"""
 
 QUERIES = {f.__name__: f for f in (metric_rows, metric_enrichment, metric_answer, number_variants, ocr_normalise, phrase_containment, alias_expansion, generic_headings, detail_boxes, representation_bonus, entity_scope, automatic_correct)}
 ORACLES = {

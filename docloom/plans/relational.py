@@ -176,8 +176,8 @@ PAGES_SQL = f"""WITH {_FRAGMENTS}, o AS (SELECT c - i AS k FROM f WHERE c IS NOT
 
 def group_concat_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation joined in order and cut at 2400 characters."""
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    body = F.rtrim(F.left(F.array_join(F.transform("t", lambda x: x["text"]), "\n\n"), F.lit(2400)))
+    rows = S.joined_prefix(table(spark, sf_dir, "conversations"), ["conv_id"], [F.asc("turn"), F.asc("role"), F.asc("text")], "text", "\n\n", 2400)
+    body = F.rtrim("text")
     return rows.select("conv_id", F.md5(body).alias("parent_md5"), F.length(body).cast("long").alias("n"))
 
 
@@ -260,12 +260,15 @@ COUNTS_SQL = "SELECT lang, count(*) AS n, count(DISTINCT source) AS sources, CAS
 
 
 def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many questions two splits by number share: none."""
-    asked = table(spark, sf_dir, "benchmark")
-    return asked.where("item_id % 2 = 0").select("item_id").intersect(asked.where("item_id % 2 = 1").select("item_id")).agg(F.count(F.lit(1)).alias("shared"))
+    """What two splits of the documents share: ids, which must be none, and texts, which copies may bring into both."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("text_md5"))
+    held, rest = docs.where("doc_id % 5 = 0"), docs.where("doc_id % 5 <> 0")
+    shared = lambda c: held.select(c).where(F.col(c).isNotNull()).intersect(rest.select(c)).agg(F.lit(c).alias("by"), F.count(F.lit(1)).alias("shared"))
+    return shared("doc_id").unionByName(shared("text_md5"))
 
 
-DISJOINT_SQL = "SELECT count(*) AS shared FROM (SELECT item_id FROM benchmark WHERE item_id % 2 = 0 INTERSECT SELECT item_id FROM benchmark WHERE item_id % 2 = 1)"
+DISJOINT_SQL = """SELECT 'doc_id' AS "by", count(*) AS shared FROM documents a JOIN documents b USING (doc_id) WHERE a.doc_id % 5 = 0 AND b.doc_id % 5 <> 0
+    UNION ALL SELECT 'text_md5', count(DISTINCT text) FROM documents WHERE doc_id % 5 = 0 AND text IN (SELECT text FROM documents WHERE doc_id % 5 <> 0 AND text IS NOT NULL)"""
 
 QUERIES = {f.__name__: f for f in (left_join_labels, anti_join_missing, semi_join_cited, full_outer_scores, nearest_range_join, theta_lexicon_join, nway_join_runs, delta_vs_baseline, union_representations, intersect_terms, intersect_all_multiset, except_years, mode_offset, printed_pages, group_concat_parent, best_per_key, priority_pick, split_sheets, sharded_resumable_scan, revenue_by_nation, cube_rollup, grouping_sets, approx_distinct, categorical_counts, split_disjoint)}
 ORACLES = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom.functions import numbers as N
 from docloom.functions import text as T
@@ -152,7 +153,7 @@ def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(spark, sf_dir).select("o_orderkey", N.parse_decimal(F.col("written"), 2).cast("double").alias("parsed"))
 
 
-PARSE_SQL = "SELECT o_orderkey, (CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * o_totalprice::DECIMAL(18,2))::DOUBLE AS parsed FROM orders"
+PARSE_SQL = f"""WITH w AS ({FORMAT_SQL}) SELECT o_orderkey, (CASE WHEN starts_with(written, '(') THEN -1 ELSE 1 END * replace(replace(trim(written, '()'), '.', ''), ',', '.')::DECIMAL(18,2))::DOUBLE AS parsed FROM w"""
 
 
 def estimate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,13 +182,14 @@ JSON_SQL = "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, reg
 
 
 def evidence_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation as numbered evidence, last first."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    body = F.array_join(F.transform(F.reverse("t"), lambda x: F.concat(F.lit("["), x["turn"].cast("string"), F.lit("] "), x["text"])), "\n\n")
+    """The last 20 turns of a conversation as numbered evidence, last first."""
+    last = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("text"))
+    turns = table(spark, sf_dir, "conversations").withColumn("_n", F.row_number().over(last)).where("_n <= 20").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("_n", "turn", "text"))).alias("t"))
+    body = F.array_join(F.transform("t", lambda x: F.concat(F.lit("["), x["turn"].cast("string"), F.lit("] "), x["text"])), "\n\n")
     return turns.select("conv_id", F.md5(body).alias("prompt_md5"), F.size("t").cast("long").alias("n"))
 
 
-PROMPT_SQL = "SELECT conv_id, md5(string_agg('[' || turn || '] ' || text, chr(10) || chr(10) ORDER BY turn DESC, text DESC)) AS prompt_md5, count(*) AS n FROM conversations GROUP BY conv_id"
+PROMPT_SQL = "WITH l AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) <= 20) SELECT conv_id, md5(string_agg('[' || turn || '] ' || text, chr(10) || chr(10) ORDER BY turn DESC, text DESC)) AS prompt_md5, count(*) AS n FROM l GROUP BY conv_id"
 
 
 def checksum_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

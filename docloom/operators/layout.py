@@ -63,7 +63,7 @@ def with_heading(text: Column, heading: Column) -> Column:
 
 
 def headed_blocks(records: DataFrame) -> DataFrame:
-    """(raw_id, seq, label, content, plain, heading, run, meta): blocks in order with the headings that hold for them.
+    """(raw_id, seq, label, content, plain, heading, run, meta): blocks in order with the headings that hold for them; content is the markup of tables alone.
 
     A document title clears the paragraph title before it. run counts the headings and tables so far:
     text between two of them belongs together.
@@ -73,6 +73,7 @@ def headed_blocks(records: DataFrame) -> DataFrame:
     content = _strip(F.coalesce("b.block_content", F.lit("")))
     rows = rows.select("raw_id", "seq", "meta", F.coalesce("b.block_label", F.lit("unknown")).alias("label"), content.alias("content"))
     rows = rows.where("content <> ''").withColumn("plain", T.markdown_to_text(F.col("content")))
+    rows = rows.withColumn("content", F.when(F.col("label") == "table", F.col("content")))  # markup of others need not travel
     breaks = F.col("label").isin(*HEADINGS, "table")
     so_far = Window.partitionBy("raw_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     kind = F.when(F.col("label") == HEADINGS[0], "title").when(F.col("label") == HEADINGS[1], "subtitle").otherwise("text")
@@ -86,7 +87,7 @@ def pieces(blocks: DataFrame) -> DataFrame:
     """What is packed: a row for each table row, and for each other block that says something. Headings are not packed, margins not read."""
     body = blocks.where(~F.col("label").isin(*HEADINGS, *IGNORED))
     plain = F.when(F.col("plain") != "", F.array("plain")).otherwise(F.array().cast("array<string>"))
-    rows = _table_rows(F.when(F.col("label") == "table", F.col("content")))
+    rows = _table_rows(F.col("content"))
     texts = F.when(F.size(F.coalesce(rows, F.array().cast("array<string>"))) > 0, rows).otherwise(plain)
     return body.select("raw_id", "seq", "label", "run", "heading", "meta", F.posexplode(texts).alias("row", "text"))
 

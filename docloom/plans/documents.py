@@ -48,17 +48,15 @@ LAYOUT_SQL = f"""WITH {_BLOCKS}, p AS (SELECT *, count(*) FILTER (kind = 'title'
 def _recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as records of recognition: headings, paragraphs, advertisements and footers as margins, and menus as tables of their items."""
     part = r"(?is)<h1[^>]*>.*?</h1>|<p>.*?</p>|<ul>.*?</ul>|<div[^>]*>.*?</div>|<footer>.*?</footer>"
-    parts = table(spark, sf_dir, "pages").select("page_id", "html", F.posexplode(F.regexp_extract_all("html", F.lit(part), F.lit(0))).alias("seq", "b"))
-    label = F.when(F.startswith("b", F.lit("<h1")), "doc_title").when(F.startswith("b", F.lit("<ul")), "table").when(F.startswith("b", F.lit("<div")), "header").when(F.startswith("b", F.lit("<footer")), "footer").otherwise("text")
-    items = F.transform(F.regexp_extract_all("b", F.lit(r"(?s)<li>(.*?)</li>"), F.lit(1)), lambda x, i: F.concat(F.lit("<tr><td>"), x, F.lit("</td><td>"), (i + 1).cast("string"), F.lit("</td></tr>")))
-    grid = F.concat(F.lit("<table><tr><th>Item</th><th>Place</th></tr>"), F.array_join(items, ""), F.lit("</table>"))
-    content = F.when(label == "table", grid).otherwise(F.col("b"))
-    block = F.struct("seq", F.struct(label.alias("block_label"), content.alias("block_content"), F.lit(None).cast("array<double>").alias("block_bbox"), F.col("seq").alias("block_order")).alias("b"))
-    pages = parts.groupBy("page_id").agg(F.array_sort(F.collect_list(block)).alias("l"))
+    kind = lambda b: F.when(F.startswith(b, F.lit("<h1")), "doc_title").when(F.startswith(b, F.lit("<ul")), "table").when(F.startswith(b, F.lit("<div")), "header").when(F.startswith(b, F.lit("<footer")), "footer").otherwise("text")
+    items = lambda b: F.transform(F.regexp_extract_all(b, F.lit(r"(?s)<li>(.*?)</li>"), F.lit(1)), lambda x, i: F.concat(F.lit("<tr><td>"), x, F.lit("</td><td>"), (i + 1).cast("string"), F.lit("</td></tr>")))
+    grid = lambda b: F.concat(F.lit("<table><tr><th>Item</th><th>Place</th></tr>"), F.array_join(items(b), ""), F.lit("</table>"))
+    block = lambda b, i: F.struct(kind(b).alias("block_label"), F.when(F.startswith(b, F.lit("<ul")), grid(b)).otherwise(b).alias("block_content"), F.lit(None).cast("array<double>").alias("block_bbox"), i.alias("block_order"))
+    pages = table(spark, sf_dir, "pages").withColumn("l", F.transform(F.regexp_extract_all("html", F.lit(part), F.lit(0)), block))
     place = [F.col("page_id").cast("int").alias(c) for c in ("logical_index", "pdf_page_index", "pdf_page", "printed_page")]
     return pages.select(
         F.format_string("p%06d", "page_id").alias("raw_id"), *place, F.lit("full").alias("page_part"), F.lit("inferred").alias("mapping_method"), F.lit("pages").alias("source"), F.lit(None).cast("string").alias("markdown"),
-        F.struct(F.struct(F.transform("l", lambda x: x["b"]).alias("parsing_res_list")).alias("res")).alias("structured_result"),
+        F.struct(F.struct(F.col("l").alias("parsing_res_list")).alias("res")).alias("structured_result"),
     )
 
 

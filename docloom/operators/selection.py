@@ -67,7 +67,8 @@ def joined_prefix(rows: DataFrame, by: list[str], order: list[Column], text: str
     """(by, text): texts of a group joined in order, as far as its first `most` characters go; what begins beyond them is dropped before rows are gathered. Null texts are left out."""
     w = Window.partitionBy(*by).orderBy(*order)
     told = rows.where(F.col(text).isNotNull()).withColumn("_i", F.row_number().over(w)).withColumn("_at", F.coalesce(F.sum(F.length(text) + len(joiner)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    gathered = told.where(F.col("_at") < most).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", F.left(text, F.lit(most)).alias("t")))).alias("_l"))
+    # the joiner before a text may still be within, though the text is not
+    gathered = told.where(F.col("_at") < most + len(joiner)).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", F.left(text, F.lit(most)).alias("t")))).alias("_l"))
     return gathered.select(*by, F.left(F.array_join(F.transform("_l", lambda x: x["t"]), joiner), F.lit(most)).alias("text"))
 
 

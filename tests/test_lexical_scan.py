@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from docloom.operators import lexical as L
 from docloom.operators import lexical_scan as S
+from docloom.plans import answers as PA
+from docloom.plans import control as PC
 from docloom.plans import retrieval as P
 from docloom.plans import texts as PT
 
@@ -68,6 +70,11 @@ def test_a_batch_of_questions_stores_less_than_it_reads(spark, tmp_path, monkeyp
     assert stored < 1.5 * Path(f"{SF}/documents.parquet").stat().st_size
 
 
-def test_texts_of_a_pool_are_not_shuffled(spark):
-    plan = P._pool(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+def test_documents_are_not_read_again_for_each_use_of_a_pool(spark):
+    plan = PC.canonical_citation(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "/texts-" in plan and "documents.parquet" not in plan
+
+
+def test_a_pool_that_meets_itself_can_be_written(spark, tmp_path):
+    for name, query in {"citation": PC.canonical_citation, "repair": PA.answer_repair}.items():
+        query(spark, SF).write.parquet(str(tmp_path / name))

@@ -51,6 +51,8 @@ def test_ids_of_any_type_and_nothing_asked(spark):
     docs = corpus(spark).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
     asked = spark.createDataFrame([("d90", "w1 w2 w3")], "q string, text string")
     assert found(S.search_corpus(S.Corpus(docs), asked, "q", 60, exclude_self=True), "q") == found(L.search_index(L.build_index(docs), asked, "q", 60, exclude_self=True), "q")
+    held = S.Corpus(corpus(spark))
+    assert {r.q for r in S.search_corpus(held, spark.createDataFrame([("100/1", "w1 w2")], "q string, text string"), "q", 4).collect()} == {"100/1"}
     assert S.search_corpus(S.Corpus(docs), asked.where("false"), "q", 4).count() == 0
     assert S.search_corpus(S.Corpus(docs.where("false")), asked, "q", 4).count() == 0
 

@@ -11,6 +11,7 @@ from docloom.plans import answers as PA
 from docloom.plans import control as PC
 from docloom.plans import retrieval as P
 from docloom.plans import texts as PT
+from docloom.storage import new_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,6 +48,16 @@ def test_small_portions_change_nothing(spark, monkeypatch):
     assert found(S.search_corpus(S.Corpus(docs), asked, "q", 5), "q") == want
 
 
+def test_hits_of_a_block_go_once_its_rows_are_stored(spark, monkeypatch):
+    """What a pass leaves is as large as the documents, so blocks of questions must not add it up on disk."""
+    made, at_once = [], []
+    monkeypatch.setattr(S, "new_path", lambda s, name: (at_once.append(sum(Path(p.removeprefix("file:")).exists() for p in made)), made.append(new_path(s, name)))[-1] or made[-1])
+    asked = spark.createDataFrame(QUESTIONS, "q long, text string")
+    out = S.search_corpus(S.Corpus(corpus(spark)), asked, "q", 5, most_bytes=20)
+    assert len(made) > 2 and set(at_once) == {0} and not any(Path(p.removeprefix("file:")).exists() for p in made)
+    assert out.count()
+
+
 def test_ids_of_any_type_and_nothing_asked(spark):
     docs = corpus(spark).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
     asked = spark.createDataFrame([("d90", "w1 w2 w3")], "q string, text string")

@@ -91,3 +91,10 @@ def test_documents_are_not_read_again_for_each_use_of_a_pool(spark):
 def test_a_pool_that_meets_itself_can_be_written(spark, tmp_path):
     for name, query in {"citation": PC.canonical_citation, "repair": PA.answer_repair}.items():
         query(spark, SF).write.parquet(str(tmp_path / name))
+
+
+def test_hyde_fusion_passes_over_the_documents_once(spark, monkeypatch):
+    """The questions and the made-up answers are one batch."""
+    blocks, one = [], S._search_block
+    monkeypatch.setattr(S, "_search_block", lambda *a: (blocks.append(1), one(*a))[1])
+    assert P.hyde_fusion(spark, SF).count() and len(blocks) == 1

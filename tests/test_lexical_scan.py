@@ -1,7 +1,10 @@
 """Search by passes over the documents against the stored index, and what it leaves on disk."""
 
+import math
+import pickle
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +101,66 @@ def test_hyde_fusion_passes_over_the_documents_once(spark, monkeypatch):
     blocks, one = [], S._search_block
     monkeypatch.setattr(S, "_search_block", lambda *a: (blocks.append(1), one(*a))[1])
     assert P.hyde_fusion(spark, SF).count() and len(blocks) == 1
+
+
+def test_texts_are_cut_into_tokens_once_for_all_blocks(spark, monkeypatch):
+    """Each block passed over all texts again, so that the work on them grew with the square of the corpus where documents ask."""
+    cut, tokens = [], S.Corpus.tokens
+    monkeypatch.setattr(S.Corpus, "tokens", lambda self: (cut.append(1), tokens(self))[1])
+    asked = spark.createDataFrame(QUESTIONS, "q long, text string")
+    assert S.search_corpus(S.Corpus(corpus(spark)), asked, "q", 5, most_bytes=20).count() and len(cut) == 1
+
+
+def batches_of(docs, asked, most):
+    import pyarrow as pa
+
+    for a in range(0, len(docs), most):
+        part = pa.array(docs[a : a + most], pa.list_(pa.string()))
+        row, term = asked.numbers(part)
+        both, tf = np.unique(row * asked.terms + term, return_counts=True)
+        offsets = pa.array(np.searchsorted(both // asked.terms, np.arange(len(part) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (both % asked.terms, tf)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(a, a + len(part))), pa.nulls(len(part), pa.string()), pa.array([max(2 * len(d) - 1, 0) for d in docs[a : a + most]]), *lists], names=["d", "group", "dl", "terms", "tfs"])
+
+
+@pytest.mark.parametrize("common", [1e-9, 0.1, 2])
+def test_common_terms_by_a_product_change_nothing(monkeypatch, common):
+    """Documents added up by matrices, one by one or both, against plain loops."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "COMMON", common)
+    monkeypatch.setattr(S, "CELLS", 40)
+    monkeypatch.setattr(S, "SUMMANDS", 5)
+    docs = [[f"w{(i * 7 + j * j) % (11 + j % 5)}" for j in range(i % 13)] for i in range(70)]
+    queries = [docs[12], docs[25] + ["other"], ["w1"], ["none"], docs[51]]
+    asked = S._asked_terms(pa.array(queries), np.arange(5), [None] * 5)
+    pairs = lambda t: t + list(zip(t, t[1:]))
+    terms = [pairs(d) for d in docs]
+    average = sum(map(len, terms)) / len(docs)
+    rows = list(batches_of(docs, asked, 9))
+    df = sum(np.bincount(b.column(3).flatten().to_numpy(), minlength=asked.terms) for b in rows)
+    weights = pickle.loads(pickle.dumps((np.log(1 + (70 - df + 0.5) / (df + 0.5)), df, 70, average)))
+    scores = S._Scores(asked, {None: weights}, 1.2, 0.75, 5, {51: 4}, 6)
+    for b in rows:
+        scores.add(b)
+    held = scores.best.rows()
+    got = [(r["query"], r["key"], pytest.approx(r["score"], abs=2e-6)) for r in held.to_pylist()]
+    want = []
+    for q, query in enumerate(queries):
+        found = {}
+        for d, own in enumerate(terms):
+            for t in set(pairs(query)) & set(own):
+                n, tf = sum(t in o for o in terms), own.count(t)
+                found[d] = found.get(d, 0) + math.log(1 + (70 - n + 0.5) / (n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / average))
+        found.pop(51 if q == 4 else None, None)
+        want += [(q, d, s) for d, s in sorted(((d, round(s, 6)) for d, s in found.items()), key=lambda x: (-x[1], x[0]))[:6]]
+    assert want == got
+
+
+def test_pairs_are_found_whatever_slot_they_share():
+    rng = np.random.default_rng(3)
+    pairs = np.unique(rng.integers(0, 1 << 40, 3000))
+    asked = S._Asked(np.arange(10), pairs, {})
+    wanted = np.concatenate([pairs, rng.integers(0, 1 << 40, 3000)])
+    place = {int(p): i for i, p in enumerate(pairs)}
+    assert asked._places(wanted).tolist() == [place.get(int(x), -1) for x in wanted]

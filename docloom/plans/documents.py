@@ -214,8 +214,9 @@ def udtf_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The configured retriever over documents that have a vector; documents ask with their own whole text and vector."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    # stored: the search passes over them several times, and their join would shuffle all texts each time
-    docs = materialize(table(spark, sf_dir, "documents").select("doc_id", "text").join(vectors.select("doc_id"), "doc_id", "left_semi"), "with-vectors")
+    # stored: the search passes over them several times, and their join would shuffle all texts each time; dealt out, since they may lie in a few files of the table
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(vectors.select("doc_id"), "doc_id", "left_semi")
+    docs = materialize(docs.repartition(4 * spark.sparkContext.defaultParallelism, "doc_id"), "with-vectors")
     asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), "text")
     retrieve = create_retriever(docs, vectors, RetrievalConfig(mode="constraint_rerank", k=5), ["the", "and"])
     return retrieve(asked, vectors.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query"))

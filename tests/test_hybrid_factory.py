@@ -80,3 +80,15 @@ def test_whole_texts_ask(spark, tmp_path):
     assert got.keys() == want.keys() and len(texts[20]) > 200
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     assert all(got[k][1] == pytest.approx(want[k][1], abs=2e-6) for k in want)
+
+
+def test_documents_with_vectors_are_dealt_to_all_tasks(spark, tmp_path, monkeypatch):
+    """Those with a vector lie in the first files of the table, so that a few tasks had all the work."""
+    from docloom.plans import documents as P
+
+    spark.range(400).selectExpr("id AS doc_id", "concat('w', id % 7, ' w', id % 3) AS text").repartitionByRange(8, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(60).selectExpr("id AS vec_id", "array(1.0D, id / 60) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    stored, one = {}, P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, name, *a, **b: stored.setdefault(name, one(df, name, *a, **b)))
+    assert hybrid_factory(spark, str(tmp_path)).count() == 15
+    assert len(stored["with-vectors"].inputFiles()) > 8
